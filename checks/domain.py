@@ -70,6 +70,7 @@ class Domain:
         )
 
     def waiting(self) -> DataFrame:
+        """Monthly backlog and mean wait by shipping month."""
         orders = self.table("orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("ordered")
         )
@@ -79,7 +80,7 @@ class Domain:
             .join(orders, "l_orderkey")
             .groupBy(
                 "s_nationkey", F.col("p_type").alias("specialty_id"),
-                F.date_format("ordered", "yyyy-MM").alias("period"),
+                F.date_format("l_shipdate", "yyyy-MM").alias("period"),
             )
             .agg(F.count(F.lit(1)).alias("waiting_list_size"), F.sum(days).alias("days"))
         )

@@ -17,7 +17,7 @@ PARTS: dict[str, str] = {
         FROM places GROUP BY ALL""",
     "waiting": """
         SELECT 'T' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS trust_code, p_type AS specialty_id,
-               strftime(o_orderdate, '%Y-%m') AS period, CAST(count(*) AS BIGINT) AS waiting_list_size,
+               strftime(l_shipdate, '%Y-%m') AS period, CAST(count(*) AS BIGINT) AS waiting_list_size,
                CAST(sum(datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS DOUBLE)
                  / count(*) AS median_wait_days
         FROM places JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",

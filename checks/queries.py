@@ -288,7 +288,7 @@ def growth_rate(d):
 
 @query
 def feature_table(d):
-    return plain(star.feature_table(d.fact()).drop("activity_id"), 6)
+    return plain(star.feature_table(d.stored_fact).drop("activity_id"), 6)
 
 
 @query
@@ -372,9 +372,8 @@ def peer_zscore(d):
 
 @query
 def regional_zscore(d):
-    return plain(
-        scores.regional_zscore(_series(d, "region_id", "bed_occupancy_pct"), "bed_occupancy_pct"), 6
-    )
+    fact = d.stored_columns(*GRAIN, "region_id", "bed_occupancy_pct")
+    return plain(scores.regional_zscores(fact, ["bed_occupancy_pct"]), 6)
 
 
 @query

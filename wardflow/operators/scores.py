@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import to_number
 from ..functions.scoring import Z_LIMIT, zscore
+from ..sources.layers import store
 from .quantiles import exact_quantiles
 
 
@@ -28,16 +29,26 @@ def peer_zscores(df: DataFrame, cols: list[str], limit: float = Z_LIMIT) -> Data
     return df.withColumn("_stats", stats.scalar()).withColumns(z).drop("_stats")
 
 
-def regional_zscore(df: DataFrame, col: str, by: str = "region_id") -> DataFrame:
-    """(x - mean) / sample deviation within a region, NULL without spread.
+def regional_zscores(df: DataFrame, cols: list[str], by: str = "region_id") -> DataFrame:
+    """<col>_regional_z = (x - mean) / sample deviation within a region, NULL without spread.
 
     Aggregate plus join instead of a window: there are few regions, so a window would sort a
-    third of the table in one task.
+    third of the table in one task. The statistics are stored first, so that the planner knows
+    their true size: a small table is broadcast and `df` is not shuffled at all.
     """
-    x = F.col(col).cast("double")
-    stats = df.groupBy(by).agg(F.avg(x).alias("_avg"), F.stddev_samp(x).alias("_std"))
-    z = F.try_divide(x - F.col("_avg"), F.nullif(F.col("_std"), F.lit(0.0)))
-    return df.join(stats, by, "left").withColumn(f"{col}_regional_z", z).drop("_avg", "_std")
+    x = {c: F.col(c).cast("double") for c in cols}
+    stats = df.groupBy(by).agg(
+        *[F.avg(x[c]).alias(f"_{c}_avg") for c in cols],
+        *[F.stddev_samp(x[c]).alias(f"_{c}_std") for c in cols],
+    )
+    z = {
+        f"{c}_regional_z": F.try_divide(
+            x[c] - F.col(f"_{c}_avg"), F.nullif(F.col(f"_{c}_std"), F.lit(0.0))
+        )
+        for c in cols
+    }
+    joined = df.join(store(stats, "regional_stats"), by, "left").withColumns(z)
+    return joined.select(*df.columns, *z)
 
 
 def error_scores(df: DataFrame, by: list[str], actual: str = "actual", predicted: str = "predicted") -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators.cleaning import project, with_defaults
 from ..operators.positions import with_position
 from ..operators.scores import peer_zscores
 from ..operators.snapshots import latest
+from ..sources.layers import store
 
 GROWTH_DAYS = 30
 SURGE_DAYS = 7
@@ -123,10 +124,11 @@ def compute_risk(fact: DataFrame) -> DataFrame:
     """Components, z-scores, score, the relative, absolute and final class, and a JSON summary.
 
     The fact is read twice (its newest date, then its rows); pass a stored table, not a long plan.
+    The components (one row per hospital) are stored, because the z-scores read them twice.
     """
     c = F.col
     z = peer_zscores(
-        components(fact),
+        store(components(fact), "risk_components"),
         ["bed_occupancy", "waiting_list_growth", "waiting_list_size", "vacancy_rate", "ae_surge_index"],
     )
     z = (

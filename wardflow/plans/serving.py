@@ -108,7 +108,7 @@ def forecasts(long: DataFrame, target: str | None = None, horizon: int | None =
 def national_forecast_line(long: DataFrame) -> DataFrame:
     """Mean forecast and band per date; missing values count as 0."""
     def average(c):
-        return F.round(mean(F.coalesce(F.col(c), F.lit(0).cast("decimal(14,2)"))), 2)
+        return F.round(F.avg(F.coalesce(F.col(c), F.lit(0).cast("decimal(14,2)"))), 2)
 
     return long.groupBy("date_key").agg(
         average("yhat").alias("yhat"),
@@ -128,13 +128,13 @@ def recent_forecast_mean(forecast: DataFrame) -> DataFrame:
 
 def forecast_inventory(forecast: DataFrame) -> DataFrame:
     return forecast.groupBy("target", "horizon_days", "model").agg(
-        F.count(F.lit(1)).alias("n"), F.round(mean(F.col("yhat")), 2).alias("avg_yhat")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("yhat"), 2).alias("avg_yhat")
     )
 
 
 def horizon_comparison(forecast: DataFrame, target: str = "waiting_time") -> DataFrame:
     return forecast.filter(F.col("target") == target).groupBy("horizon_days").agg(
-        F.round(mean(F.col("yhat")), 1).alias("mean_pred_wait_days")
+        F.round(F.avg("yhat"), 1).alias("mean_pred_wait_days")
     )
 
 

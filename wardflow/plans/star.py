@@ -12,7 +12,7 @@ from ..operators import quality
 from ..operators.cleaning import project
 from ..operators.dedup import distinct_pairs
 from ..operators.positions import with_position
-from ..operators.scores import regional_zscore
+from ..operators.scores import regional_zscores
 from ..operators.windows import add_all
 
 
@@ -102,10 +102,9 @@ def with_activity_ids(fact: DataFrame) -> DataFrame:
 
 
 def feature_table(fact: DataFrame) -> DataFrame:
-    """Engineered features next to the fact, which keeps its 19 columns."""
-    features = add_all(fact, ["bed_occupancy_pct", "waiting_list_size"])
-    features = regional_zscore(features, "bed_occupancy_pct")
-    return regional_zscore(features, "median_wait_days")
+    """Engineered features next to the fact, which keeps its 19 columns. Pass a stored fact."""
+    scored = regional_zscores(fact, ["bed_occupancy_pct", "median_wait_days"])
+    return add_all(scored, ["bed_occupancy_pct", "waiting_list_size"])
 
 
 def integrity_report(
