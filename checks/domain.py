@@ -12,18 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardflow.functions.calendar import year_month
 from wardflow.functions.codes import site_id, site_name
 from wardflow.functions.numbers import percent
 from wardflow.plans import risk, star
 from wardflow.sources.layers import store
 
+from .tables import SCHEMAS
+
 ROLES = ("Admin", "Medical", "Nursing", "Therapy")
 SPECIALTIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 BEDS_PER_SUPPLIER = 8
 
 
 def trust(key: Column) -> Column:
-    return F.format_string("T%02d", key)
+    return F.concat(F.lit("T"), F.lpad(key.cast("string"), 2, "0"))
 
 
 def region(key: Column) -> Column:
@@ -41,7 +44,7 @@ class Domain:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     # feeds --------------------------------------------------------------------------------------
 
@@ -51,42 +54,50 @@ class Domain:
         part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
         return self.table("lineitem").join(supplier, "l_suppkey").join(part, "l_partkey")
 
+    @staticmethod
+    def _activity_counts() -> list[Column]:
+        return [
+            F.count(F.lit(1)).alias("admissions"),
+            F.count_if(F.col("l_linestatus") == "F").alias("discharges"),
+            F.sum(F.col("l_quantity").cast("long")).alias("bed_occupancy_count"),
+            F.count_if(F.col("l_returnflag") == "R").alias("ae_attendances"),
+            F.count_if(F.col("l_returnflag") == "A").alias("referrals"),
+        ]
+
+    def _by_day(self, lines: DataFrame, aggs: list[Column]) -> DataFrame:
+        daily = lines.groupBy(
+            "s_nationkey", F.col("p_type").alias("specialty_id"),
+            F.col("l_shipdate").cast("date").alias("date"),
+        ).agg(*aggs)
+        return daily.withColumn("trust_code", trust(F.col("s_nationkey"))).drop("s_nationkey")
+
     def activity(self) -> DataFrame:
-        return (
-            self._line_places()
-            .groupBy(
-                F.col("s_nationkey"), F.col("p_type").alias("specialty_id"),
-                F.col("l_shipdate").cast("date").alias("date"),
-            )
-            .agg(
-                F.count(F.lit(1)).alias("admissions"),
-                F.count_if(F.col("l_linestatus") == "F").alias("discharges"),
-                F.sum(F.col("l_quantity").cast("long")).alias("bed_occupancy_count"),
-                F.count_if(F.col("l_returnflag") == "R").alias("ae_attendances"),
-                F.count_if(F.col("l_returnflag") == "A").alias("referrals"),
-            )
-            .withColumn("trust_code", trust(F.col("s_nationkey")))
-            .drop("s_nationkey")
-        )
+        return self._by_day(self._line_places(), self._activity_counts())
 
-    def waiting(self) -> DataFrame:
-        """Monthly backlog and mean wait by shipping month."""
+    @cached_property
+    def _daily(self) -> DataFrame:
+        """Activity with the waiting days of each day, from one pass over the line items."""
         orders = self.table("orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("ordered")
         )
         days = F.datediff(F.col("l_shipdate").cast("date"), F.col("ordered"))
+        waits = [F.sum(days).alias("days"), F.count(days).alias("waits")]
+        lines = self._line_places().join(orders, "l_orderkey", "left")
+        return store(self._by_day(lines, self._activity_counts() + waits), "daily")
+
+    def stored_activity(self) -> DataFrame:
+        return self._daily.drop("days", "waits")
+
+    def waiting(self) -> DataFrame:
+        """Monthly backlog and mean wait by shipping month."""
         rows = (
-            self._line_places()
-            .join(orders, "l_orderkey")
-            .groupBy(
-                "s_nationkey", F.col("p_type").alias("specialty_id"),
-                F.date_format("l_shipdate", "yyyy-MM").alias("period"),
-            )
-            .agg(F.count(F.lit(1)).alias("waiting_list_size"), F.sum(days).alias("days"))
+            self._daily.filter(F.col("waits") > 0)
+            .groupBy("trust_code", "specialty_id", year_month(F.col("date")).alias("period"))
+            .agg(F.sum("waits").alias("waiting_list_size"), F.sum("days").alias("days"))
         )
         return rows.select(
-            trust(F.col("s_nationkey")).alias("trust_code"), "specialty_id", "period",
-            "waiting_list_size", (F.col("days") / F.col("waiting_list_size")).alias("median_wait_days"),
+            "trust_code", "specialty_id", "period", "waiting_list_size",
+            (F.col("days") / F.col("waiting_list_size")).alias("median_wait_days"),
         )
 
     def workforce(self) -> DataFrame:
@@ -166,21 +177,26 @@ class Domain:
 
     # star schema --------------------------------------------------------------------------------
 
-    def fact(self) -> DataFrame:
-        """Fact over the raw feeds as a lazy plan, for queries that read it once."""
+    def fact(self, waiting: bool = True) -> DataFrame:
+        """Fact over the raw feeds. Without the waiting list it is one lazy plan that reads the
+        line items directly; with it, line items are read once into a stored daily table."""
         return star.build_fact(
-            self.activity(), self.waiting(), self.workforce(), self.illness(), self.weather(),
-            self.hospitals(), with_ids=False,
+            self.stored_activity() if waiting else self.activity(),
+            self.waiting() if waiting else None,
+            self.workforce(), self.illness(), self.weather(), self.hospitals(), with_ids=False,
         )
 
+    def columns(self, *cols: str) -> DataFrame:
+        """Some columns of the fact; feeds they do not need are not read."""
+        return self.fact(waiting=bool({"waiting_list_size", "median_wait_days"} & {*cols})).select(*cols)
+
     @cached_property
     def stored_fact(self) -> DataFrame:
         """The fact as a written table, for queries that read it several times."""
         return store(self.fact(), "fact")
 
     def stored_columns(self, *cols: str) -> DataFrame:
-        """Some columns of the fact, written once; feeds they do not need are not read."""
-        return store(self.fact().select(*cols), "fact_columns")
+        return store(self.columns(*cols), "fact_columns")
 
     @cached_property
     def stored_risk(self) -> DataFrame:

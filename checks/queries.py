@@ -110,7 +110,7 @@ def entitlement_filter(d):
     users = d.table("customer").join(
         d.table("nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey"
     ).select(F.col("c_name").alias("email"), F.concat(F.lit("R"), "n_regionkey").alias("region_id"))
-    rows = serving.entitled(d.fact(), users, "Customer#000000001")
+    rows = serving.entitled(d.columns("region_id", "date_key", "admissions"), users, "Customer#000000001")
     return plain(rows.groupBy("region_id", "date_key").agg(F.sum("admissions").alias("admissions")))
 
 
@@ -148,12 +148,12 @@ def intent_wait(d):
 
 @query
 def intent_ae(d):
-    return plain(serving.intent_ae(d.fact()))
+    return plain(serving.intent_ae(d.columns("date_key", "ae_attendances")))
 
 
 @query
 def intent_bed(d):
-    return plain(serving.intent_bed(d.fact()))
+    return plain(serving.intent_bed(d.columns("date_key", "bed_occupancy_pct")))
 
 
 @query
@@ -163,7 +163,7 @@ def wait_by_specialty(d):
 
 @query
 def daily_profile(d):
-    return plain(serving.daily_profile(d.fact()))
+    return plain(serving.daily_profile(d.columns("date_key", "ae_attendances", "bed_occupancy_pct")))
 
 
 # Forecast tables --------------------------------------------------------------------------------
@@ -217,10 +217,10 @@ def _raw(df, **renames):
 @query
 def star_fact(d):
     """Landed feeds cleaned, then joined into the numbered fact."""
-    activity = silver.clean_activity(_raw(d.activity(), specialty="specialty_id"))
+    activity = silver.clean_activity(_raw(d.stored_activity(), specialty="specialty_id"))
     waiting = silver.clean_waiting_list(_raw(d.waiting(), specialty="specialty_id"))
     fact = star.build_fact(
-        layers.store(activity, "activity"), waiting, silver.clean_workforce(_raw(d.workforce())),
+        activity, waiting, silver.clean_workforce(_raw(d.workforce())),
         silver.clean_illness(_raw(d.illness())), silver.clean_weather(_raw(d.weather())), d.hospitals(),
     )
     return plain(fact)
@@ -228,7 +228,7 @@ def star_fact(d):
 
 @query
 def month_bridge_join(d):
-    daily = d.activity().select("trust_code", "specialty_id", F.col("date").alias("date_key"))
+    daily = d.stored_activity().select("trust_code", "specialty_id", F.col("date").alias("date_key"))
     return plain(star.bridge_months(daily, d.waiting()))
 
 
@@ -268,7 +268,7 @@ def lag_by_position(d):
 # Windows ----------------------------------------------------------------------------------------
 
 def _series(d, *cols):
-    return d.fact().select(*GRAIN, *cols)
+    return d.columns(*GRAIN, *cols)
 
 
 @query
@@ -331,7 +331,7 @@ def rolling_blocked(d):
 @query
 def known_lag(d):
     """Lag of the 30 days after the history, with the last known value beyond it."""
-    history = d.fact().groupBy("date_key").agg(F.sum("ae_attendances").alias("ae"))
+    history = d.columns("date_key", "ae_attendances").groupBy("date_key").agg(F.sum("ae_attendances").alias("ae"))
     history = layers.store(history, "history")
     newest = snapshots.latest(history)
     last = history.agg(F.max_by("ae", "date_key").cast("double")).scalar()
@@ -711,7 +711,7 @@ def mean_errors(d):
 
 @query
 def trend_weekday_baseline(d):
-    daily = d.fact().groupBy("date_key").agg(F.sum("ae_attendances").cast("double").alias("ae"))
+    daily = d.columns("date_key", "ae_attendances").groupBy("date_key").agg(F.sum("ae_attendances").cast("double").alias("ae"))
     return plain(scores.trend_and_weekday(layers.store(daily, "daily"), "date_key", "ae"), 4)
 
 

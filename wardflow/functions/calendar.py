@@ -36,7 +36,7 @@ def minute(ts: Column) -> Column:
 
 
 def year_month(d: Column) -> Column:
-    return F.date_format(d, "yyyy-MM")
+    return F.substring(d.cast("date").cast("string"), 1, 7)
 
 
 def period_month(p: Column) -> Column:

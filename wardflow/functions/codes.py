@@ -93,7 +93,7 @@ def modelled_beds(code: Column) -> Column:
 
 
 def site_id(code: Column, index: Column) -> Column:
-    return F.format_string("H_%s_%02d", code, index)
+    return F.concat(F.lit("H_"), code, F.lit("_"), F.format_string("%02d", index))
 
 
 def site_name(name: Column, index: Column) -> Column:
