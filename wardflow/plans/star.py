@@ -69,8 +69,8 @@ def build_fact(
 ) -> DataFrame:
     """The 19-column fact as one lazy plan.
 
-    All right sides are aggregated or distinct on their join key, which lets the optimizer drop
-    the joins a query does not use. No broadcast is forced: small sides are broadcast by their
+    Right sides that are aggregated or distinct on their join key let the optimizer drop the
+    joins a query does not use. No broadcast is forced: small sides are broadcast by their
     measured size, large ones shuffle and AQE splits skewed partitions.
     """
     fact = activity.withColumnRenamed("date", "date_key")
@@ -94,11 +94,14 @@ def build_fact(
 
 
 def with_activity_ids(fact: DataFrame) -> DataFrame:
-    """activity_id = position * 1000 + 1 in the order date, hospital, specialty."""
-    levels = [["date_key"], ["hospital_id"], ["specialty_id"]]
-    return with_position(fact, levels, name="_p").withColumn(
-        "activity_id", F.col("_p") * 1000 + 1
-    ).drop("_p")
+    """activity_id = position * 1000 + 1 in the order date, hospital, specialty.
+
+    Rows of an unknown hospital are numbered too, so the key is made non-NULL first.
+    """
+    keys = {f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in ("hospital_id", "specialty_id")}
+    levels = [["date_key"], ["_hospital_id"], ["_specialty_id"]]
+    numbered = with_position(fact.withColumns(keys), levels, name="_p")
+    return numbered.withColumn("activity_id", F.col("_p") * 1000 + 1).drop("_p", *keys)
 
 
 def feature_table(fact: DataFrame) -> DataFrame:
