@@ -25,7 +25,7 @@ PARTS: dict[str, str] = {
         SELECT 'T' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS trust_code,
                (['Admin', 'Medical', 'Nursing', 'Therapy'])[CAST(s_suppkey % 4 + 1 AS INT)] AS role,
                count(*) * 100 AS staff_count, 30 * count(*) FILTER (WHERE s_acctbal < 3000) AS vacancies,
-               round(100.0::DOUBLE * (30 * count(*) FILTER (WHERE s_acctbal < 3000)) / (count(*) * 100), 2)
+               round_even((30 * count(*) FILTER (WHERE s_acctbal < 3000))::DOUBLE / (count(*) * 100)::DOUBLE * 100 * 100, 0) / 100
                  AS vacancy_rate
         FROM supplier GROUP BY ALL""",
     "illness": """
@@ -52,12 +52,12 @@ PARTS: dict[str, str] = {
     "staff": """
         SELECT trust_code, CAST(sum(staff_count) AS BIGINT) AS staff_count,
                CAST(sum(vacancies) AS BIGINT) AS vacancies,
-               CAST(round(100.0::DOUBLE * sum(vacancies) / nullif(sum(staff_count), 0), 2) AS DECIMAL(9,2))
+               CAST(round_even(sum(vacancies)::DOUBLE / nullif(sum(staff_count), 0)::DOUBLE * 100 * 100, 0) / 100 AS DECIMAL(9,2))
                  AS vacancy_rate
         FROM workforce GROUP BY 1""",
     "fact": """
         SELECT a.date AS date_key, h.hospital_id, a.specialty_id, h.region_id, admissions, discharges,
-               CAST(round(100.0::DOUBLE * bed_occupancy_count / nullif(h.bed_capacity, 0), 2) AS DECIMAL(9,2))
+               CAST(round_even(bed_occupancy_count::DOUBLE / nullif(h.bed_capacity, 0)::DOUBLE * 100 * 100, 0) / 100 AS DECIMAL(9,2))
                  AS bed_occupancy_pct,
                bed_occupancy_count, w.waiting_list_size,
                CAST(round(w.median_wait_days, 2) AS DECIMAL(10,2)) AS median_wait_days,
@@ -112,8 +112,8 @@ PARTS: dict[str, str] = {
         )
     ),
     "scored": """
-        SELECT *, round(0.30 * bed_occupancy_z + 0.30 * (waiting_list_growth_z + waiting_list_size_z)
-                        + 0.25 * vacancy_rate_z + 0.15 * ae_surge_index_z, 3) AS score FROM z""",
+        SELECT *, round_even((0.30 * bed_occupancy_z + 0.30 * (waiting_list_growth_z + waiting_list_size_z)
+                        + 0.25 * vacancy_rate_z + 0.15 * ae_surge_index_z) * 1000, 0) / 1000 AS score FROM z""",
     "verdicts": """
         SELECT *, CASE WHEN score < 0 THEN 0 WHEN score < 1 THEN 1 ELSE 2 END AS rel,
                CASE WHEN bed_occupancy >= 95 OR vacancy_rate >= 15 THEN 2
@@ -268,13 +268,18 @@ def code(x: str) -> str:
     return f"CASE WHEN regexp_matches({cleaned}, '^[A-Z0-9]{{3,5}}$') THEN {cleaned} END"
 
 
-def rounded(total: str, digits: int) -> str:
-    """Mean of exact decimals, rounded half up in decimal arithmetic."""
-    return f"CAST(round(CAST(CAST({total} AS DOUBLE) / count(*) AS DECIMAL(28,8)), {digits}) AS DOUBLE)"
+def exact(x: str, digits: int) -> str:
+    """Correctly rounded: the formatter works on the exact binary value."""
+    return f"CAST(printf('%.{digits}f', {x}) AS DOUBLE)"
+
 
+def exact_up(x: str) -> str:
+    """Two digits, correctly rounded, exact ties (multiples of 1/8) up."""
+    return f"CASE WHEN ({x}) * 8 = floor(({x}) * 8) THEN floor(({x}) * 100 + 0.5) / 100 ELSE {exact(x, 2)} END"
 
-def shown(x: str, digits: int) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(18,8)), {digits}) AS VARCHAR)"
+
+def rounded(total: str, digits: int) -> str:
+    return f"round(CAST({total} AS DOUBLE) / count(*), {digits})"
 
 
 CORR = ["bed_occupancy_pct", "waiting_list_size", "median_wait_days", "vacancy_rate", "ae_attendances",
@@ -320,9 +325,9 @@ def clipped_activity(source: str) -> str:
 
 SQL: dict[str, str] = {
     "national_pressure": "SELECT * FROM pressure",
-    "kpi_row": """SELECT CAST(date_key AS VARCHAR) AS latest_date, ae_attendances,
-        round(avg_bed_occupancy_pct, 1) AS avg_bed_occupancy_pct, total_waiting_list,
-        round(avg_vacancy_rate, 1) AS avg_vacancy_rate,
+    "kpi_row": f"""SELECT CAST(date_key AS VARCHAR) AS latest_date, ae_attendances,
+        {exact('avg_bed_occupancy_pct', 1)} AS avg_bed_occupancy_pct, total_waiting_list,
+        {exact('avg_vacancy_rate', 1)} AS avg_vacancy_rate,
         (SELECT count(*) FROM risk WHERE classification = 'Red') AS trusts_red
         FROM (SELECT date_key, ae_attendances, avg_bed_occupancy_pct, coalesce(total_waiting_list, 0) AS total_waiting_list,
               avg_vacancy_rate FROM pressure ORDER BY date_key DESC LIMIT 1)""",
@@ -384,9 +389,9 @@ SQL: dict[str, str] = {
     "forecast_long": "SELECT * EXCLUDE (y, yl, yu) FROM long",
     "forecast_listing": """SELECT * EXCLUDE (y, yl, yu) FROM long WHERE target = 'waiting_time' AND horizon_days = 60
         ORDER BY date_key, target, horizon_days, hospital_name NULLS FIRST, specialty_name NULLS FIRST, yhat LIMIT 5000""",
-    "forecast_national_line": f"""SELECT date_key, {rounded('sum(coalesce(y, 0))', 2)} AS yhat,
-        {rounded('sum(coalesce(yl, 0))', 2)} AS yhat_lower,
-        {rounded('sum(coalesce(yu, 0))', 2)} AS yhat_upper FROM long GROUP BY 1""",
+    "forecast_national_line": f"""SELECT date_key, {exact_up('CAST(sum(coalesce(y, 0)) AS DOUBLE) / count(*)')} AS yhat,
+        {exact_up('CAST(sum(coalesce(yl, 0)) AS DOUBLE) / count(*)')} AS yhat_lower,
+        {exact_up('CAST(sum(coalesce(yu, 0)) AS DOUBLE) / count(*)')} AS yhat_upper FROM long GROUP BY 1""",
     "recent_forecast_mean": "SELECT * FROM recent",
     "forecast_summary_text": """SELECT string_agg(target || ' @ horizon ' || horizon_days || 'd ≈ '
         || printf('%.1f', yhat), chr(10) ORDER BY target, horizon_days) AS summary FROM recent""",
@@ -465,13 +470,13 @@ SQL: dict[str, str] = {
     "top_roles": "SELECT * FROM roles",
     "rules_hits": """SELECT hospital_id, severity, category, top_role, round(vacancy_rate, 6) AS vacancy_rate,
         round(ae_surge_index, 6) AS ae_surge_index FROM hits""",
-    "recommendations": f"""SELECT row_number() OVER (ORDER BY hospital_id, rank) AS recommendation_id,
+    "recommendations": """SELECT row_number() OVER (ORDER BY hospital_id, rank) AS recommendation_id,
         DATE '2025-06-01' AS date_key, hospital_id, severity, category, hospital_name,
         CASE rank
-          WHEN 0 THEN 'Trust ' || hospital_id || ' has a ' || {shown('vacancy_rate', 1)} || '% vacancy rate. Open international recruitment + bank incentive shifts; prioritise the ' || top_role || ' role.'
-          WHEN 1 THEN 'Bed occupancy at ' || {shown('occ', 1)} || '% — open 8–12 surge beds and review discharge pathway for the 5 longest-stay patients.'
-          WHEN 2 THEN 'Waiting list grew ' || {shown('growth * 100', 1)} || '% in 30 days. Redistribute elective lists to partner trusts and extend weekend clinics.'
-          ELSE 'A&E attendances ' || {shown('ae_surge_index * 100', 0)} || '% above 7-day baseline. Activate same-day emergency care unit and divert ambulatory cases to urgent treatment centres.'
+          WHEN 0 THEN 'Trust ' || hospital_id || ' has a ' || printf('%.1f', vacancy_rate) || '% vacancy rate. Open international recruitment + bank incentive shifts; prioritise the ' || top_role || ' role.'
+          WHEN 1 THEN 'Bed occupancy at ' || printf('%.1f', occ) || '% — open 8–12 surge beds and review discharge pathway for the 5 longest-stay patients.'
+          WHEN 2 THEN 'Waiting list grew ' || printf('%.1f', growth * 100) || '% in 30 days. Redistribute elective lists to partner trusts and extend weekend clinics.'
+          ELSE 'A&E attendances ' || printf('%.0f', ae_surge_index * 100) || '% above 7-day baseline. Activate same-day emergency care unit and divert ambulatory cases to urgent treatment centres.'
         END AS action,
         (['Reduce vacancy rate by ~3pp in 60 days.', 'Drop occupancy below 90% within 14 days.',
           'Stabilise list size within 45 days.', 'Restore A&E flow to baseline within 7 days.'])[rank + 1] AS expected_impact
@@ -503,7 +508,7 @@ SQL: dict[str, str] = {
     "clean_activity": "WITH kept AS (SELECT * FROM activity WHERE admissions < 4) " + clipped_activity("kept"),
     "star_fact": """SELECT row_number() OVER (ORDER BY a.date, hospital_id, a.specialty_id) * 1000 + 1 AS activity_id,
         a.date AS date_key, h.hospital_id, a.specialty_id, h.region_id, admissions, discharges,
-        round(100.0::DOUBLE * bed_occupancy_count / nullif(h.bed_capacity, 0), 2) AS bed_occupancy_pct, bed_occupancy_count,
+        round_even(bed_occupancy_count::DOUBLE / nullif(h.bed_capacity, 0)::DOUBLE * 100 * 100, 0) / 100 AS bed_occupancy_pct, bed_occupancy_count,
         CAST(w.waiting_list_size AS BIGINT) AS waiting_list_size,
         CASE WHEN w.median_wait_days IS NOT NULL THEN round(least(365.0, greatest(0.0, w.median_wait_days)), 2) END AS median_wait_days,
         s.staff_count, s.vacancies, CAST(s.vacancy_rate AS DOUBLE) AS vacancy_rate, ae_attendances, referrals,
@@ -526,7 +531,7 @@ SQL: dict[str, str] = {
         s_name || ' ' || 'General Hospital ' || x || ' NHS Trust' AS trust_name, 'YOR' AS region_id, 'Acute' AS hospital_type,
         CAST(300 + (('0x' || substr(md5('R' || s_suppkey || x), 1, 8))::BIGINT % 25) * 50 AS BIGINT) AS bed_capacity
         FROM supplier, (VALUES ('A'), ('B')) v(x) WHERE s_suppkey % 4 = 0""",
-    "weather_flatten": """SELECT date, region_id, round(round(avg_temp_c, 6), 1) + 0.0 AS avg_temp_c FROM weather
+    "weather_flatten": f"""SELECT date, region_id, {exact('round(avg_temp_c, 6)', 1)} + 0.0 AS avg_temp_c FROM weather
         WHERE day(date) <> 13 AND date <= DATE '2001-08-01'""",
     "stream_minute_agg": "SELECT * FROM minutes",
     "batch_minute_agg": "SELECT * FROM minutes",
@@ -542,27 +547,27 @@ SQL: dict[str, str] = {
     "dept_state": "SELECT * FROM dept_minutes",
     "dept_latest": """SELECT minute_ts, arrivals, available_beds, queue_length, ambulances_waiting, breach_risk, occupancy_pct
         FROM dept_minutes ORDER BY minute_ts DESC LIMIT 1""",
-    "pressure_metrics": """WITH r AS (SELECT *, row_number() OVER (ORDER BY minute_ts DESC) AS rn FROM dept_minutes),
+    "pressure_metrics": f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY minute_ts DESC) AS rn FROM dept_minutes),
         a AS (SELECT avg(arrivals) FILTER (WHERE rn <= 20) AS arr, greatest(avg(arrivals) FILTER (WHERE rn > 20), 0.01) AS arr0,
               avg(occupancy_pct) FILTER (WHERE rn <= 20) AS occ, any_value(available_beds) FILTER (WHERE rn = 1) AS beds,
               avg(available_beds) FILTER (WHERE rn > 20) AS beds0, any_value(queue_length) FILTER (WHERE rn = 1) AS queue,
               any_value(ambulances_waiting) FILTER (WHERE rn = 1) AS amb_now,
               avg(ambulances_waiting) FILTER (WHERE rn <= 20) AS amb,
               greatest(avg(ambulances_waiting) FILTER (WHERE rn > 20), 0.01) AS amb0 FROM r)
-        SELECT round((arr - arr0) / arr0 * 100, 1) AS arrivals_vs_baseline_pct, round(occ, 1) AS occupancy_pct,
+        SELECT {exact('(arr - arr0) / arr0 * 100', 1)} AS arrivals_vs_baseline_pct, {exact('occ', 1)} AS occupancy_pct,
                beds AS available_beds_now, CAST(trunc(beds - beds0) AS BIGINT) AS available_beds_change, queue AS queue_now,
-               amb_now AS ambulances_waiting_now, round((amb - amb0) / amb0 * 100, 1) AS ambulances_vs_baseline_pct FROM a""",
+               amb_now AS ambulances_waiting_now, {exact('(amb - amb0) / amb0 * 100', 1)} AS ambulances_vs_baseline_pct FROM a""",
     "live_measures": """SELECT avg(occupancy_pct) AS live_occupancy_pct, CAST(sum(ambulances_waiting) AS BIGINT) AS ambulances_waiting,
         CAST(sum(available_beds) AS BIGINT) AS beds_available_now, CAST(sum(queue_length) AS BIGINT) AS patients_queued_now
         FROM dept WHERE minute_ts = (SELECT max(minute_ts) FROM dept)""",
     "corr_matrix": " UNION ALL ".join(
-        f"SELECT '{a}' AS x, '{b}' AS y, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 2) + 0.0 AS r FROM fact"
+        f"SELECT '{a}' AS x, '{b}' AS y, round_even(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) * 100, 0) / 100 + 0.0 AS r FROM fact"
         for i, a in enumerate(CORR) for b in CORR[i + 1:]
     ),
     "describe": " UNION ALL ".join(describe(c) for c in DESCRIBED),
-    "mape_scores": """SELECT target, round(avg(abs(actual - predicted)), 2) AS mae,
-        round(avg(abs((actual - predicted) / actual)) * 100, 2) AS mape,
-        round(greatest(0.0, 100 - avg(abs((actual - predicted) / actual)) * 100), 1) AS accuracy, count(*) AS n_eval
+    "mape_scores": f"""SELECT target, {exact('avg(abs(actual - predicted))', 2)} AS mae,
+        {exact('avg(abs((actual - predicted) / actual)) * 100', 2)} AS mape,
+        {exact('greatest(0.0, 100 - avg(abs((actual - predicted) / actual)) * 100)', 1)} AS accuracy, count(*) AS n_eval
         FROM paired WHERE actual IS NOT NULL AND actual <> 0 GROUP BY 1""",
     "mean_errors": """SELECT round(avg(abs(actual - predicted)), 6) AS mae,
         round(avg(abs((actual - predicted) / actual)), 6) AS mape FROM paired WHERE actual IS NOT NULL""",

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,25 @@ def test_half_even(spark):
     assert column(df.select(numbers.half_even_long(F.col("x")).alias("y")), "y") == [0, 2, 2, 0]
 
 
+def test_rounding(spark):
+    values = [9.35, 156.25, 12.25, 0.05, 0.15, 2.675, 139478.05, -1.25, -0.35, 1e9 + 0.25, 0.0, 99.95, 1234.5678]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    x = F.col("x")
+    got = df.select(
+        numbers.round_exact(x, 1).alias("r1"), numbers.round_exact(x, 2).alias("r2"), numbers.one_decimal(x).alias("t"),
+        numbers.round_even(x, 2).alias("e"), numbers.no_decimal(x).alias("n"),
+    ).collect()
+    assert [r.r1 for r in got] == [round(v, 1) for v in values]
+    assert [r.r2 for r in got] == [round(v, 2) for v in values]
+    assert [r.t for r in got] == [f"{v:.1f}" for v in values]
+    assert [r.e for r in got] == list(np.round(values, 2))
+    assert [r.n for r in got] == [f"{v:.0f}".replace("-0", "0") for v in values]
+    up = df.filter("x = 156.25").select(numbers.round_exact(x, 1, ties_up=True), numbers.round_scaled(x, 1)).first()
+    assert tuple(up) == (156.3, 156.3)
+    nothing = spark.createDataFrame([(None,)], "x double").select(numbers.round_exact(x, 1), numbers.one_decimal(x))
+    assert tuple(nothing.first()) == (None, None)
+
+
 def test_mean_and_sums(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, 4)], "k int, x int")
     out = df.groupBy("k").agg(numbers.mean(F.col("x")).alias("m"), numbers.sum_or_zero(F.col("x")).alias("s"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import round_even
+
 # Weights and limits of the composite risk score.
 WEIGHT_OCCUPANCY = 0.30
 WEIGHT_WAITING = 0.30
@@ -45,7 +47,7 @@ def composite(occupancy_z: Column, waiting_z: Column, vacancy_z: Column, surge_z
         + F.lit(WEIGHT_VACANCY) * vacancy_z
         + F.lit(WEIGHT_SURGE) * surge_z
     )
-    return F.round(weighted, 3)
+    return round_even(weighted, 3)
 
 
 def zscore(x: Column, avg: Column, std: Column, limit: float | None = None) -> Column:

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import to_number
+from ..functions.numbers import round_even, round_exact, to_number
 from ..functions.scoring import Z_LIMIT, zscore
 from ..sources.layers import store
 from .quantiles import exact_quantiles
@@ -59,9 +59,9 @@ def error_scores(df: DataFrame, by: list[str], actual: str = "actual", predicted
     relative = F.when(ok, F.abs(F.try_divide(a - p, a)))
     mape = F.avg(relative) * 100
     return df.groupBy(*by).agg(
-        F.round(F.avg(error), 2).alias("mae"),
-        F.round(mape, 2).alias("mape"),
-        F.round(F.greatest(F.lit(0.0), F.lit(100.0) - mape), 1).alias("accuracy"),
+        round_exact(F.avg(error), 2).alias("mae"),
+        round_exact(mape, 2).alias("mape"),
+        round_exact(F.greatest(F.lit(0.0), F.lit(100.0) - mape), 1).alias("accuracy"),
         F.count(error).alias("n_eval"),
     ).withColumn("accuracy", F.when(F.col("n_eval") > 0, F.col("accuracy")))
 
@@ -100,7 +100,7 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = list(combinations(cols, 2))
     row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.round(F.col(f"`{a}|{b}`"), 2).alias("r"))
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (round_even(F.col(f"`{a}|{b}`"), 2) + 0.0).alias("r"))
         for a, b in pairs
     ]
     return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

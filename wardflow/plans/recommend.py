@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.numbers import mean
+from ..functions.numbers import mean, no_decimal, one_decimal
 from ..functions.scoring import recommendation_severity
 from ..operators.cleaning import project
 from ..operators.dedup import keep_latest
@@ -20,30 +20,30 @@ from .risk import growth_30d
 RULES = (
     (
         "Staffing", "vacancy_rate", 9.0,
-        "Trust %s has a %.1f%% vacancy rate. Open international recruitment + bank incentive shifts; "
+        "Trust %s has a %s%% vacancy rate. Open international recruitment + bank incentive shifts; "
         "prioritise the %s role.",
-        ("hospital_id", "vacancy_rate", "top_role"),
+        ("hospital_id", "vacancy_rate_text", "top_role"),
         "Reduce vacancy rate by ~3pp in 60 days.",
     ),
     (
         "Capacity", "bed_occupancy_pct", 92.0,
-        "Bed occupancy at %.1f%% — open 8–12 surge beds and review discharge pathway for the "
+        "Bed occupancy at %s%% — open 8–12 surge beds and review discharge pathway for the "
         "5 longest-stay patients.",
-        ("bed_occupancy_pct",),
+        ("bed_occupancy_text",),
         "Drop occupancy below 90% within 14 days.",
     ),
     (
         "Workload", "waiting_list_growth_30d", 0.08,
-        "Waiting list grew %.1f%% in 30 days. Redistribute elective lists to partner trusts and "
+        "Waiting list grew %s%% in 30 days. Redistribute elective lists to partner trusts and "
         "extend weekend clinics.",
-        ("waiting_list_growth_pct",),
+        ("waiting_list_growth_text",),
         "Stabilise list size within 45 days.",
     ),
     (
         "Pathway", "ae_surge_index", 0.2,
-        "A&E attendances %.0f%% above 7-day baseline. Activate same-day emergency care unit and "
+        "A&E attendances %s%% above 7-day baseline. Activate same-day emergency care unit and "
         "divert ambulatory cases to urgent treatment centres.",
-        ("ae_surge_pct",),
+        ("ae_surge_text",),
         "Restore A&E flow to baseline within 7 days.",
     ),
 )
@@ -96,8 +96,10 @@ def rule_inputs(fact: DataFrame, risk: DataFrame, hospitals: DataFrame, workforc
     df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in numbers})
     return df.withColumns(
         {
-            "ae_surge_pct": F.col("ae_surge_index") * 100,
-            "waiting_list_growth_pct": F.col("waiting_list_growth_30d") * 100,
+            "vacancy_rate_text": one_decimal(F.col("vacancy_rate")),
+            "bed_occupancy_text": one_decimal(F.col("bed_occupancy_pct")),
+            "waiting_list_growth_text": one_decimal(F.col("waiting_list_growth_30d") * 100),
+            "ae_surge_text": no_decimal(F.col("ae_surge_index") * 100),
             "top_role": F.coalesce(F.col("top_role"), F.lit(DEFAULT_ROLE)),
         }
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.codes import short_name
-from ..functions.numbers import mean
+from ..functions.numbers import mean, round_exact, round_scaled
 from ..operators.scores import shares
 from ..operators.snapshots import at_latest, newest_first, top, trailing_days
 from .views import with_region
@@ -27,7 +27,7 @@ def kpi_row(pressure: DataFrame, risk: DataFrame) -> DataFrame:
         return F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
 
     def one_place(c):
-        return F.round(F.coalesce(F.col(c), F.lit(0.0)), 1).alias(c)
+        return round_exact(F.coalesce(F.col(c), F.lit(0.0)), 1).alias(c)
 
     return pressure.orderBy(F.desc("date_key")).limit(1).select(
         F.col("date_key").cast("string").alias("latest_date"),
@@ -84,7 +84,7 @@ def risk_summary(risk: DataFrame, top_trusts: DataFrame, headline: int = 3) -> D
 
 def risk_class_summary(risk: DataFrame) -> DataFrame:
     return risk.groupBy("classification").agg(
-        F.count(F.lit(1)).alias("n"), F.round(mean(F.col("score")), 3).alias("avg_score")
+        F.count(F.lit(1)).alias("n"), round_scaled(mean(F.col("score")), 3).alias("avg_score")
     )
 
 
@@ -108,7 +108,7 @@ def forecasts(long: DataFrame, target: str | None = None, horizon: int | None =
 def national_forecast_line(long: DataFrame) -> DataFrame:
     """Mean forecast and band per date; missing values count as 0."""
     def average(c):
-        return F.round(F.avg(F.coalesce(F.col(c), F.lit(0).cast("decimal(14,2)"))), 2)
+        return round_exact(mean(F.coalesce(F.col(c), F.lit(0).cast("decimal(14,2)"))), 2, ties_up=True)
 
     return long.groupBy("date_key").agg(
         average("yhat").alias("yhat"),
@@ -128,13 +128,13 @@ def recent_forecast_mean(forecast: DataFrame) -> DataFrame:
 
 def forecast_inventory(forecast: DataFrame) -> DataFrame:
     return forecast.groupBy("target", "horizon_days", "model").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("yhat"), 2).alias("avg_yhat")
+        F.count(F.lit(1)).alias("n"), round_scaled(mean(F.col("yhat")), 2).alias("avg_yhat")
     )
 
 
 def horizon_comparison(forecast: DataFrame, target: str = "waiting_time") -> DataFrame:
     return forecast.filter(F.col("target") == target).groupBy("horizon_days").agg(
-        F.round(F.avg("yhat"), 1).alias("mean_pred_wait_days")
+        round_scaled(mean(F.col("yhat")), 1).alias("mean_pred_wait_days")
     )
 
 

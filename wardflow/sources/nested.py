@@ -12,6 +12,7 @@ from .. import schemas
 from ..functions.codes import (
     modelled_beds, organisation_name, organisation_type, region_for_postcode,
 )
+from ..functions.numbers import round_exact
 
 SOURCE_LAG_DAYS = 5
 
@@ -56,7 +57,7 @@ def flatten_weather(documents: DataFrame) -> DataFrame:
         .filter(F.col("p.temp").isNotNull() & F.col("p.time").isNotNull())
         .select(
             F.col("p.time").cast("date").alias("date"), "region_id",
-            F.round(F.col("p.temp"), 1).alias("avg_temp_c"),
+            round_exact(F.col("p.temp"), 1).alias("avg_temp_c"),
         )
     )
 

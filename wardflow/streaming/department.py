@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import round_exact
+
 SUMS = (
     "arrivals", "admissions", "discharges", "available_beds", "queue_length", "ambulances_waiting",
     "breach_risk",
@@ -58,11 +60,11 @@ def pressure_metrics(series: DataFrame) -> DataFrame:
     c = F.col
 
     def change(now, before):
-        return F.round((c(now) - c(before)) / c(before) * 100, 1)
+        return round_exact((c(now) - c(before)) / c(before) * 100, 1)
 
     return row.select(
         change("arr", "arr0").alias("arrivals_vs_baseline_pct"),
-        F.round(c("occ"), 1).alias("occupancy_pct"),
+        round_exact(c("occ"), 1).alias("occupancy_pct"),
         c("beds").cast("long").alias("available_beds_now"),
         (c("beds") - c("beds0")).cast("long").alias("available_beds_change"),
         c("queue").cast("long").alias("queue_now"),
