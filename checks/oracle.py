@@ -442,9 +442,9 @@ SQL: dict[str, str] = {
         CAST(staff_count AS DOUBLE) AS staff_count_roll14, CAST(staff_count AS DOUBLE) AS staff_count_roll30,
         6::BIGINT AS month, 6::BIGINT AS dow FROM workforce""",
     "rolling_blocked": """SELECT event_type, event_id, value, {r}, {l} FROM events""".format(
-        r=rolls("value", over="PARTITION BY event_type ORDER BY CAST(ts AS DATE), event_id"),
+        r=rolls("value", over="PARTITION BY event_type ORDER BY date_trunc('minute', ts), event_id"),
         l=", ".join(
-            f"round(lag(value, {n}) OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE), event_id), 6) AS value_lag{n}"
+            f"round(lag(value, {n}) OVER (PARTITION BY event_type ORDER BY date_trunc('minute', ts), event_id), 6) AS value_lag{n}"
             for n in (1, 7, 14, 30)
         ),
     ).replace("event_id, value,", "event_id, round(value, 6) AS value,"),
@@ -535,6 +535,29 @@ SQL: dict[str, str] = {
         WHERE day(date) <> 13 AND date <= DATE '2001-08-01'""",
     "stream_minute_agg": "SELECT * FROM minutes",
     "batch_minute_agg": "SELECT * FROM minutes",
+    "stream_watermark_windows": "SELECT * FROM minutes",
+    "event_messages": """SELECT hospital_id, CASE event_type WHEN 'purchase' THEN 'ambulance' WHEN 'click' THEN 'referral'
+        ELSE 'walk_in' END AS arrival_mode, count(*) AS n FROM sent GROUP BY 1, 2
+        UNION ALL SELECT 'dead', 'none', count(*) FROM events WHERE value > 95 HAVING count(*) > 0""",
+    "landed_workforce": "SELECT * FROM workforce",
+    "exported_csv": "SELECT * FROM pressure",
+    "partitioned_tree": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment AS segment FROM customer",
+    "json_records": """SELECT to_json({'o_orderkey': o_orderkey, 'o_orderdate': strftime(o_orderdate, '%Y-%m-%d'),
+        'o_orderpriority': o_orderpriority, 'o_custkey': CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END})::VARCHAR
+        AS record FROM orders""",
+    "workforce_totals": "SELECT trust_code, staff_count, vacancies, CAST(vacancy_rate AS DOUBLE) AS vacancy_rate FROM staff",
+    "monthly_waiting": """SELECT trust_code, specialty_id, period AS ym, waiting_list_size, median_wait_days FROM waiting""",
+    "bed_capacity": "SELECT trust_code, bed_capacity FROM hospitals",
+    "recommendations_ranked": """SELECT row_number() OVER (ORDER BY hospital_id, rank) AS recommendation_id,
+        severity, hospital_name FROM hits""",
+    "validation_metrics": f"""SELECT *, CASE WHEN accuracy >= 85 THEN 'Green' WHEN accuracy >= 70 THEN 'Amber' ELSE 'Red' END AS band
+        FROM (SELECT target, 'orders' AS model, 30::BIGINT AS holdout_days,
+        {exact('avg(abs(actual - predicted))', 2)} AS mae, {exact('avg(abs((actual - predicted) / actual)) * 100', 2)} AS mape,
+        {exact('greatest(0.0, 100 - avg(abs((actual - predicted) / actual)) * 100)', 1)} AS accuracy, count(*) AS n_eval
+        FROM paired WHERE actual IS NOT NULL AND actual <> 0 GROUP BY 1)""",
+    "model_accuracy": f"""SELECT round(avg(a), 6) AS model_accuracy_pct FROM (SELECT
+        {exact('greatest(0.0, 100 - avg(abs((actual - predicted) / actual)) * 100)', 1)} AS a
+        FROM paired WHERE actual IS NOT NULL AND actual <> 0 GROUP BY target)""",
     "stream_trailing_window": "SELECT * FROM trail_minutes",
     "stream_totals": """SELECT CAST(coalesce(sum(attendances), 0) AS BIGINT) AS attendances,
         CAST(coalesce(sum(ambulance), 0) AS BIGINT) AS ambulance, CAST(coalesce(sum(breach_risk), 0) AS BIGINT) AS breach_risk

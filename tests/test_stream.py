@@ -74,8 +74,8 @@ def test_replayed_batch_does_not_count_twice(spark, sent, folder, tmp_path):
     batch = spark.read.schema(schemas.EVENT).parquet(f"{tmp_path}/t_raw/batch_id=0")
     minute_counts.minute_counts(batch).write.mode("overwrite").parquet(f"{tmp_path}/t/batch_id=0")
     assert rows(minute_counts.read_counts(spark, f"{tmp_path}/t")) == before
-    minute_counts.compact(spark, f"{tmp_path}/t", f"{tmp_path}/small")
-    assert rows(minute_counts.read_counts(spark, f"{tmp_path}/small")) == before
+    minute_counts.compact(spark, f"{tmp_path}/t", f"{tmp_path}/base", 1)
+    assert rows(minute_counts.read_counts(spark, f"{tmp_path}/t", f"{tmp_path}/base", 1)) == before
     # restarting on a drained source adds nothing
     assert rows(run(spark, folder, tmp_path, 2)) == before
 
@@ -88,14 +88,11 @@ def test_region_of_the_first_batch_wins(spark):
     assert rows(minute_counts.merge_counts(log)) == [(at, "H1", "LON", 3, 1, 1, 1)]
 
 
-def test_watermarked_windows(spark, sent, folder):
-    stream = events.replay(spark, str(folder))
-    q = (
-        minute_counts.windowed_counts(stream).writeStream.format("memory").queryName("w")
-        .outputMode("update").trigger(availableNow=True).start()
-    )
-    q.awaitTermination(120)
-    assert spark.table("w").agg(F.sum("attendances")).first()[0] == 500
+def test_watermarked_windows(spark, sent, folder, tmp_path):
+    stream = events.replay(spark, str(folder), files_per_batch=1)
+    q = minute_counts.start_windows(stream, f"{tmp_path}/w", f"{tmp_path}/w_cp")
+    minute_counts.run_bounded(q, 120)
+    assert rows(minute_counts.read_windows(spark, f"{tmp_path}/w")) == rows(minute_counts.minute_counts(sent))
 
 
 def test_exactly_once_archive(spark, folder, tmp_path):

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import schemas
 from ..functions.codes import (
     modelled_beds, organisation_name, organisation_type, region_for_postcode,
 )
@@ -75,7 +74,3 @@ def capped_window(start: dt.date, end: dt.date, today: dt.date) -> tuple[dt.date
         raise ValueError("the window lies within the source's lag")
     return start, end
 
-
-__all__ = [
-    "capped_window", "flatten_organisations", "flatten_weather", "parse", "schemas", "within_source_lag",
-]

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..functions.calendar import minute
+from ..operators.dedup import keep_latest
 from ..operators.snapshots import trailing_minutes
 
 COUNTS = ("attendances", "ambulance", "high_acuity", "breach_risk")
@@ -83,14 +84,44 @@ def start_counts(
     )
 
 
-def read_counts(spark: SparkSession, table: str) -> DataFrame:
-    return merge_counts(spark.read.schema(LOG).parquet(table))
+def read_counts(spark: SparkSession, table: str, base: str | None = None, upto: int = -1) -> DataFrame:
+    """Counts from the log; with a compacted base, from the base and the batches after `upto`."""
+    log = spark.read.schema(LOG).parquet(table).filter(F.col("batch_id") > upto)
+    if base:
+        old = spark.read.schema(schemas.MINUTE_COUNTS).parquet(base)
+        log = log.unionByName(old.withColumn("batch_id", F.lit(upto).cast("long")))
+    return merge_counts(log)
 
 
-def compact(spark: SparkSession, table: str, target: str) -> None:
-    """Write the merged log as one folder of a new table, for a later switch of readers."""
-    merged = read_counts(spark, table)
-    merged.write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+def compact(spark: SparkSession, table: str, base: str, upto: int) -> None:
+    """Fold the batches up to `upto` into a base table, while the stream goes on writing.
+
+    Readers switch to (base, upto) once it is written; the folded folders can go after that.
+    """
+    log = spark.read.schema(LOG).parquet(table).filter(F.col("batch_id") <= upto)
+    merge_counts(log).write.mode("overwrite").parquet(base)
+
+
+def start_windows(
+    events: DataFrame, table: str, checkpoint: str, lateness: str = "1 day", trigger: dict | None = None
+) -> StreamingQuery:
+    """Maintain windowed_counts: each batch writes the changed windows with their full counts."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    return (
+        windowed_counts(events, lateness).writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_windows(spark: SparkSession, table: str) -> DataFrame:
+    """Newest version of every window."""
+    log = spark.read.schema(LOG).parquet(table)
+    return keep_latest(log, ["minute_ts", "hospital_id"], ["batch_id"]).drop("batch_id")
 
 
 def archive_events(events: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
