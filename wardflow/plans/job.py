@@ -1,12 +1,11 @@
 """Batch job: landed feeds to cleaned tables, star schema, forecasts, risk, actions, back-test.
 
-    spark-submit -m wardflow.plans.job LANDING WAREHOUSE [START END]
+    spark-submit --py-files wardflow.zip run_job.py LANDING WAREHOUSE [START END]
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,5 +97,6 @@ def run(spark: SparkSession, landing: str, warehouse: str, args: list[str], toda
     return analyse(tables, warehouse, today)
 
 
-if __name__ == "__main__":
-    run(build_session("wardflow job"), sys.argv[1], sys.argv[2], sys.argv[3:], dt.date.today())
+def main(argv: list[str]) -> None:
+    landing, warehouse, *dates = argv
+    run(build_session("wardflow job"), landing, warehouse, dates, dt.date.today())
