@@ -32,7 +32,7 @@ def create_or_replace(df: DataFrame, name: str, path: str | None = None) -> None
 
 
 def _save(df: DataFrame, name: str, path: str | None) -> None:
-    writer = df.write.mode("overwrite").format("parquet").option("overwriteSchema", "true")
+    writer = df.write.mode("overwrite").format("parquet")
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
