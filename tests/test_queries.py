@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import check
+from checks.oracle import oracle_sql
+from checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables are not here")
@@ -14,16 +16,16 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables
 
 def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"trained_forecasts", "gbt_backtest"}
+    assert set(QUERIES) - set(oracle_sql()) == {"trained_forecasts", "gbt_backtest"}
 
 
 def test_entry(spark):
     assert contract.entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query(spark, name):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        result = check(spark, FOLDER, name, contract.oracle_sql()[name])
+        result = check(spark, FOLDER, name, oracle_sql()[name])
     assert result.startswith("ok"), result
