@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.llm import quality
-from wardflow.llm.common import read
+from wardflow.llm import decontam, mixing, near, quality, secrets
+from wardflow.llm.common import DOCUMENT, pick, read
 from wardflow.sources.layers import store
 
 
@@ -14,8 +14,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies stays."""
+    return near.keep_one(pick(docs, *DOCUMENT))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontam.without_leaks(pick(docs, *DOCUMENT), read(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    return secrets.redact(pick(docs, *DOCUMENT))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mixing_sources),
 ]
 
 #: Cleaning and alignment can't be said in SQL; tests compare with brute force.
@@ -26,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`. Each result is written before the next stage reads it."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = store(stage(spark, docs, sf_dir), name.lower().replace(" ", "_"))
     return docs
