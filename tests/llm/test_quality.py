@@ -1,0 +1,68 @@
+import re
+from collections import Counter
+
+from wardflow.llm import quality
+
+from .util import EMPTY, SMALL, docs, rows, table
+
+NOT_SPACE = "[^\x20\x09-\x0d]"
+
+
+def base(text):
+    text = text or ""
+    w = re.findall(NOT_SPACE + "+", text)
+    times = Counter(zip(w, w[1:], w[2:]))
+    covered = {k + j for k in range(len(w) - 2) if times[tuple(w[k : k + 3])] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(NOT_SPACE, x)]
+    failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_base_on_the_table(spark):
+    texts = {r["doc_id"]: r["text"] for r in table(SMALL, "documents")}
+    for r in quality.judge_quality(spark.read.parquet(f"{SMALL}/documents.parquet")).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.doc_id])
+        assert not (r.kept and r.base_failed)
+
+
+def test_labels_of_the_table(spark):
+    """The verdict separates labelled junk from labelled clean documents."""
+    label = {r["doc_id"]: r["quality"] for r in table("/root/testdata/sf0.01", "labels")}
+    out = quality.judge_quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    judged = [(label[r.doc_id], r.kept) for r in out if r.doc_id in label and not (label[r.doc_id] and r.base_failed)]
+    clean = [kept for q, kept in judged if q]
+    junk = [kept for q, kept in judged if not q]
+    assert all(clean) and sum(junk) <= 0.05 * len(junk)
+
+
+def test_corner_cases():
+    for text in (
+        "a b c", "a b c a b c", "a b c d", "a a a a", "x\x0by\x0cz\x1cq r s", "\n\n a\n a\na \n\n", "é😀 " * 40, "a b " * 30, " ".join(map(str, range(60))),
+        " ".join(map(str, range(40))) + " 0 1 2" * 8, "#*$%&|<> \n|\n|",
+    ):
+        *counts, lost, failed, kept, cleaned = quality.judge(text)
+        assert (*counts, failed) == base(text), text
+
+
+def test_line_rules():
+    fault = lambda x: quality.line_fault(x, x.encode(), x.encode().split())
+    assert fault("Home | About | Contact | Help") == fault("Start » Shop » Shoes » Red") == "navigation"
+    assert fault("one### two$$$ three%%% four") == fault("BUY!! NOW!! CHEAP!!") == "punctuation"
+    assert fault("All Rights Reserved.") == fault("Click here to subscribe") == "boilerplate"
+    for line in ("A plain sentence, with a comma.", "Tea | coffee", "Wow!! That was a long walk for an old dog.", "He said that all rights reserved to the crown were lost in the war of that year.", "a/b and c"):
+        assert fault(line) is None, line
+
+
+def test_cleaned_documents(spark):
+    good = "\n".join(f"Line{i} has word{i} and more{i} here{i}." for i in range(20))
+    nav = "Home | News | Sport | Weather"
+    made = [(1, good), (2, nav + "\n" + good + "\nClick here"), (3, "\n".join([nav] * 30) + "\n" + good), (4, "too short"), (None, good), (None, good)]
+    out = quality.clean_documents(docs(spark, made, clash=True))
+    assert out.columns == docs(spark, []).columns
+    assert rows(out, "doc_id", "text", "n_chars") == [(None, good, len(good))] * 2 + [(1, good, len(good)), (2, good, len(good))]
+
+
+def test_hard_cases(spark):
+    out = quality.judge_quality(docs(spark, EMPTY + [(9, "word " * 200_000), (10, None)], clash=True))
+    assert rows(out, "doc_id", "n_words", "kept")[-2:] == [(9, 200_000, False), (10, 0, False)]
+    assert quality.judge_quality(docs(spark, [])).count() == 0 == quality.clean_documents(docs(spark, [])).count()

@@ -3,7 +3,9 @@
 Every document of a source expects target / source size copies. Documents stand in order of size
 within their source; with the running sum of expected copies plus one random offset, a document is
 emitted once per integer boundary its step crosses. As neighbours in that order are about equally
-long, the words taken come within about one document's size of the target.
+long, the words taken come within about one document's size of the target. The offset is drawn DRAWS
+times per mix, and each source keeps the draw that brings its words nearest to its target, which
+matters for sources of few documents.
 
 Running sums need no sort of a source in one task: rows are range-partitioned by (source, size, id),
 numbered inside each partition, and per-partition counts are summed into offsets. A hot source
@@ -27,15 +29,16 @@ from .common import DOCUMENT, pick
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-SEED = 20_240_917
+SEED, DRAWS = 20_240_917, 32
 
 
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def offset(seed: int = SEED) -> float:
-    return random.Random(seed).random()
+def offsets(seed: int = SEED) -> list[float]:
+    draw = random.Random(seed)
+    return [draw.random() for _ in range(DRAWS)]
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -80,9 +83,15 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     placed = rows.join(runs, (rows["_own"] == runs["_part"]) & rows["source"].eqNullSafe(runs["_source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = F.col("_before") + F.col("_at") - F.col("_first")
-    u = offset(seed)
-    crossed = F.floor((place + 1) * rate + u) - F.floor(place * rate + u)
-    return placed.select(*docs.columns, "source_size", "target", crossed.cast("int").alias("copies"))
+    placed = placed.withColumns({"_rate": rate, "_place": place})
+    crossed = lambda u: F.floor((F.col("_place") + 1) * F.col("_rate") + u) - F.floor(F.col("_place") * F.col("_rate") + u)
+
+    drawn = offsets(seed)
+    off = lambda u: F.abs(F.sum(crossed(u) * F.col("size")) - F.max("target"))
+    best = F.array_min(F.array(*[F.struct(off(u).alias("off"), F.lit(i), F.lit(u).alias("u")) for i, u in enumerate(drawn)]))
+    chosen = store(placed.groupBy(F.col("source").alias("_source")).agg(best["u"].alias("_u")), "offsets")
+    placed = placed.drop("_source").join(chosen, placed["source"].eqNullSafe(chosen["_source"]))
+    return placed.select(*docs.columns, "source_size", "target", crossed(F.col("_u")).cast("int").alias("copies"))
 
 
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:

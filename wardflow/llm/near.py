@@ -39,7 +39,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 def sketch(values: np.ndarray) -> list[int]:
     """Sketch values of a labelled sequence; none if no other text can be similar to it."""
-    if len(values) < SIMILAR / (1 - SIMILAR):
+    if len(values) * (1 - SIMILAR) < SIMILAR - 1e-9:
         return []  # one shingle more or less already takes the pair below the threshold
     best = np.empty((SKETCHES, 0), np.int64)
     for start in range(0, len(values), CHUNK):

@@ -23,7 +23,8 @@ from .common import DOCUMENT, map_lists, pick
 
 MIN_WORDS, MAX_REPEATED, MAX_LOSS = 50, 0.5, 0.3
 SYMBOLS = "#*$%&|<>"
-SEPARATORS = frozenset(["|", "||", "»", "›", ">", ">>", "/", "•", "·", "::"])
+SEPARATORS = ("|", "||", "»", "›", ">", ">>", "/", "•", "·", "::")
+_SEPARATORS = frozenset(s.encode() for s in SEPARATORS)
 HUNG = re.compile(rb"(?:[#*$%&<>~^=_]{2,}|!{2,})(?=\s|$)")
 SPACES = " \t\n\v\f\r"
 STOCK = re.compile(
@@ -54,12 +55,12 @@ def repeated_words(words: list) -> int:
     return int(covered.sum())
 
 
-def line_fault(line: str, raw: bytes, n: int) -> str | None:
-    """Why a line of n words fails, or None."""
-    if n >= 3 and any(c in line for c in "|»›>/•·:"):
-        seps = sum(w in SEPARATORS for w in line.split())
-        if seps >= 3 and 4 * seps >= n - seps:
-            return "navigation"
+def line_fault(line: str, raw: bytes, words: list[bytes]) -> str | None:
+    """Why a line with words fails, or None."""
+    n = len(words)
+    seps = sum(map(_SEPARATORS.__contains__, words))
+    if seps >= 3 and 4 * seps >= n - seps:
+        return "navigation"
     if 10 * len(HUNG.findall(raw)) >= 3 * n:
         return "punctuation"
     if n <= STOCK_WORDS and STOCK.search(line):
@@ -75,14 +76,14 @@ def judge(text: str | None, max_loss: float = MAX_LOSS) -> tuple:
     seen, with_word, lost, kept_lines = set(), 0, 0, []
     for line in text.split("\n"):
         raw = line.encode()
-        k = len(raw.split())
-        if not k:
+        own = raw.split()
+        if not own:
             kept_lines.append(line)
             continue
         with_word += 1
         seen.add(line)
-        if line_fault(line, raw, k):
-            lost += k
+        if line_fault(line, raw, own):
+            lost += len(own)
         else:
             kept_lines.append(line)
     n_repeat = repeated_words(words)
