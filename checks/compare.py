@@ -36,9 +36,9 @@ def same(a, b) -> bool:
     return type(a) is type(b) and a == b
 
 
-def check(spark, folder: str, name: str, sql: str | None) -> str:
+def check(spark, folder: str, name: str, sql: str | None, queries=QUERIES) -> str:
     start = time.time()
-    got = QUERIES[name](spark, folder).toArrow()
+    got = queries[name](spark, folder).toArrow()
     took = time.time() - start
     if sql is None:
         return f"rows-only {got.num_rows} rows {took:.1f}s"
