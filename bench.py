@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 from pathlib import Path
 
@@ -19,7 +20,7 @@ HEADLINE = (
     "national_pressure", "star_fact", "feature_table", "rolling_means", "lag_features", "risk_score",
     "asof_growth_30d", "recommendations", "stream_minute_agg", "batch_minute_agg", "dept_state",
     "position_ids", "dedup_keep_first", "clip_quantile", "forecast_long", "corr_matrix",
-    "intent_routing", "sql_audit", "mape_scores",
+    "intent_routing", "sql_audit", "mape_scores", "describe", "impute_median", "clean_activity",
 )
 
 
@@ -33,6 +34,7 @@ def main() -> None:
         "bench", f"local[{cpus}]",
         **{
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
         },

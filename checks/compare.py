@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -69,7 +70,10 @@ def main(argv: list[str]) -> int:
 
     folder, names = argv[0], argv[1:]
     spark = build_session(
-        master="local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+        master="local[8]", **{
+            "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-"),
+        }
     )
     spark.sparkContext.setLogLevel("ERROR")
     oracles, failed = oracle_sql(), 0

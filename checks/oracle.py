@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# Activity rows whose date the query leaves readable: a fixed property of the key.
+VALID_DATE = "(day(date) + month(date) * 31 + CAST(substr(trust_code, 2) AS INT) * 7) % 101 <> 0"
+
 # Named sub-queries; each oracle pulls in the ones it mentions and what those mention.
 PARTS: dict[str, str] = {
     "places": """
@@ -505,7 +508,9 @@ SQL: dict[str, str] = {
           THEN least(365.0, greatest(0.0, median_wait_days)) END AS m FROM waiting))), 6) AS median_wait_days
         FROM (SELECT *, CASE WHEN waiting_list_size % 5 <> 0 THEN least(365.0, greatest(0.0, median_wait_days)) END AS m
               FROM waiting)""",
-    "clean_activity": "WITH kept AS (SELECT * FROM activity WHERE admissions < 4) " + clipped_activity("kept"),
+    "clean_activity": f"WITH kept AS (SELECT * FROM activity WHERE {VALID_DATE}) " + clipped_activity("kept"),
+    "clean_activity_counts": f"""SELECT count(*) FILTER (WHERE {VALID_DATE}) AS kept, count(*) FILTER (WHERE NOT ({VALID_DATE})) AS dropped,
+        CAST(sum(admissions) AS BIGINT) AS line_items, count(*) AS all_rows FROM activity""",
     "star_fact": """SELECT row_number() OVER (ORDER BY a.date, hospital_id, a.specialty_id) * 1000 + 1 AS activity_id,
         a.date AS date_key, h.hospital_id, a.specialty_id, h.region_id, admissions, discharges,
         round_even(bed_occupancy_count::DOUBLE / nullif(h.bed_capacity, 0)::DOUBLE * 100 * 100, 0) / 100 AS bed_occupancy_pct, bed_occupancy_count,
@@ -532,9 +537,11 @@ SQL: dict[str, str] = {
         CAST(300 + (('0x' || substr(md5('R' || s_suppkey || x), 1, 8))::BIGINT % 25) * 50 AS BIGINT) AS bed_capacity
         FROM supplier, (VALUES ('A'), ('B')) v(x) WHERE s_suppkey % 4 = 0""",
     "weather_flatten": f"""SELECT date, region_id, {exact('round(avg_temp_c, 6)', 1)} + 0.0 AS avg_temp_c FROM weather
-        WHERE day(date) <> 13 AND date <= DATE '2001-08-01'""",
+        WHERE day(date) <> 13 AND date <= (SELECT max(date) - 5 FROM weather WHERE day(date) <> 13)""",
     "stream_minute_agg": "SELECT * FROM minutes",
     "batch_minute_agg": "SELECT * FROM minutes",
+    "stream_dead_letters": """SELECT 'H0' AS key, substr(props, 1, 3) AS value, count(*) AS n FROM events
+        WHERE value > 95 GROUP BY 2""",
     "stream_watermark_windows": "SELECT * FROM minutes",
     "event_messages": """SELECT hospital_id, CASE event_type WHEN 'purchase' THEN 'ambulance' WHEN 'click' THEN 'referral'
         ELSE 'walk_in' END AS arrival_mode, count(*) AS n FROM sent GROUP BY 1, 2
@@ -625,6 +632,63 @@ SQL: dict[str, str] = {
 }
 PARTS["clipped"] = clipped_activity("activity")
 
+# The job's window: clip bounds and waiting periods from its rows only.
+PARTS["window_activity"] = "SELECT * FROM activity WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'"
+PARTS["window_clipped"] = clipped_activity("window_activity")
+SQL["job_fact"] = SQL["star_fact"].replace("FROM clipped a", "FROM window_clipped a")
+
+SQL["pressure_metrics"] = f"""WITH m AS ({SQL['pressure_metrics']})
+    SELECT *, 'Recent arrivals are ' || CASE WHEN arrivals_vs_baseline_pct >= 0 THEN '+' ELSE '' END || arrivals_vs_baseline_pct
+        || ' % against the time before; beds are ' || occupancy_pct || ' % full with ' || available_beds_now || ' free ('
+        || CASE WHEN available_beds_change >= 0 THEN '+' ELSE '' END || available_beds_change || '); ' || queue_now
+        || ' patients and ' || ambulances_waiting_now || ' ambulances wait, ambulances '
+        || CASE WHEN ambulances_vs_baseline_pct >= 0 THEN '+' ELSE '' END || ambulances_vs_baseline_pct || ' %.' AS summary
+    FROM m"""
+
+# Model jobs: what can be known without the fitted numbers.
+_DAYS = "SELECT date_key, avg(CAST(bed_occupancy_pct AS DOUBLE)) AS v FROM fact GROUP BY 1 HAVING v IS NOT NULL"
+SQL["training_days"] = f"""WITH days AS ({_DAYS})
+    SELECT date_key, round(v, 6) AS bed_occupancy_pct, {', '.join(f"round(lag(v, {n}) OVER w, 6) AS bed_occupancy_pct_lag{n}" for n in (1, 7, 14, 30))},
+        {', '.join(f"round(avg(v) OVER (ORDER BY date_key ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS bed_occupancy_pct_roll{n}" for n in (7, 14, 30))},
+        CAST(month(date_key) AS BIGINT) AS month, CAST(isodow(date_key) - 1 AS BIGINT) AS dow
+    FROM days WINDOW w AS (ORDER BY date_key)"""
+SQL["trained_forecasts"] = """WITH ends AS (SELECT min(date_key) AS a, max(date_key) AS b, count(DISTINCT date_key) AS n FROM fact),
+    horizons(h) AS (VALUES (30), (60), (90)),
+    waits AS (SELECT h, date_key + CAST(h AS INT) AS target_date, hospital_id FROM fact, horizons),
+    found AS (
+        SELECT 'bed_occupancy' AS target, 'trend_gbt' AS model, 90 AS horizon_days, true AS is_future, 90 AS n,
+               CAST(b + 1 AS DATE) AS first_day, CAST(b + 90 AS DATE) AS last_day, 0 AS hospitals, 0 AS roles FROM ends
+        UNION ALL SELECT 'ae_demand', 'trend', 90, true, 90, CAST(b + 1 AS DATE), CAST(b + 90 AS DATE), 0, 0 FROM ends
+        UNION ALL SELECT 'ae_demand', 'trend', 90, false, n, a, b, 0, 0 FROM ends
+        UNION ALL SELECT 'waiting_time', 'gbt', h, target_date > b, count(*), min(target_date), max(target_date), count(DISTINCT hospital_id), 0
+            FROM waits, ends GROUP BY h, target_date > b
+        UNION ALL SELECT 'workforce_demand', 'gbt', 60, true, count(*), DATE '2025-06-01', DATE '2025-06-01',
+            count(DISTINCT trust_code), count(DISTINCT role) FROM workforce)
+    SELECT target, model, CAST(horizon_days AS BIGINT) AS horizon_days, is_future, CAST(n AS BIGINT) AS n, CAST(first_day AS DATE) AS first_day,
+        CAST(last_day AS DATE) AS last_day, CAST(hospitals AS BIGINT) AS hospitals, CAST(roles AS BIGINT) AS roles,
+        0::BIGINT AS unknown, 0::BIGINT AS crossed_bands FROM found"""
+SQL["gbt_backtest"] = """WITH f AS (SELECT *, max(date_key) OVER () - 30 AS cutoff FROM fact),
+    held AS (SELECT count(DISTINCT date_key) AS n FROM f WHERE date_key > cutoff
+             AND date_key <= (SELECT max(date_key) + 30 FROM f WHERE date_key <= cutoff)),
+    pairs AS (SELECT count(*) AS n FROM f a JOIN f b ON a.hospital_id = b.hospital_id AND a.specialty_id = b.specialty_id
+              AND b.date_key = a.date_key + 30 WHERE a.date_key <= a.cutoff AND b.date_key > b.cutoff AND b.median_wait_days IS NOT NULL),
+    found(target, model, n) AS (
+        SELECT 'Capacity pressure', 'trend+gbt', n FROM held UNION ALL SELECT 'A&E demand', 'trend', n FROM held
+        UNION ALL SELECT 'Waiting time', 'gbt', n FROM pairs)
+    SELECT target, model, CAST(n AS BIGINT) AS n_eval, 30::BIGINT AS holdout_days, true AS mae_known, true AS accuracy_in_range,
+        true AS mae_of_series FROM found"""
+SQL |= {
+    "clean_dimension": "SELECT 'S' || s_suppkey AS hospital_id, s_name AS hospital_name FROM supplier",
+    "clean_demographics": "SELECT 'R' || r_regionkey AS region_id, r_name AS region_name FROM region",
+    "json_documents": """SELECT CAST(s_nationkey AS BIGINT) AS nation, count(*) AS n,
+        string_agg(CAST(s_suppkey AS VARCHAR), '-' ORDER BY s_suppkey) AS suppliers FROM supplier GROUP BY 1""",
+    "listed_files": "SELECT DISTINCT c_mktsegment AS segment FROM customer",
+    "typed_fallback": "SELECT c_name, c_acctbal, CAST(NULL AS VARCHAR) AS note FROM customer",
+    "archived_events": "SELECT hospital_id, count(*) AS n, count(DISTINCT event_id) AS events FROM sent GROUP BY 1",
+    "events_by_day": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1",
+    "answered_question": SQL["intent_wait"],
+}
+
 
 def _needed(sql: str) -> list[str]:
     """Sub-queries a text mentions, in dependency order."""

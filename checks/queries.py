@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardflow import schemas
 from wardflow.functions import calendar, codes, scoring
 from wardflow.functions.numbers import clip
 from wardflow.operators import cleaning, dedup, positions, scores, snapshots, windows
-from wardflow.plans import backtest, questions, recommend, risk, serving, silver, star, training, views
+from wardflow.plans import backtest, job, questions, recommend, risk, serving, silver, star, training, views
 from wardflow.sources import layers, nested, scans, tables
 from wardflow.streaming import department, events, minute_counts
 
@@ -22,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 
 GRAIN = ("hospital_id", "specialty_id", "date_key")
 RUN_DATE = "2025-06-01"
+JOB_WINDOW = (dt.date(1997, 1, 1), dt.date(1997, 6, 30))
 Z_COLUMNS = ["bed_occupancy", "waiting_list_growth", "waiting_list_size", "vacancy_rate", "ae_surge_index"]
 
 
@@ -180,7 +183,7 @@ def forecast_long(d):
 
 @query
 def forecast_listing(d):
-    return plain(serving.forecasts(_long(d), target="waiting_time", horizon=60))
+    return plain(serving.forecasts(_long(d), target="waiting_time", horizon=60, limit=5000))
 
 
 @query
@@ -218,7 +221,9 @@ def _raw(df, **renames):
 @query
 def star_fact(d):
     """Landed feeds cleaned, then joined into the numbered fact."""
-    activity = silver.clean_activity(_raw(d.stored_activity(), specialty="specialty_id"))
+    first = _raw(d.stored_activity(), specialty="specialty_id")
+    again = first.withColumns({"admissions": F.col("admissions") + 1000, "ingest_order": F.lit(2)})
+    activity = silver.clean_activity(first.unionByName(again))  # delivered twice, the first stays
     waiting = silver.clean_waiting_list(_raw(d.waiting(), specialty="specialty_id"))
     fact = star.build_fact(
         activity, waiting, silver.clean_workforce(_raw(d.workforce())),
@@ -526,10 +531,27 @@ def clean_waiting_list(d):
 
 @query
 def clean_activity(d):
-    dirty = _raw(d.activity(), specialty="specialty_id").withColumn(
-        "date", F.when(F.col("admissions") < 4, F.col("date").cast("string")).otherwise("n/a")
+    return plain(silver.clean_activity(_dirty_activity(d.activity())))
+
+
+def _dirty_activity(activity):
+    """Landed activity in which about one grain in a hundred, fixed by its key, has no valid date."""
+    key = F.dayofmonth("date") + F.month("date") * 31 + F.substring("trust_code", 2, 9).cast("int") * 7
+    text = F.when(key % 101 == 0, "n/a").otherwise(F.col("date").cast("string"))
+    return _raw(activity, specialty="specialty_id").withColumn("date", text)
+
+
+@query
+def clean_activity_counts(d):
+    """Rows kept and dropped by cleaning, which add up to all rows, and the line items behind them."""
+    activity = d.stored_activity()
+    dirty = layers.store(_dirty_activity(activity), "dirty")
+    kept = silver.clean_activity(dirty).agg(F.count(F.lit(1)).alias("kept"))
+    dropped = dirty.agg(
+        F.count_if(F.col("date") == "n/a").alias("dropped"), F.sum("admissions").alias("line_items"),
+        F.count(F.lit(1)).alias("all_rows"),
     )
-    return plain(silver.clean_activity(dirty))
+    return plain(dropped.withColumn("kept", kept.scalar()))
 
 
 @query
@@ -663,29 +685,59 @@ def weather_flatten(d):
     )
     parsed = nested.parse(documents, "document", schemas.WEATHER_DOCUMENT)
     flat = nested.flatten_weather(parsed)
-    return plain(nested.within_source_lag(flat, F.lit("2001-08-01").cast("date")))
+    newest = layers.store(flat, "weather").agg(F.max("date")).scalar()  # taken as today, so five days are cut
+    return plain(nested.within_source_lag(flat, newest, today=newest))
 
 
 # Streams ----------------------------------------------------------------------------------------
 
-def _stream_table(d):
-    """Run the event stream to its end (JSON messages in, count log out) and read the log."""
+SLICES = 8
+
+
+def _stream_run(d):
+    """Run the event messages to their end, one file per batch, and keep the log going.
+
+    The messages land in eight files that overlap in time, with broken messages among them. After
+    the run one batch is delivered again, and the log is compacted twice, the folded folders gone.
+    Returns the folders of the count log, the raw archive and the dead letters.
+    """
     spark = d.spark
-    raw = events.replay(
-        spark, d.folder, "events.parquet", schema=d.table("events").schema, files_per_batch=1
+    landed, table, archive, dead = (
+        layers.new_path(spark, n) for n in ("landed", "minute_counts", "raw_archive", "dead")
     )
-    decoded, _ = events.decode(events.encode(d.attendances(raw)))
-    table = layers.new_path(spark, "minute_counts")
+    messages = events.encode(d.attendances()).unionByName(_broken(d))
+    slice_ = F.pmod(F.xxhash64("key", "value"), F.lit(SLICES)).cast("int")
+    messages.withColumn("slice", slice_).repartition("slice").write.partitionBy("slice").parquet(landed)
+    stream = events.replay(spark, landed, schema="key string, value string, slice int", files_per_batch=1)
     q = minute_counts.start_counts(
-        decoded, table, layers.new_path(spark, "stream_checkpoint"), layers.new_path(spark, "raw_archive")
+        stream, table, layers.new_path(spark, "stream_checkpoint"), archive, dead=dead
     )
     minute_counts.run_bounded(q)
-    return minute_counts.read_counts(spark, table)
+    again = spark.read.schema(schemas.EVENT).parquet(f"{archive}/batch_id=3")
+    minute_counts.minute_counts(again).write.mode("overwrite").parquet(f"{table}/batch_id=3")
+    for upto in (2, 5):
+        minute_counts.compact(spark, table, upto)
+        minute_counts.drop_folded(spark, table)
+    return table, archive, dead
+
+
+def _broken(d):
+    """One malformed message per hundred events or so."""
+    return d.table("events").filter(F.col("value") > 95).select(
+        F.lit("H0").alias("key"), F.substring("props", 1, 3).alias("value")
+    )
 
 
 @query
 def stream_minute_agg(d):
-    return plain(_stream_table(d))
+    return plain(minute_counts.read_counts(d.spark, _stream_run(d)[0]))
+
+
+@query
+def stream_dead_letters(d):
+    """Messages the stream could not read, by their text."""
+    dead = d.spark.read.schema("key string, value string, batch_id long").parquet(_stream_run(d)[2])
+    return plain(dead.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query
@@ -709,10 +761,7 @@ def stream_watermark_windows(d):
 def event_messages(d):
     """Events as keyed JSON messages and back, with one malformed message per hundred events."""
     sent = events.encode(d.attendances())
-    broken = d.table("events").filter(F.col("value") > 95).select(
-        F.lit("H0").alias("key"), F.substring("props", 1, 3).alias("value")
-    )
-    good, dead = events.decode(sent.unionByName(broken))
+    good, dead = events.decode(sent.unionByName(_broken(d)))
     return plain(
         good.groupBy("hospital_id", "arrival_mode").agg(F.count(F.lit(1)).alias("n")).unionByName(
             dead.groupBy(F.lit("dead").alias("hospital_id"), F.lit("none").alias("arrival_mode")).agg(
@@ -741,10 +790,12 @@ def stream_run_summary(d):
 
 @query
 def no_loss_check(d):
+    """The stream's count table against the archive of the same run."""
     from wardflow.operators.quality import reconcile
 
-    sent = d.attendances()
-    return plain(reconcile(minute_counts.minute_counts(sent), sent, "attendances"))
+    table, archive, _ = _stream_run(d)
+    raw = d.spark.read.schema(schemas.EVENT).parquet(archive)
+    return plain(reconcile(minute_counts.read_counts(d.spark, table), raw, "attendances"))
 
 
 @query
@@ -760,7 +811,7 @@ def dept_latest(d):
 @query
 def pressure_metrics(d):
     series = layers.store(department.national_series(d.department()), "series")
-    return plain(questions.pressure_summary(department.pressure_metrics(series)).drop("summary"))
+    return plain(questions.pressure_summary(department.pressure_metrics(series)))
 
 
 @query
@@ -874,16 +925,143 @@ def _daily_fact(d):
     )
 
 
+@query
+def training_days(d):
+    """The national daily series with the lags, means and calendar columns a model is fitted on."""
+    daily = layers.store(training.national_daily(_daily_fact(d), "bed_occupancy_pct", "mean"), "daily")
+    x, names = training._occupancy_features(daily, "bed_occupancy_pct")
+    kept = [n for n in names if n not in training.EXOGENOUS]
+    return plain(x.select("date_key", "bed_occupancy_pct", *kept), 6)
+
+
 @query
 def trained_forecasts(d):
-    """All four model jobs with small ensembles, as one forecast table."""
-    out = training.train_all(
-        _daily_fact(d), d.workforce(), d.hospitals(), RUN_DATE, trees=5, horizons=(30,)
+    """All four model jobs with small ensembles: what the forecast table holds per target and horizon."""
+    out = training.train_all(_daily_fact(d), d.workforce(), d.hospitals(), RUN_DATE, trees=5)
+    return plain(
+        out.groupBy("target", "model", "horizon_days", "is_future").agg(
+            F.count(F.lit(1)).alias("n"), F.min("date_key").alias("first_day"), F.max("date_key").alias("last_day"),
+            F.count_distinct("hospital_id").alias("hospitals"), F.count_distinct("role").alias("roles"),
+            F.count_if(F.col("yhat").isNull()).alias("unknown"),
+            F.count_if(F.col("yhat_lower") > F.col("yhat_upper")).alias("crossed_bands"),
+        )
     )
-    return plain(out, 6)
 
 
 @query
 def gbt_backtest(d):
-    metrics, _ = backtest.backtest(_daily_fact(d), RUN_DATE, trees=5)
-    return plain(metrics)
+    """Held-out points per model, and whether its scores are recomputed from the stored pairs."""
+    metrics, series = backtest.backtest(_daily_fact(d), RUN_DATE, trees=5)
+    series = layers.store(serving.validation_series(series), "series")
+    error = F.abs(F.col("actual") - F.col("predicted"))
+    again = series.agg(F.round(F.avg(error), 2)).scalar()
+    of_series = (F.col("target") == "Capacity pressure") & (F.abs(F.col("mae") - again) > 0.011)
+    return plain(
+        layers.store(metrics, "metrics").select(
+            "target", "model", "n_eval", "holdout_days",
+            (F.col("mae") >= 0).alias("mae_known"), F.col("accuracy").between(0, 100).alias("accuracy_in_range"),
+            (~of_series).alias("mae_of_series"),
+        )
+    )
+
+
+# Landing to warehouse ---------------------------------------------------------------------------
+
+def _landed_job(d):
+    """The batch job from landed feeds that reach far beyond its window of half a year."""
+    activity = d.stored_activity().withColumnRenamed("specialty_id", "specialty")
+    feeds = {
+        "activity": activity.withColumn("date", F.col("date").cast("string")),
+        "waiting_list": d.waiting().withColumnRenamed("specialty_id", "specialty"),
+        "workforce": d.workforce(), "illness": d.illness().withColumn("date", F.col("date").cast("string")),
+        "weather": d.weather().withColumn("date", F.col("date").cast("string")),
+        "demographics": d.regions().select("region_id", "region_name", F.lit(1).cast("long").alias("population"), "country"),
+        "dim_hospital": d.hospitals(), "dim_specialty": d.specialties(), "dim_region": d.regions(),
+    }
+    landing, warehouse = layers.new_path(d.spark, "landing"), layers.new_path(d.spark, "warehouse")
+    tables.land(feeds, landing, "2025-05-01")
+    return job.build_warehouse(job.landed_feeds(d.spark, landing), warehouse, *JOB_WINDOW)
+
+
+@query
+def job_fact(d):
+    return plain(_landed_job(d)["hospital_activity_fact"])
+
+
+@query
+def clean_dimension(d):
+    """Padded ids, delivered twice: trimmed, the first row stays."""
+    first = d.table("supplier").select(
+        F.concat(F.lit(" S"), "s_suppkey", F.lit(" ")).alias("hospital_id"), F.col("s_name").alias("hospital_name"),
+        F.lit(1).alias("ingest_order"),
+    )
+    again = first.withColumns({"hospital_name": F.lit("later"), "ingest_order": F.lit(2)})
+    return plain(silver.clean_dim_hospital(first.unionByName(again)))
+
+
+@query
+def clean_demographics(d):
+    regions = d.regions().select("region_id", F.col("region_name").alias(" Region_Name"), F.lit(1).alias("ingest_order"))
+    again = regions.withColumns({" Region_Name": F.lit("later"), "ingest_order": F.lit(2)})
+    return plain(silver.clean_demographics(regions.unionByName(again)))
+
+
+@query
+def json_documents(d):
+    """One JSON document per nation, each a file of its own, with its suppliers as a list."""
+    folder = layers.new_path(d.spark, "documents")
+    rows = d.table("supplier").groupBy("s_nationkey").agg(
+        F.sort_array(F.collect_list("s_suppkey")).alias("suppliers"), F.count(F.lit(1)).alias("n")
+    )
+    value = F.to_json(F.struct(F.col("s_nationkey").alias("nation"), "suppliers", "n"))
+    rows.select("s_nationkey", value.alias("value")).write.partitionBy("s_nationkey").text(folder)
+    schema = T.StructType.fromDDL("nation long, suppliers array<long>, n long")
+    back = scans.read_json_documents(d.spark, folder, schema)
+    return plain(back.select("nation", "n", F.array_join("suppliers", "-").alias("suppliers")))
+
+
+@query
+def listed_files(d):
+    """Parquet files found below a folder, by the partition their path names."""
+    folder = layers.new_path(d.spark, "listed")
+    d.table("customer").write.partitionBy("c_mktsegment").parquet(folder)
+    found = scans.list_parquet_files(d.spark, folder)
+    segment = F.regexp_extract("path", "c_mktsegment=([^/]+)", 1)
+    return plain(found.filter("length > 0").select(segment.alias("segment")).distinct())
+
+
+@query
+def typed_fallback(d):
+    """Frames of a declared schema; what no frame has stays NULL."""
+    schema = T.StructType.fromDDL("c_name string, c_acctbal double, note string")
+    some = dedup.union_or_empty(d.spark, [d.table("customer").select("c_name", "c_acctbal")], schema)
+    none = dedup.union_or_empty(d.spark, [], schema)
+    return plain(some.unionByName(none))
+
+
+@query
+def archived_events(d):
+    """The append-only archive of the event stream."""
+    raw = events.replay(d.spark, d.folder, "events.parquet", schema=d.table("events").schema)
+    archive = layers.new_path(d.spark, "archive")
+    q = minute_counts.archive_events(d.attendances(raw), archive, layers.new_path(d.spark, "stream_checkpoint"))
+    minute_counts.run_bounded(q)
+    stored = d.spark.read.schema(schemas.EVENT).parquet(archive)
+    return plain(stored.groupBy("hospital_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events")))
+
+
+@query
+def events_by_day(d):
+    return plain(d.table("events").groupBy(calendar.day(F.col("ts").cast("timestamp")).alias("day")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def answered_question(d):
+    """A question routed to its intent and answered by that intent's rows."""
+    def wait():
+        return serving.intent_wait(d.stored_columns("date_key", "specialty_id", "median_wait_days"), d.specialties())
+
+    views = {"wait": wait, "ae": lambda: serving.intent_ae(d.fact()), "bed": lambda: serving.intent_bed(d.fact()),
+             "staff": lambda: serving.intent_staff(d.fact(), d.hospitals()),
+             "risk": lambda: serving.intent_risk(d.stored_risk, d.hospitals(), d.regions())}
+    return plain(questions.answer(d.spark, "Why are waiting times rising?", views))

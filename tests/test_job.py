@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from wardflow import schemas
@@ -74,3 +75,6 @@ def test_date_range():
     today = dt.date(2025, 7, 1)
     assert job.date_range([], today) == (dt.date(2025, 1, 2), today)
     assert job.date_range(["2025-01-01", "2025-02-01"], today) == (dt.date(2025, 1, 1), dt.date(2025, 2, 1))
+    assert job.date_range(["2025-01-01"], today) == (dt.date(2025, 1, 1), today)
+    with pytest.raises(ValueError):
+        job.date_range(["2025-08-01"], today)

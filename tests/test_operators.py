@@ -128,12 +128,15 @@ def test_blocked_windows_equal_plain_windows(spark):
 
 # quantiles --------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("direct", [1_000_000, 0, 50])
-@pytest.mark.parametrize("shape", ["spread", "ties", "hot"])
-def test_exact_quantiles(spark, direct, shape):
+@pytest.mark.parametrize("accuracy", [10_000, 100, 20])
+@pytest.mark.parametrize("shape", ["spread", "ties", "hot", "tiny"])
+def test_exact_quantiles(spark, accuracy, shape, monkeypatch):
+    """A coarse sketch stands for a column far larger than the sketch."""
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
     rng = np.random.default_rng(1)
     x = {
         "spread": rng.normal(size=3000),
+        "tiny": rng.normal(size=3),
         "ties": rng.integers(0, 4, size=3000).astype(float),
         "hot": np.concatenate([np.full(2000, 5.0), rng.normal(size=1000)]),
     }[shape]
@@ -141,16 +144,15 @@ def test_exact_quantiles(spark, direct, shape):
         "y", F.when(F.col("y") < 100, F.col("y"))
     )
     probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = quantiles.exact_quantiles(df, {"x": probs, "y": [0.5]}, direct_rows=direct)
+    got = quantiles.exact_quantiles(df, {"x": probs, "y": [0.5]})
     for p in probs:
         assert got["x"][p] == pytest.approx(np.quantile(x, p), abs=1e-12)
     assert got["y"][0.5] == pytest.approx(np.quantile(x * 2, 0.5), abs=1e-12)
 
 
-@pytest.mark.parametrize("direct", [1_000_000, 0])
-def test_quantiles_of_nothing(spark, direct):
+def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "x double, y double")
-    got = quantiles.exact_quantiles(df, {"x": [0.5], "y": [0.5]}, direct_rows=direct)
+    got = quantiles.exact_quantiles(df, {"x": [0.5], "y": [0.5]})
     assert got == {"x": {0.5: None}, "y": {0.5: 1.5}}
 
 
@@ -267,10 +269,9 @@ def test_error_scores(spark):
     assert tuple(scores.mean_errors(pair).first()) == (3.0, pytest.approx(0.175))
 
 
-@pytest.mark.parametrize("direct", [None, 0])
-def test_describe(spark, direct):
+def test_describe(spark):
     df = spark.createDataFrame([(str(v),) for v in (1, 2, 3, 10)] + [("x",)], "v string")
-    got = scores.describe(df, ["v"], direct_rows=direct).first()
+    got = scores.describe(df, ["v"]).first()
     want = pd.Series([1.0, 2.0, 3.0, 10.0]).describe()
     assert [got[c] for c in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")] == pytest.approx(list(want))
 

@@ -131,12 +131,48 @@ class StandInFrame:
 
 def test_write_retries():
     waits, frame = [], StandInFrame(1)
-    assert jdbc.write_table(frame, "jdbc:x", "t", sleep=waits.append) == 2
-    assert waits == [2] and frame.saved[0]["batchsize"] == "200" and frame.saved[0]["mode"] == "append"
+    assert jdbc.write_table(frame, "jdbc:x", "t", "replace", sleep=waits.append) == 2
+    assert waits == [2] and frame.saved[0]["batchsize"] == "200" and frame.saved[0]["mode"] == "overwrite"
     waits, frame = [], StandInFrame(4)
     with pytest.raises(OSError):
-        jdbc.write_table(frame, "jdbc:x", "t", sleep=waits.append)
+        jdbc.write_table(frame, "jdbc:x", "t", "replace", sleep=waits.append)
     assert waits == [2, 4, 8] and not frame.saved
+    with pytest.raises(ValueError):
+        jdbc.write_table(frame, "jdbc:x", "t")
+
+
+def test_errors_that_stay_are_not_retried():
+    def wrong():
+        raise ValueError("column n_beds does not exist")
+
+    waits = []
+    with pytest.raises(ValueError):
+        jdbc.with_retries(wrong, "t", waits.append)
+    assert waits == []
+
+
+def test_partly_committed_attempt_does_not_double_rows():
+    """A stand-in database whose first attempt loads half of the rows, then loses the connection."""
+    tables, swaps = {"t": [0], "t_staging": []}, []
+
+    class Frame(StandInFrame):
+        def save(self):
+            rows = tables[self.target["dbtable"]]
+            if self.target["mode"] == "overwrite":
+                rows.clear()
+            rows.extend([1, 2] if self.failures else [1, 2, 3, 4])
+            super().save()
+
+    def swap(staging, table):
+        swaps.append(table)
+        tables[table] += tables[staging]
+
+    write = jdbc.publisher("jdbc:x", swap)
+    frame = Frame(1)
+    frame_write = jdbc.write_table(frame, "jdbc:x", "t", sleep=lambda s: None, swap=swap)
+    assert frame_write == 2 and swaps == ["t"] and tables["t"] == [0, 1, 2, 3, 4]
+    write(Frame(0), "t", "append")
+    assert tables["t"] == [0, 1, 2, 3, 4, 1, 2, 3, 4]
 
 
 def test_retried_append_goes_through_a_staging_table():

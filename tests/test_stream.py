@@ -74,12 +74,36 @@ def test_replayed_batch_does_not_count_twice(spark, sent, folder, tmp_path):
     batch = spark.read.schema(schemas.EVENT).parquet(f"{tmp_path}/t_raw/batch_id=0")
     minute_counts.minute_counts(batch).write.mode("overwrite").parquet(f"{tmp_path}/t/batch_id=0")
     assert rows(minute_counts.read_counts(spark, f"{tmp_path}/t")) == before
-    minute_counts.compact(spark, f"{tmp_path}/t", f"{tmp_path}/base", 1)
-    assert rows(minute_counts.read_counts(spark, f"{tmp_path}/t", f"{tmp_path}/base", 1)) == before
     # restarting on a drained source adds nothing
     assert rows(run(spark, folder, tmp_path, 2)) == before
 
 
+def test_compacting_again_and_again_keeps_all_counts(spark, sent, folder, tmp_path):
+    want, table = rows(run(spark, folder, tmp_path, 1)), f"{tmp_path}/t"
+    for upto in (0, 2, 2, 3):
+        minute_counts.compact(spark, table, upto)
+        assert rows(minute_counts.read_counts(spark, table)) == want
+        minute_counts.drop_folded(spark, table)
+        assert rows(minute_counts.read_counts(spark, table)) == want
+    # a base whose job did not end is not read
+    minute_counts.minute_counts(sent).write.parquet(f"{table}_base/upto=4")
+    (tmp_path / "t_base" / "upto=4" / "_SUCCESS").unlink()
+    assert rows(minute_counts.read_counts(spark, table)) == want
+    # late rows after a compaction still count
+    minute_counts.minute_counts(sent.limit(7)).write.parquet(f"{table}/batch_id=9")
+    assert minute_counts.read_counts(spark, table).agg(F.sum("attendances")).first()[0] == 507
+
+
+def test_dead_letters_of_the_stream(spark, sent, tmp_path):
+    bad = spark.createDataFrame([("H1", "{bad"), ("H1", None), (None, "7")], "key string, value string")
+    events.encode(sent).unionByName(bad).repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = events.replay(spark, f"{tmp_path}/in", schema="key string, value string", files_per_batch=1)
+    q = minute_counts.start_counts(stream, f"{tmp_path}/t", f"{tmp_path}/cp", dead=f"{tmp_path}/dead")
+    minute_counts.run_bounded(q, 120)
+    assert rows(minute_counts.read_counts(spark, f"{tmp_path}/t")) == rows(minute_counts.minute_counts(sent))
+    assert spark.read.parquet(f"{tmp_path}/dead").count() == 3
+
+
 def test_region_of_the_first_batch_wins(spark):
     at = dt.datetime(2025, 1, 1)
     log = spark.createDataFrame(
@@ -90,8 +114,9 @@ def test_region_of_the_first_batch_wins(spark):
 
 def test_watermarked_windows(spark, sent, folder, tmp_path):
     stream = events.replay(spark, str(folder), files_per_batch=1)
-    q = minute_counts.start_windows(stream, f"{tmp_path}/w", f"{tmp_path}/w_cp")
+    q = minute_counts.start_windows(stream, f"{tmp_path}/w", f"{tmp_path}/w_cp", "1 day")
     minute_counts.run_bounded(q, 120)
+    assert minute_counts.dropped_late(q) == 0
     assert rows(minute_counts.read_windows(spark, f"{tmp_path}/w")) == rows(minute_counts.minute_counts(sent))
 
 
@@ -152,7 +177,7 @@ def test_pressure_metrics(spark, minutes):
     want = expected_pressure([r.asDict() for r in series.orderBy("minute_ts").collect()])
     assert tuple(got.first()) == pytest.approx(want)
     line = questions.pressure_summary(got).first().summary
-    assert line.startswith("Arrivals vs baseline: +") and "Ambulances waiting" in line
+    assert line.startswith("Recent arrivals are +") and "ambulances wait" in line
 
 
 def test_department_feed_as_stream(spark, tmp_path):

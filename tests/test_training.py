@@ -54,7 +54,7 @@ def test_baseline_follows_trend_and_weekday(spark):
     start = dt.date(2024, 1, 1)
     data = [(start + dt.timedelta(days=i), 100 + 0.1 * i + 20 * ((i % 7) == 5)) for i in range(200)]
     daily = spark.createDataFrame(data, "date_key date, v double")
-    model = training.fit_baseline(daily, "v")
+    model = training.fit_baseline(daily, "v", yearly=False)
     future = spark.createDataFrame([(start + dt.timedelta(days=i),) for i in range(200, 214)], "date_key date")
     got = by_key(model.predict(future), "date_key")
     for i in range(200, 214):
@@ -123,13 +123,19 @@ def test_backtest(fact):
     assert got["Waiting time"]["n_eval"] == 60
 
 
-def test_failing_models_are_skipped(spark, fact, caplog):
-    metrics, series = backtest.backtest(fact.drop("flu_index", "median_wait_days"), "2025-06-01", trees=2)
-    assert [r[0] for r in rows(metrics.select("target"))] == ["A&E demand"]
+def test_models_with_too_little_history_are_reported(spark, caplog):
+    metrics, series = backtest.backtest(make_fact(spark, 40), "2025-06-01", trees=2)
+    got = {r.target: (r.n_eval, r.mae) for r in metrics.collect()}
+    assert got["Capacity pressure"] == (0, None) == got["Waiting time"] and got["A&E demand"][0] == 30
     assert series.count() == 0 and series.schema == schemas.FORECAST_ACTUAL
     assert "skipped" in caplog.text
 
 
+def test_other_failures_are_raised(fact):
+    with pytest.raises(Exception, match="median_wait_days"):
+        backtest.backtest(fact.drop("median_wait_days"), "2025-06-01", trees=2)
+
+
 def test_train_all(spark, fact, staff):
     hospitals = spark.createDataFrame(
         [(f"H{i}", "", f"T{i}", "", "LON", "Acute", 1) for i in range(8)], schemas.DIM_HOSPITAL

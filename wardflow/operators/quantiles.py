@@ -1,9 +1,11 @@
-"""Exact interpolated quantiles that never gather a large column in one task.
-
-Up to DIRECT_ROWS values the built-in percentile() is used. Beyond that each wanted rank is
-enclosed between two values with percentile_approx (a sketch of fixed size), rows below and inside
-the bracket are counted, and the bracket is narrowed until it is small enough to sort. Only a few
-numbers per round come back to the driver.
+"""Exact interpolated quantiles that never gather a column in one task: the same three passes for
+every size.
+
+1. percentile_approx, a sketch of fixed size, gives two edges around each wanted rank.
+2. Rows below and up to the edges are counted; an edge that misses its rank moves to the minimum or
+   maximum (which happens where a column has fewer rows than the sketch has cells).
+3. Values between the edges are counted per value and summed up in order; one row per wanted rank
+   comes back.
 """
 
 from __future__ import annotations
@@ -11,119 +13,95 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 1_000_000
 ACCURACY = 10_000
 
 
 @dataclass
 class _Bracket:
-    """One wanted 0-based rank of a column, known to lie between two values."""
+    """Two values that enclose the 0-based ranks `first` and `last` of a column."""
 
     col: str
-    rank: int
+    probability: float
+    first: int
+    last: int
     lo: float
     hi: float
-    before: int = 0
-    inner: int = 0
+    size: int
+    least: float
+    most: float
+    below: int = 0
 
     def inside(self) -> Column:
-        return (F.col(self.col) > self.lo) & (F.col(self.col) < self.hi)
+        return F.col(self.col).between(self.lo, self.hi)
 
 
-def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], direct_rows: int = DIRECT_ROWS
-) -> dict[str, dict[float, float | None]]:
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, dict[float, float | None]]:
     """{column: {probability: value}}; NULLs are ignored, an empty column gives None."""
-    cols = list(wanted)
+    cols = [c for c in wanted if wanted[c]]
+    out: dict[str, dict[float, float | None]] = {c: dict.fromkeys(wanted[c]) for c in wanted}
+    if not cols:
+        return out
     df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    head = df.agg(
-        *[f(c).alias(f"{n}_{i}") for i, c in enumerate(cols)
-          for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
-    size = {c: head[f"n_{i}"] for i, c in enumerate(cols)}
-    if max(size.values()) <= direct_rows:
-        row = df.agg(*[F.percentile(c, F.array(*map(F.lit, wanted[c]))).alias(c) for c in cols]).first()
-        return {c: dict(zip(wanted[c], row[c] or [None] * len(wanted[c]))) for c in cols}
-
-    brackets = {}
-    for i, c in enumerate(cols):
-        for p in wanted[c] if size[c] else []:
-            at = p * (size[c] - 1)
-            for r in {math.floor(at), math.ceil(at)}:
-                brackets[c, r] = _Bracket(c, r, head[f"lo_{i}"], head[f"hi_{i}"])
-    values = _values_at(df, list(brackets.values()), direct_rows)
-
-    out: dict[str, dict[float, float | None]] = {}
-    for c in cols:
-        out[c] = {}
-        for p in wanted[c]:
-            if not size[c]:
-                out[c][p] = None
-                continue
-            at = p * (size[c] - 1)
-            a, b = values[c, math.floor(at)], values[c, math.ceil(at)]
-            out[c][p] = a + (b - a) * (at - math.floor(at))
+    brackets = _sketched(df, {c: wanted[c] for c in cols})
+    if not brackets:
+        return out
+    _enclose(df, brackets)
+    for b, (x, y) in zip(brackets, _values(df, brackets)):
+        at = b.probability * (b.size - 1)
+        out[b.col][b.probability] = x + (y - x) * (at - b.first)
     return out
 
 
-def _values_at(df: DataFrame, open_: list[_Bracket], direct_rows: int) -> dict:
-    found = {}
-    while open_:
-        open_ = _count(df, open_, found)
-        large = [b for b in open_ if b.inner > direct_rows]
-        for b in open_:
-            if b.inner <= direct_rows:
-                x = F.col(b.col)
-                row = df.filter(b.inside()).select(x).orderBy(x).offset(b.rank - b.before).limit(1)
-                found[b.col, b.rank] = row.first()[0]
-        if large:
-            _narrow(df, large)
-        open_ = large
-    return found
-
-
-def _count(df: DataFrame, open_: list[_Bracket], found: dict) -> list[_Bracket]:
-    """Settle ranks that fall on a bracket edge; note the rows before and inside the others."""
+def _sketched(df: DataFrame, wanted: dict[str, list[float]]) -> list[_Bracket]:
     aggs = []
-    for i, b in enumerate(open_):
-        x = F.col(b.col)
+    for i, (c, ps) in enumerate(wanted.items()):
+        edges = [min(max(p + side * 2 / ACCURACY, 0.0), 1.0) for p in ps for side in (-1, 1)]
         aggs += [
-            F.count_if(x < b.lo).alias(f"below_{i}"), F.count_if(x <= b.lo).alias(f"to_lo_{i}"),
-            F.count_if(x < b.hi).alias(f"to_hi_{i}"),
+            F.count(c).alias(f"n_{i}"), F.min(c).alias(f"lo_{i}"), F.max(c).alias(f"hi_{i}"),
+            F.percentile_approx(c, edges, ACCURACY).alias(f"edges_{i}"),
         ]
-    row, rest = df.agg(*aggs).first(), []
-    for i, b in enumerate(open_):
-        if b.rank < row[f"to_lo_{i}"]:
-            found[b.col, b.rank] = b.lo
-        elif b.rank >= row[f"to_hi_{i}"]:
-            found[b.col, b.rank] = b.hi
-        else:
-            b.before, b.inner = row[f"to_lo_{i}"], row[f"to_hi_{i}"] - row[f"to_lo_{i}"]
-            rest.append(b)
-    return rest
-
-
-def _narrow(df: DataFrame, large: list[_Bracket]) -> None:
-    """Shrink each bracket to about 4 / ACCURACY of its rows around the wanted rank."""
+    row, out = df.agg(*aggs).first(), []
+    for i, (c, ps) in enumerate(wanted.items()):
+        n = row[f"n_{i}"]
+        for j, p in enumerate(ps if n else []):
+            at = p * (n - 1)
+            lo, hi = row[f"edges_{i}"][2 * j : 2 * j + 2]
+            out.append(
+                _Bracket(c, p, math.floor(at), math.ceil(at), lo, hi, n, row[f"lo_{i}"], row[f"hi_{i}"])
+            )
+    return out
+
+
+def _enclose(df: DataFrame, brackets: list[_Bracket]) -> None:
     aggs = []
-    for i, b in enumerate(large):
-        at = (b.rank - b.before) / b.inner
-        edges = [max(at - 2 / ACCURACY, 0.0), min(at + 2 / ACCURACY, 1.0)]
-        kept = F.when(b.inside(), F.col(b.col))
-        aggs += [
-            F.percentile_approx(kept, edges, ACCURACY).alias(f"e_{i}"),
-            F.min(kept).alias(f"lo_{i}"), F.max(kept).alias(f"hi_{i}"),
-        ]
+    for i, b in enumerate(brackets):
+        aggs += [F.count_if(F.col(b.col) < b.lo).alias(f"below_{i}"), F.count_if(F.col(b.col) <= b.hi).alias(f"upto_{i}")]
     row = df.agg(*aggs).first()
-    checks = []
-    for i, b in enumerate(large):
-        lo, hi = row[f"e_{i}"]
-        checks += [F.count_if(F.col(b.col) < lo), F.count_if(F.col(b.col) <= hi)]
-    enclosed = df.agg(*[c.alias(f"c{j}") for j, c in enumerate(checks)]).first()
-    for i, b in enumerate(large):
-        lo, hi = row[f"e_{i}"]
-        b.lo = lo if enclosed[2 * i] <= b.rank else row[f"lo_{i}"]
-        b.hi = hi if b.rank < enclosed[2 * i + 1] else row[f"hi_{i}"]
+    for i, b in enumerate(brackets):
+        b.below = row[f"below_{i}"]
+        if b.below > b.first:
+            b.lo, b.below = b.least, 0
+        if row[f"upto_{i}"] <= b.last:
+            b.hi = b.most
+
+
+def _values(df: DataFrame, brackets: list[_Bracket]) -> list[tuple[float, float]]:
+    """Values at the first and last rank of each bracket."""
+    hits = [F.when(b.inside(), F.struct(F.lit(i).alias("i"), F.col(b.col).alias("x"))) for i, b in enumerate(brackets)]
+    counted = (
+        df.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.i", "h.x")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("x"))
+
+    def rank(which: str) -> Column:
+        pairs = [F.lit(v) for i, b in enumerate(brackets) for v in (i, getattr(b, which) - b.below)]
+        return F.element_at(F.create_map(*pairs), F.col("i"))
+
+    at = lambda which: F.min(F.when(F.col("upto") > rank(which), F.col("x")))
+    rows = counted.withColumn("upto", upto).groupBy("i").agg(at("first").alias("a"), at("last").alias("b")).collect()
+    found = {r["i"]: (r["a"], r["b"]) for r in rows}
+    return [found[i] for i in range(len(brackets))]

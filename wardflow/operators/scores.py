@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -74,11 +75,10 @@ def mean_errors(df: DataFrame, actual: str = "actual", predicted: str = "predict
     )
 
 
-def describe(df: DataFrame, cols: list[str], direct_rows: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles and max: one row per metric."""
     df = df.select(*[to_number(F.col(c)).alias(c) for c in cols])
-    limit = {} if direct_rows is None else {"direct_rows": direct_rows}
-    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, **limit)
+    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     stats = df.agg(
         *[
             F.struct(
@@ -94,16 +94,22 @@ def describe(df: DataFrame, cols: list[str], direct_rows: int | None = None) ->
     return stats.select(F.explode(F.array(*cols)).alias("s")).select("s.*")
 
 
-def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair on rows where both are known, in one pass."""
-    df = df.select(*[to_number(F.col(c)).alias(c) for c in cols])
-    pairs = list(combinations(cols, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (round_even(F.col(f"`{a}|{b}`"), 2) + 0.0).alias("r"))
-        for a, b in pairs
-    ]
-    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+def correlations(df: DataFrame, cols: list[str], pairs_at_once: int = 6) -> DataFrame:
+    """Pearson correlation of every column pair on rows where both are known.
+
+    The columns are stored first; few pairs at a time keep each aggregate within compiled code.
+    """
+    df = store(df.select(*[to_number(F.col(c)).alias(c) for c in cols]), "correlated")
+    pairs, parts = list(combinations(cols, 2)), []
+    for start in range(0, len(pairs), pairs_at_once):
+        some = pairs[start : start + pairs_at_once]
+        row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in some])
+        cells = [
+            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (round_even(F.col(f"`{a}|{b}`"), 2) + 0.0).alias("r"))
+            for a, b in some
+        ]
+        parts.append(row.select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def shares(df: DataFrame, label: str, n: str = "n", whole_percent: bool = False) -> DataFrame:

@@ -34,7 +34,8 @@ def backtest(
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics per model, predicted-vs-actual series of the occupancy model).
 
-    A model that cannot be fitted on the data is skipped with a warning. Pass a stored fact.
+    A model with too little history to fit has a row without scores and 0 evaluated points; any
+    other failure is raised. Pass a stored fact.
     """
     spark = fact.sparkSession
     train, held = split_holdout(fact, holdout_days)
@@ -72,8 +73,9 @@ def backtest(
                 F.col("date_key").alias("date"), "actual", "predicted",
             )
             pairs = store(pairs, "pairs")
-        except Exception as exc:  # a series too short for one model must not hide the others
+        except training.TooLittleHistory as exc:  # must not hide the other models
             log.warning("back-test of %s skipped: %s", target, exc)
+            scored.append(spark.sql(f"SELECT '{target}' AS target, '{model}' AS model, 0L AS n_eval"))
             continue
         scored.append(error_scores(pairs, ["target", "model"]))
         if job is occupancy:

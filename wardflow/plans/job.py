@@ -8,7 +8,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.calendar import build_dim_date
@@ -21,10 +20,13 @@ DEFAULT_DAYS = 180
 
 
 def date_range(args: list[str], today: dt.date) -> tuple[dt.date, dt.date]:
-    """START END from the arguments, or the last 180 days."""
-    if len(args) >= 2:
-        return dt.date.fromisoformat(args[0]), dt.date.fromisoformat(args[1])
-    return today - dt.timedelta(days=DEFAULT_DAYS), today
+    """START END from the arguments, START alone up to today, or the last 180 days."""
+    if not args:
+        return today - dt.timedelta(days=DEFAULT_DAYS), today
+    start, end = dt.date.fromisoformat(args[0]), dt.date.fromisoformat(args[1]) if args[1:] else today
+    if start > end:
+        raise ValueError(f"{start} is after {end}")
+    return start, end
 
 
 def landed_feeds(spark: SparkSession, landing: str) -> dict[str, DataFrame]:
@@ -39,22 +41,19 @@ def build_warehouse(
     spark = next(iter(feeds.values())).sparkSession
     tables: dict[str, DataFrame] = {}
 
-    def write(df: DataFrame, name: str, schema=None) -> None:
+    def write(df: DataFrame, name: str, schema=None, partition_by: list[str] | None = None) -> None:
         path = f"{warehouse}/{name}"
         if schema is None:
-            create_or_replace(df, name, path)
+            create_or_replace(df, name, path, partition_by)
         else:
-            replace_load(df, name, schema, path)
-        tables[name] = spark.table(name)
+            replace_load(df, name, schema, path, partition_by)
+        tables[name] = spark.table(name).select(*(schema.names if schema else df.columns))
 
-    day = F.col("date")
-    cleaned = silver.clean_all(feeds)
+    # rows outside the window never reach de-duplication or the clip bounds
+    cleaned = silver.clean_all(silver.within(feeds, start, end))
     for name in ("activity", "waiting_list", "workforce", "illness", "weather", "demographics"):
         if name in cleaned:
-            df = cleaned[name]
-            if name in ("activity", "illness", "weather"):
-                df = df.filter((day >= F.lit(start)) & (day <= F.lit(end)))
-            write(df, f"silver_{name}")
+            write(cleaned[name], f"silver_{name}")
     write(build_dim_date(spark, start, end), "dim_date", schemas.DIM_DATE)
     write(cleaned["dim_hospital"], "dim_hospital", schemas.DIM_HOSPITAL)
     write(cleaned["dim_specialty"], "dim_specialty", schemas.DIM_SPECIALTY)
@@ -63,7 +62,7 @@ def build_warehouse(
         tables["silver_activity"], tables.get("silver_waiting_list"), tables["silver_workforce"],
         tables["silver_illness"], tables["silver_weather"], tables["dim_hospital"],
     )
-    write(fact, "hospital_activity_fact", schemas.FACT)
+    write(fact, "hospital_activity_fact", schemas.FACT, ["date_key"])
     write(star.feature_table(tables["hospital_activity_fact"]), "hospital_activity_features")
     return tables
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -15,6 +17,20 @@ def route(questions: DataFrame, col: str = "question") -> DataFrame:
     )
 
 
+def answer(spark: SparkSession, question: str, views: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The rows that answer one question: its intent chooses among the views, one per intent."""
+    chosen = spark.range(1).select(text.intent(F.lit(question)).alias("intent")).first()["intent"]
+    return views[chosen]()
+
+
+def checked_query(spark: SparkSession, sql: str) -> DataFrame:
+    """Run one query text if the audit accepts it."""
+    reason = spark.range(1).select(text.audit_reason(F.lit(sql)).alias("reason")).first()["reason"]
+    if reason is not None:
+        raise ValueError(f"query refused: {reason}")
+    return spark.sql(sql)
+
+
 def audit(log: DataFrame, col: str = "sql") -> DataFrame:
     """Adds why each logged text would be refused and whether it passes."""
     return log.withColumn("reason", text.audit_reason(F.col(col))).withColumn(

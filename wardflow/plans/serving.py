@@ -95,14 +95,17 @@ def red_in_top_list(top_trusts: DataFrame) -> DataFrame:
 
 # Forecasts --------------------------------------------------------------------------------------
 
-def forecasts(long: DataFrame, target: str | None = None, horizon: int | None = None) -> DataFrame:
-    """Forecast listing with optional filters, ordered by date, at most 5000 rows."""
+def forecasts(
+    long: DataFrame, target: str | None = None, horizon: int | None = None, limit: int | None = None
+) -> DataFrame:
+    """Forecast listing with optional filters, ordered by date; whole unless a limit is given."""
     if target:
         long = long.filter(F.col("target") == target)
     if horizon:
         long = long.filter(F.col("horizon_days") == horizon)
     order = ["date_key", "target", "horizon_days", "hospital_name", "specialty_name", "yhat"]
-    return long.orderBy(*order).limit(5000)
+    listed = long.orderBy(*order)
+    return listed if limit is None else listed.limit(limit)
 
 
 def national_forecast_line(long: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
 from collections.abc import Callable
 
@@ -110,6 +111,22 @@ CLEANERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def within(feeds: dict[str, DataFrame], start: dt.date, end: dt.date) -> dict[str, DataFrame]:
+    """The rows of dated feeds from start to end, and waiting periods from start's month to end's.
+
+    Dates are read as the cleaners read them; rows without a readable date can't be kept by them.
+    """
+    out = dict(feeds)
+    for name, df in feeds.items():
+        named = {c.strip().lower(): c for c in df.columns}
+        if name in ("activity", "illness", "weather") and "date" in named:
+            out[name] = df.filter(parse_date(F.col(f"`{named['date']}`")).between(F.lit(start), F.lit(end)))
+        elif name == "waiting_list" and "period" in named:
+            month = F.substring(F.col(f"`{named['period']}`").cast("string"), 1, 7)
+            out[name] = df.filter(month.between(f"{start:%Y-%m}", f"{end:%Y-%m}"))
+    return out
+
+
 def clean_all(feeds: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Clean every known feed; unknown names are skipped with a warning."""
     cleaned = {}

@@ -14,6 +14,7 @@ from ..operators.dedup import distinct_pairs
 from ..operators.positions import with_position
 from ..operators.scores import regional_zscores
 from ..operators.windows import add_all
+from ..sources.layers import store
 
 
 def workforce_totals(workforce: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def build_fact(
         "bed_occupancy_pct", percent(F.col("bed_occupancy_count"), F.col("bed_capacity"))
     )
     fact = fact.join(distinct_pairs(hospitals, "trust_code", "hospital_id"), "trust_code", "left")
-    if with_ids:
-        fact = with_activity_ids(fact)
+    if with_ids:  # numbering reads the rows several times, the joins run once
+        fact = with_activity_ids(store(fact, "unnumbered_fact"))
     return project(fact, schemas.FACT)
 
 

@@ -79,6 +79,16 @@ def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
 
 
+class TooLittleHistory(ValueError):
+    """No row is left to fit a model on."""
+
+
+def _some(df: DataFrame, what: str) -> DataFrame:
+    if df.isEmpty():
+        raise TooLittleHistory(f"no rows to fit {what} on")
+    return df
+
+
 @dataclass
 class Baseline:
     """Trend, weekday, yearly season and holidays of one national daily series."""
@@ -88,10 +98,11 @@ class Baseline:
     end: dt.date
     multiplicative: bool
     spread: float
+    yearly: bool = True
 
     def predict(self, days: DataFrame) -> DataFrame:
         """date_key with yhat, yhat_lower, yhat_upper."""
-        x, _ = calendar_features(days, self.start, self.end)
+        x, _ = calendar_features(days, self.start, self.end, self.yearly)
         p = self.model.transform(x)
         half = BAND_Z * self.spread
         mid = F.col("prediction")
@@ -101,8 +112,13 @@ class Baseline:
         return p.withColumns(out).select(*days.columns, *out)
 
 
-def calendar_features(days: DataFrame, start: dt.date, end: dt.date) -> tuple[DataFrame, list[str]]:
-    """Trend with changepoints over the first 80 % of the history, weekday, Fourier and holiday terms."""
+def calendar_features(
+    days: DataFrame, start: dt.date, end: dt.date, yearly: bool = True
+) -> tuple[DataFrame, list[str]]:
+    """Trend with changepoints over the first 80 % of the history, weekday, Fourier and holiday terms.
+
+    The yearly season is fitted on any history; `yearly` leaves it out.
+    """
     span = max((end - start).days, 1)
     d = F.col("date_key")
     t = F.datediff(d, F.lit(start)) / F.lit(float(span))
@@ -111,7 +127,7 @@ def calendar_features(days: DataFrame, start: dt.date, end: dt.date) -> tuple[Da
         columns[f"t_{i}"] = F.greatest(F.lit(0.0), t - 0.8 * i / (CHANGEPOINTS + 1))
     for i in range(6):
         columns[f"dow_{i}"] = (F.weekday(d) == i).cast("double")
-    if span >= 365:  # a yearly season needs a year of history
+    if yearly:
         angle = F.dayofyear(d) * F.lit(2 * math.pi / 365.25)
         for k in (1, 2, 3):
             columns[f"sin_{k}"], columns[f"cos_{k}"] = F.sin(angle * k), F.cos(angle * k)
@@ -120,20 +136,22 @@ def calendar_features(days: DataFrame, start: dt.date, end: dt.date) -> tuple[Da
     return days.withColumns(columns), list(columns)
 
 
-def fit_baseline(daily: DataFrame, value: str, multiplicative: bool = False) -> Baseline:
+def fit_baseline(daily: DataFrame, value: str, multiplicative: bool = False, yearly: bool = True) -> Baseline:
     """Fit on (date_key, value); a log target makes the seasons multiplicative."""
     daily = daily.filter(F.col(value).isNotNull())
     if multiplicative:
         daily = daily.filter(F.col(value) > 0)
     start, end = daily.agg(F.min("date_key"), F.max("date_key")).first()
+    if start is None:
+        raise TooLittleHistory(f"no rows to fit {value} on")
     y = F.log(value) if multiplicative else F.col(value).cast("double")
-    x, names = calendar_features(daily.withColumn("_y", y), start, end)
+    x, names = calendar_features(daily.withColumn("_y", y), start, end, yearly)
     line = LinearRegression(
         featuresCol="features", labelCol="_y", regParam=0.001, elasticNetParam=0.1, maxIter=100
     )
     model = Pipeline(stages=[_assembler(names), line]).fit(x)
     error = model.transform(x).agg(F.stddev_pop(F.col("_y") - F.col("prediction"))).first()[0]
-    return Baseline(model, start, end, multiplicative, error or 0.0)
+    return Baseline(model, start, end, multiplicative, error or 0.0, yearly)
 
 
 def national_daily(fact: DataFrame, target: str, how: str) -> DataFrame:
@@ -177,7 +195,7 @@ def occupancy_forecast(
         .dropna(subset=[*names, "residual"])
     )
     booster = Pipeline(stages=[_assembler(names), gbt(GBTRegressor, "residual", trees)]).fit(
-        store(x, "residuals")
+        _some(store(x, "residuals"), "the residual")
     )
     future = future_days(daily, horizon)
     last = daily.agg(F.max_by(target, "date_key")).scalar()
@@ -235,7 +253,7 @@ class WaitingTimes:
             rows = add_lead(df, "_y", h, "_target")
             self.models[h] = Pipeline(
                 stages=[_assembler(names), gbt(GBTRegressor, "_target", self.trees)]
-            ).fit(rows)
+            ).fit(_some(rows, f"waiting times {h} rows ahead"))
         return self
 
     def predict(self, fact: DataFrame, horizon: int) -> DataFrame:

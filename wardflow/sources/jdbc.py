@@ -54,15 +54,29 @@ def write_options(url: str, table: str, truncate: bool = False) -> dict[str, str
     }
 
 
+# What drivers say when a later attempt may succeed.
+TRANSIENT = (
+    "SQLTransient", "SQLRecoverable", "CommunicationsException", "Connection refused", "Connection reset",
+    "connection has been closed", "timed out", "timeout", "deadlock", "could not serialize",
+)
+
+
+def is_transient(exc: Exception) -> bool:
+    """Lost connections, timeouts and deadlocks; wrong columns, types or rights are not."""
+    text = f"{type(exc).__name__}: {exc}".lower()
+    return any(t.lower() in text for t in TRANSIENT)
+
+
 def with_retries(action: Callable[[], None], label: str, sleep: Callable[[float], None] = time.sleep,
-                 transient: tuple[type[Exception], ...] = (Exception,)) -> int:
-    """Run a write up to four times, waiting 2, 4, 8 seconds; returns the attempts used."""
+                 transient: Callable[[Exception], bool] = is_transient) -> int:
+    """Run a write up to four times, waiting 2, 4, 8 seconds; returns the attempts used. Errors
+    that are not transient are raised at once."""
     for attempt in range(1, MAX_ATTEMPTS + 1):
         try:
             action()
             return attempt
-        except transient as exc:
-            if attempt == MAX_ATTEMPTS:
+        except Exception as exc:
+            if attempt == MAX_ATTEMPTS or not transient(exc):
                 raise
             wait = 2 ** attempt
             log.warning("%s failed (attempt %d), retry in %d s: %s", label, attempt, wait, exc)
@@ -75,13 +89,14 @@ def write_table(
     properties: dict[str, str] | None = None, sleep: Callable[[float], None] = time.sleep,
     swap: Callable[[str, str], None] | None = None,
 ) -> int:
-    """Write a frame with retries.
+    """Write a frame with retries; mode is "append" or "replace".
 
-    Spark commits per partition, so a retried append could load rows twice. With `swap` each
-    attempt overwrites a staging table, and swap(staging, table) moves its rows in one transaction.
-    An append without swap goes through one connection on one partition only when the caller has
-    made it so; use `swap` for anything that must not double.
+    Spark commits per partition, so a retried append could load rows twice. An append therefore
+    needs `swap`: each attempt overwrites a staging table, and swap(staging, table) moves its rows
+    in one transaction. A replace starts from an empty table at each attempt.
     """
+    if mode == "append" and swap is None:
+        raise ValueError("an append that may be retried needs swap(staging, table)")
     target = f"{table}_staging" if swap else table
     save_mode = "overwrite" if swap or mode == "replace" else mode
 
@@ -95,6 +110,13 @@ def write_table(
     return attempts
 
 
+def publisher(
+    url: str, swap: Callable[[str, str], None], properties: dict[str, str] | None = None
+) -> Callable[[DataFrame, str, str], int]:
+    """The `write` of publish(): every table goes through a staging table."""
+    return lambda df, name, mode: write_table(df, url, name, mode, properties, swap=swap)
+
+
 def publish(
     tables: dict[str, DataFrame],
     write: Callable[[DataFrame, str, str], object],

@@ -7,25 +7,16 @@ filter push-down and true file sizes, which the planner uses to choose broadcast
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only for a local master."""
-    global _local_folder
+    """Folder named by spark.checkpoint.dir, on every master alike."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="wardflow-")
-    return _local_folder
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -21,18 +21,28 @@ def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> Data
     return spark.createDataFrame([], schema)
 
 
-def replace_load(df: DataFrame, name: str, schema: T.StructType, path: str | None = None) -> None:
+def replace_load(
+    df: DataFrame, name: str, schema: T.StructType, path: str | None = None, partition_by: list[str] | None = None
+) -> None:
     """Replace a table's rows, matching the target columns by name and type."""
-    _save(project(df, schema), name, path)
+    _save(project(df, schema), name, path, partition_by)
 
 
-def create_or_replace(df: DataFrame, name: str, path: str | None = None) -> None:
+def create_or_replace(
+    df: DataFrame, name: str, path: str | None = None, partition_by: list[str] | None = None
+) -> None:
     """Replace a table and take the schema from the frame."""
-    _save(df, name, path)
+    _save(df, name, path, partition_by)
 
 
-def _save(df: DataFrame, name: str, path: str | None) -> None:
+def _save(df: DataFrame, name: str, path: str | None, partition_by: list[str] | None) -> None:
+    """Partition columns come last in the table. Rows are gathered by partition value before the
+    write, for few files; a hot value is split over several tasks."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format("parquet")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(name)

@@ -3,7 +3,7 @@
 The stream table is a log of per-batch counts: each micro-batch is aggregated on its own and
 written to its own `batch_id=` folder, and readers add the counts up. Old minutes can be updated
 for ever without any state store, and a replayed batch replaces its folder instead of counting
-twice. `compact` folds old folders together. Where late data may be dropped, `windowed_counts`
+twice. `compact` folds old folders into a base next to the log. Where late data may be dropped, `windowed_counts`
 keeps the sums in the state store behind a watermark instead.
 """
 
@@ -18,6 +18,7 @@ from .. import schemas
 from ..functions.calendar import minute
 from ..operators.dedup import keep_latest
 from ..operators.snapshots import trailing_minutes
+from .events import decode
 
 COUNTS = ("attendances", "ambulance", "high_acuity", "breach_risk")
 LOG = T.StructType([*schemas.MINUTE_COUNTS.fields, T.StructField("batch_id", T.LongType())])
@@ -50,8 +51,9 @@ def merge_counts(log: DataFrame) -> DataFrame:
     ).select(*schemas.MINUTE_COUNTS.names)
 
 
-def windowed_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Tumbling one-minute windows with bounded state; later rows are dropped and reported."""
+def windowed_counts(events: DataFrame, lateness: str) -> DataFrame:
+    """Tumbling one-minute windows with bounded state. Rows later than `lateness` are dropped;
+    `dropped_late` counts them."""
     return (
         events.withColumn("event_time", F.col("event_ts").cast("timestamp"))
         .withWatermark("event_time", lateness)
@@ -67,10 +69,18 @@ def start_counts(
     checkpoint: str,
     archive: str | None = None,
     trigger: dict | None = None,
+    dead: str | None = None,
 ) -> StreamingQuery:
-    """Maintain the count log, and optionally an archive of the raw events of each batch."""
+    """Maintain the count log, and optionally an archive of the raw events of each batch.
+
+    With `dead` the input is messages (see events.encode): each batch is decoded, and messages that
+    are no events are kept in a folder of their batch.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if dead:
+            batch, letters = decode(batch)
+            letters.write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
         if archive:
             batch.write.mode("overwrite").parquet(f"{archive}/batch_id={batch_id}")
             batch = batch.sparkSession.read.schema(batch.schema).parquet(f"{archive}/batch_id={batch_id}")
@@ -84,26 +94,62 @@ def start_counts(
     )
 
 
-def read_counts(spark: SparkSession, table: str, base: str | None = None, upto: int = -1) -> DataFrame:
-    """Counts from the log; with a compacted base, from the base and the batches after `upto`."""
+def _bases(spark: SparkSession, table: str) -> list[int]:
+    """Last batches of the complete bases of a log, oldest first. A base is complete, and readers
+    see it, once its job has left the _SUCCESS file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}_base")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    folders = [f.getPath() for f in files.listStatus(path)]
+    done = [f for f in folders if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().removeprefix("upto=")) for f in done)
+
+
+def _log(spark: SparkSession, table: str) -> tuple[DataFrame, int]:
+    """The newest base as one batch and the batches after it, and the last batch of the base."""
+    upto = (_bases(spark, table) or [-1])[-1]
     log = spark.read.schema(LOG).parquet(table).filter(F.col("batch_id") > upto)
-    if base:
-        old = spark.read.schema(schemas.MINUTE_COUNTS).parquet(base)
+    if upto >= 0:
+        old = spark.read.schema(schemas.MINUTE_COUNTS).parquet(f"{table}_base/upto={upto}")
         log = log.unionByName(old.withColumn("batch_id", F.lit(upto).cast("long")))
-    return merge_counts(log)
+    return log, upto
 
 
-def compact(spark: SparkSession, table: str, base: str, upto: int) -> None:
-    """Fold the batches up to `upto` into a base table, while the stream goes on writing.
+def read_counts(spark: SparkSession, table: str) -> DataFrame:
+    """Counts from the newest base and the batches after it."""
+    return merge_counts(_log(spark, table)[0])
 
-    Readers switch to (base, upto) once it is written; the folded folders can go after that.
+
+def compact(spark: SparkSession, table: str, upto: int) -> None:
+    """Fold the newest base and the batches up to `upto` into a new base, while the stream goes on.
+
+    The new base lies next to the old one, which readers go on using until the new one is complete.
     """
-    log = spark.read.schema(LOG).parquet(table).filter(F.col("batch_id") <= upto)
-    merge_counts(log).write.mode("overwrite").parquet(base)
+    log, done = _log(spark, table)
+    if upto > done:
+        folded = merge_counts(log.filter(F.col("batch_id") <= upto))
+        folded.write.mode("overwrite").parquet(f"{table}_base/upto={upto}")
+
+
+def drop_folded(spark: SparkSession, table: str) -> None:
+    """Delete batches that the newest base holds, and older bases, once no reader uses them."""
+    upto = _bases(spark, table)
+    if not upto:
+        return
+    hadoop, config = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    root = hadoop.Path(table)
+    files = root.getFileSystem(config)
+    for f in files.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) <= upto[-1]:
+            files.delete(f.getPath(), True)
+    for old in upto[:-1]:
+        files.delete(hadoop.Path(f"{table}_base/upto={old}"), True)
 
 
 def start_windows(
-    events: DataFrame, table: str, checkpoint: str, lateness: str = "1 day", trigger: dict | None = None
+    events: DataFrame, table: str, checkpoint: str, lateness: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Maintain windowed_counts: each batch writes the changed windows with their full counts."""
 
@@ -118,6 +164,13 @@ def start_windows(
     )
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows the watermark dropped, summed over the batches the query still reports (see
+    spark.sql.streaming.numRecentProgressUpdates)."""
+    states = [s for p in query.recentProgress for s in p["stateOperators"]]
+    return sum(s.get("numRowsDroppedByWatermark", 0) for s in states)
+
+
 def read_windows(spark: SparkSession, table: str) -> DataFrame:
     """Newest version of every window."""
     log = spark.read.schema(LOG).parquet(table)
