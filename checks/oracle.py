@@ -668,12 +668,13 @@ SQL["trained_forecasts"] = """WITH ends AS (SELECT min(date_key) AS a, max(date_
         CAST(last_day AS DATE) AS last_day, CAST(hospitals AS BIGINT) AS hospitals, CAST(roles AS BIGINT) AS roles,
         0::BIGINT AS unknown, 0::BIGINT AS crossed_bands FROM found"""
 SQL["gbt_backtest"] = """WITH f AS (SELECT *, max(date_key) OVER () - 30 AS cutoff FROM fact),
-    held AS (SELECT count(DISTINCT date_key) AS n FROM f WHERE date_key > cutoff
-             AND date_key <= (SELECT max(date_key) + 30 FROM f WHERE date_key <= cutoff)),
+    days AS (SELECT date_key, avg(bed_occupancy_pct) AS beds, sum(ae_attendances) AS ae FROM f WHERE date_key > cutoff
+             AND date_key <= (SELECT max(date_key) + 30 FROM f WHERE date_key <= cutoff) GROUP BY 1),
+    held AS (SELECT count(*) FILTER (WHERE beds <> 0) AS n, count(*) FILTER (WHERE ae <> 0) AS ae FROM days),
     pairs AS (SELECT count(*) AS n FROM f a JOIN f b ON a.hospital_id = b.hospital_id AND a.specialty_id = b.specialty_id
-              AND b.date_key = a.date_key + 30 WHERE a.date_key <= a.cutoff AND b.date_key > b.cutoff AND b.median_wait_days IS NOT NULL),
+              AND b.date_key = a.date_key + 30 WHERE a.date_key <= a.cutoff AND b.date_key > b.cutoff AND b.median_wait_days <> 0),
     found(target, model, n) AS (
-        SELECT 'Capacity pressure', 'trend+gbt', n FROM held UNION ALL SELECT 'A&E demand', 'trend', n FROM held
+        SELECT 'Capacity pressure', 'trend+gbt', n FROM held UNION ALL SELECT 'A&E demand', 'trend', ae FROM held
         UNION ALL SELECT 'Waiting time', 'gbt', n FROM pairs)
     SELECT target, model, CAST(n AS BIGINT) AS n_eval, 30::BIGINT AS holdout_days, true AS mae_known, true AS accuracy_in_range,
         true AS mae_of_series FROM found"""

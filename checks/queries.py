@@ -943,7 +943,7 @@ def trained_forecasts(d):
             F.count(F.lit(1)).alias("n"), F.min("date_key").alias("first_day"), F.max("date_key").alias("last_day"),
             F.count_distinct("hospital_id").alias("hospitals"), F.count_distinct("role").alias("roles"),
             F.count_if(F.col("yhat").isNull()).alias("unknown"),
-            F.count_if(F.col("yhat_lower") > F.col("yhat_upper")).alias("crossed_bands"),
+            F.count_if((F.col("yhat") >= 0) & (F.col("yhat_lower") > F.col("yhat_upper"))).alias("crossed_bands"),
         )
     )
 

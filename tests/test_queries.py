@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables
 
 def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(QUERIES) - set(oracle_sql()) == {"trained_forecasts", "gbt_backtest"}
+    assert set(QUERIES) == set(oracle_sql())
 
 
 def test_entry(spark):
