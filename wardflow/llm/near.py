@@ -5,11 +5,14 @@ value is the `LEAST` smallest labelled shingles under a hash function, in text o
 share one of `SKETCHES` values are candidates. A candidate pair is verified by an alignment in a
 band: a = longest common subsequence of the two labelled sequences, similarity = a / (A + B - a).
 Two values agree with a probability of about similarity ** LEAST, so a pair at 0.8 is missed about
-once in a million. One minus the similarity is a metric, which prunes pairs exactly.
+once in a million.
 
-No bucket emits all of its pairs. Each member is compared with the bucket's head; only members that
-stay outside the head's class are compared with the others, and only where the distances to the head
-allow a similar pair. Classes are the connected components of the verified pairs.
+No bucket emits all of its pairs. Each member is compared with the bucket's head, the member that
+shares most buckets with others, which joins a group of near copies in one step. Members that stay
+outside the head's class are held against the rest of the bucket with samples of their shingles: all
+of them for texts of up to SAMPLE shingles, a part chosen by hash for longer ones. Only pairs whose
+samples allow the threshold are emitted, each in the first bucket they share, and verified. Classes
+are the connected components of the verified pairs.
 
 Defined results: texts are equal copies when their characters are equal (null counts as empty), and
 copies always share a class; texts of fewer than five words are alike only as copies. class_id is
@@ -30,6 +33,9 @@ from .common import map_lists, pick
 from .shingles import labelled, mix, shingles
 
 SKETCHES, LEAST, SIMILAR = 20, 3, 0.8
+#: Shingles in a sample, and how far below the threshold a sample of a longer text may lie (over five
+#: standard deviations).
+SAMPLE, SLACK = 256, 0.2
 #: Shingles handled at a time, so that a very long text needs little memory.
 CHUNK = 1 << 15
 #: Each odd factor permutes the 64-bit numbers, which are mixed already.
@@ -162,12 +168,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "nodes",
     )
     members = nodes.select("node", "number", "n", F.explode("values").alias("bucket"))
-    heads = store(
-        members.groupBy("bucket").agg(F.min("number").alias("head"), F.max("number").alias("last"))
-        .filter("head != last").select("bucket", "head"),
-        "heads",
+    shared = store(
+        members.groupBy("bucket").agg(
+            F.min("number").alias("least"), F.max("number").alias("most"), F.count(F.lit(1)).alias("size")
+        ).filter("least != most").select("bucket", "size"),
+        "buckets",
     )
-    members = store(members.join(heads, "bucket"), "members")
+    members = store(members.join(shared, "bucket"), "members")
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = store(members.drop("size").join(weights, "node"), "weighed")
+    heads = members.groupBy("bucket").agg(F.max(F.struct("weight", "number"))["number"].alias("head"))
+    members = store(members.drop("weight").join(heads, "bucket"), "headed")
     pairs = store(
         members.filter("number != head").select(F.col("node").alias("a"), F.col("head").alias("b_number"))
         .distinct(),
@@ -183,7 +194,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     close = compared.filter(F.col("high") <= 1 - SIMILAR + 1e-12)
     labels = components(close)
 
-    more = store(verify(left_pairs(members, compared, labels), texts), "compared_later")
+    more = store(verify(left_pairs(members, nodes, texts, labels), texts), "compared_later")
     late = more.filter(F.col("high") <= 1 - SIMILAR + 1e-12)
     if late.limit(1).count():
         labels = components(close.unionByName(late))
@@ -201,35 +212,61 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "node"), store(by_node, "classes")
 
 
-def left_pairs(members: DataFrame, compared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket that the comparisons with its head leave open.
+def samples(texts: DataFrame) -> DataFrame:
+    """(node, level, own_level, sample): 32 bits of the labelled shingles that the level selects by hash.
 
-    Members outside the head's class, against all members of another class. With distances x and y
-    to the head, a pair is at least |x - y| apart, so farther pairs are left out exactly.
+    The level grows with the text, so that a sample stays below 2 * SAMPLE. A pair is compared at the
+    level of its longer text; a text short of its next level by a fifth has a sample for that, too.
     """
+    def work(nodes, found):
+        out = []
+        for node, text in zip(nodes, found):
+            values = labelled(shingles(text))
+            first, last = level_of(len(values)), level_of(len(values) / SIMILAR)
+            for level in range(first, last + 1):
+                chosen = values[mix(values) >> np.uint64(64 - level) == 0] if level else values
+                out.append((node, level, first, (chosen >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()))
+        return [*map(list, zip(*out))] if out else [[]] * 4
+
+    return map_lists(texts.select("node", "text"), "node binary, level int, own_level int, sample array<int>", work, rows=32)
+
+
+def level_of(n: float) -> int:
+    return max(0, int(n // SAMPLE).bit_length())
+
+
+def left_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of a bucket that the comparisons with its head leave open: members outside the head's
+    class, against all members of other classes."""
     named = labels.select("node", "label")
-    known = compared.select(F.col("a").alias("node"), F.xxhash64("b").alias("head"), "low", "high")
-    open_ = (
-        members.join(known, ["node", "head"], "left").join(named, "node", "left")
-        .join(named.select(F.xxhash64("node").alias("head"), F.col("label").alias("head_label")), "head", "left")
-        .select(
-            "bucket", "node", "number", "n", F.coalesce("label", "node").alias("label"),
-            F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"),
-            (F.col("number") == F.col("head")).alias("is_head"),
-            F.coalesce(F.col("label") == F.col("head_label"), F.col("number") == F.col("head")).alias("inside"),
-        )
+    of_head = named.select(F.xxhash64("node").alias("head"), F.col("label").alias("head_label"))
+    rows = members.join(named, "node", "left").join(of_head, "head", "left").select(
+        "bucket", "node", "number", "n", F.coalesce("label", "node").alias("label"),
+        F.coalesce(F.col("label") == F.col("head_label"), F.col("number") == F.col("head")).alias("inside"),
+        (F.col("number") == F.col("head")).alias("is_head"),
     )
-    open_ = store(open_.filter("not is_head"), "open")
-    outside = open_.filter("not inside")
-    x = outside.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "number", "n", "label", "low", "high")])
-    far = 1 - SIMILAR + 1e-9
-    pairs = x.join(open_, "bucket").filter(
+    rows = store(rows, "by_class")
+    open_ = rows.filter("not inside").select("bucket").distinct()
+    rows = store(rows.filter("not is_head").join(open_, "bucket", "left_semi"), "open")
+    wanted = rows.select("node").distinct()
+    sampled = store(samples(texts.join(wanted, "node", "left_semi")), "samples")
+    sampled = sampled.join(nodes.select("node", "values"), "node")
+    rows = store(rows.drop("is_head").join(sampled, "node"), "open_samples")
+
+    x = rows.filter("not inside").select("bucket", "level", *[
+        F.col(c).alias(f"x_{c}") for c in ("node", "number", "n", "label", "own_level", "values", "sample")
+    ])
+    both = F.size(F.array_intersect("x_sample", "sample"))
+    least = F.when(F.col("level") == 0, SIMILAR - 1e-9).otherwise(SIMILAR - SLACK)
+    pairs = x.join(rows, ["bucket", "level"]).filter(
         (F.col("x_label") != F.col("label"))
         & (F.col("inside") | (F.col("x_number") < F.col("number")))
-        & (F.col("x_low") - F.col("high") <= far) & (F.col("low") - F.col("x_high") <= far)
+        & (F.greatest("own_level", "x_own_level") == F.col("level"))
         & (F.least("n", "x_n") >= F.greatest("n", "x_n") * SIMILAR - 1e-9)
+        & (F.array_min(F.array_intersect("x_values", "values")) == F.col("bucket"))
+        & (both >= least * (F.size("x_sample") + F.size("sample") - both))
     )
-    return pairs.select(F.col("x_node").alias("a"), F.col("number").alias("b_number")).distinct()
+    return pairs.select(F.col("x_node").alias("a"), F.col("number").alias("b_number"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
