@@ -266,8 +266,10 @@ def position_ids(d):
 @query
 def lag_by_position(d):
     """Sign-ups seven customers earlier in key order, as an equi-join on the position."""
-    rows = d.table("customer").select("c_nationkey", "c_custkey", "c_acctbal")
-    numbered = positions.with_position(rows, [["c_nationkey"], ["c_custkey"]])
+    block = F.floor(F.col("c_custkey") / 100_000).alias("block")
+    rows = d.table("customer").select("c_nationkey", block, "c_custkey", "c_acctbal")
+    numbered = positions.with_position(rows, [["c_nationkey"], ["block"], ["c_custkey"]]).drop("block")
+    numbered = layers.store(numbered, "numbered")  # both sides of the self-join read it
     return plain(positions.lag_by_position(numbered, "c_acctbal", 7).drop("c_acctbal"))
 
 

@@ -156,6 +156,16 @@ def test_quantiles_of_nothing(spark):
     assert got == {"x": {0.5: None}, "y": {0.5: 1.5}}
 
 
+def test_range_positions(spark):
+    data = [(k, j) for k in ["b", "a", None, "é", "", "Z"] for j in range(50)] + [("a", 0)] * 3
+    df = spark.createDataFrame(data, "code string, j int").repartition(5)
+    got = [tuple(r) for r in positions.with_range_position(df, ["code", "j"], "p").orderBy("p").collect()]
+    assert [p for *_, p in got] == list(range(1, len(data) + 1))
+    key = lambda r: (r[0] is not None, (r[0] or "").encode(), r[1])
+    assert [r[:2] for r in got] == sorted(data, key=key)
+    assert positions.with_range_position(df.limit(0), ["code"]).count() == 0
+
+
 # cleaning ---------------------------------------------------------------------------------------
 
 def test_headers_and_renames(spark):

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.layers import store
+
 
 def with_position(
     df: DataFrame, levels: list[list[str]], by: list[str] | None = None, name: str = "position"
@@ -50,6 +52,22 @@ def with_position(
     )
 
 
+def with_range_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """1-based position of each row in the order of columns that have no coarse levels, such as codes.
+
+    Rows are range-partitioned and stored with their place in their partition; the counts of the
+    partitions, one row each, are summed into offsets. No task sorts more than its range.
+    """
+    at = F.monotonically_increasing_id()  # partition in the upper bits, row in the lower 33
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
+    rows = store(rows, "in_order").withColumn("_part", F.shiftright("_at", 33))
+    runs = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return rows.join(runs, "_part").select(*df.columns, place.alias(name))
+
+
 def lag_by_position(
     df: DataFrame, col: str, n: int, position: str = "position", by: list[str] | None = None,
     name: str | None = None,

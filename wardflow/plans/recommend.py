@@ -12,7 +12,7 @@ from ..functions.numbers import mean, no_decimal, one_decimal
 from ..functions.scoring import recommendation_severity
 from ..operators.cleaning import project
 from ..operators.dedup import keep_latest
-from ..operators.positions import with_position
+from ..operators.positions import with_range_position
 from ..operators.snapshots import at_latest
 from .risk import growth_30d
 
@@ -136,5 +136,5 @@ def recommendations(
     """Recommendation rows stamped with the given run date, numbered by hospital and rule."""
     hits = rule_hits(rule_inputs(fact, risk, hospitals, workforce))
     hits = hits.withColumn("date_key", F.lit(str(run_date)).cast("date"))
-    numbered = with_position(hits, [["hospital_id"], ["rank"]], name="recommendation_id")
+    numbered = with_range_position(hits, ["hospital_id", "rank"], name="recommendation_id")
     return project(numbered, schemas.RECOMMENDATION)

@@ -9,7 +9,7 @@ from .. import schemas
 from ..functions import scoring
 from ..functions.numbers import mean, ratio, sum_or_zero
 from ..operators.cleaning import project, with_defaults
-from ..operators.positions import with_position
+from ..operators.positions import with_range_position
 from ..operators.scores import peer_zscores
 from ..operators.snapshots import latest
 from ..sources.layers import store
@@ -151,8 +151,7 @@ def compute_risk(fact: DataFrame) -> DataFrame:
     relative, absolute = c("classification_relative"), c("classification_absolute")
     scored = scored.withColumn("classification", scoring.worse_of(relative, absolute))
     scored = scored.withColumn("components_json", components_json(absolute, relative))
-    # one row per hospital: numbering them is a small sort
-    return with_position(scored, [["hospital_id"]], name="risk_id")
+    return with_range_position(scored, ["hospital_id"], name="risk_id")
 
 
 def risk_table(scored: DataFrame) -> DataFrame:
