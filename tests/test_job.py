@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wardflow import schemas
 from wardflow.functions import codes
+from wardflow.operators.snapshots import at_latest
 from wardflow.plans import job
 from wardflow.sources.tables import land
 
@@ -60,6 +61,10 @@ def test_whole_job(spark, tmp_path):
     dates = tables["dim_date"].agg(F.min("date_key"), F.max("date_key"), F.count("*")).first()
     assert tuple(dates) == (START, END, (END - START).days + 1)
     assert tables["hospital_activity_features"].count() == 720
+    newest = at_latest(spark.table("hospital_activity_fact"))
+    assert newest.count() == 6
+    plan = newest._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(date_key" in plan and len(list((tmp_path / "warehouse" / "hospital_activity_fact").glob("date_key=*"))) == 120
 
     tables = job.analyse(tables, warehouse, END, trees=2, horizons=(30,))
     assert tables["risk_score"].count() == 3
