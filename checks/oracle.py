@@ -679,6 +679,8 @@ SQL["gbt_backtest"] = """WITH f AS (SELECT *, max(date_key) OVER () - 30 AS cuto
     SELECT target, model, CAST(n AS BIGINT) AS n_eval, 30::BIGINT AS holdout_days, true AS mae_known, true AS accuracy_in_range,
         true AS mae_of_series FROM found"""
 SQL |= {
+    "waiting_list_files": """SELECT trust_code, specialty_id, period, CAST(least(waiting_list_size, 200000) AS DOUBLE) AS waiting_list_size,
+        round(least(365.0, greatest(0.0, median_wait_days)), 6) AS median_wait_days FROM waiting""",
     "clean_dimension": "SELECT 'S' || s_suppkey AS hospital_id, s_name AS hospital_name FROM supplier",
     "clean_demographics": "SELECT 'R' || r_regionkey AS region_id, r_name AS region_name FROM region",
     "json_documents": """SELECT CAST(s_nationkey AS BIGINT) AS nation, count(*) AS n,

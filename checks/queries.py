@@ -990,6 +990,18 @@ def job_fact(d):
     return plain(_landed_job(d)["hospital_activity_fact"])
 
 
+@query
+def waiting_list_files(d):
+    """The waiting list delivered half as CSV, half as JSON lines, read as one feed and cleaned."""
+    rows = layers.store(d.waiting().withColumnRenamed("specialty_id", "specialty"), "waiting")
+    parts, early = [], F.col("period") < "1998"
+    for fmt, some in (("csv", rows.filter(early)), ("json", rows.filter(~early))):
+        folder = layers.new_path(d.spark, fmt)
+        some.write.format(fmt).option("header", True).save(folder)
+        parts.append(scans.read_feed_files(d.spark, folder, schemas.WAITING_LIST, fmt))
+    return plain(silver.clean_waiting_list(dedup.union_all(parts)), 6)
+
+
 @query
 def clean_dimension(d):
     """Padded ids, delivered twice: trimmed, the first row stays."""

@@ -34,6 +34,16 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return df.select(*schema.names, order.alias(INGEST_ORDER))
 
 
+def read_feed_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    """A feed delivered as CSV with a header or as JSON lines, with its ingest order: file, then row."""
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"no feed reader for {fmt}")
+    reader = spark.read.schema(schema)
+    df = read_csv(spark, path, schema) if fmt == "csv" else reader.json(path)
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return df.select(*schema.names, order.alias(INGEST_ORDER))
+
+
 def list_parquet_files(spark: SparkSession, root: str) -> DataFrame:
     """Every parquet file below a folder. Only file footers and listings are read."""
     return (
