@@ -33,9 +33,10 @@ from .common import map_lists, pick
 from .shingles import labelled, mix, shingles
 
 SKETCHES, LEAST, SIMILAR = 20, 3, 0.8
-#: Shingles in a sample, and how far below the threshold a sample of a longer text may lie (over five
-#: standard deviations).
-SAMPLE, SLACK = 256, 0.2
+#: Texts of up to so many shingles are compared by all of them, longer ones by a sample of one to two
+#: times as many. How far below the threshold a pair of the former, or of the latter, may seem to lie
+#: for the 16 bits kept of a shingle and, in samples, for chance (over five standard deviations).
+SAMPLE, SLACK, SAMPLE_SLACK = 1024, 0.02, 0.1
 #: Shingles handled at a time, so that a very long text needs little memory.
 CHUNK = 1 << 15
 #: Each odd factor permutes the 64-bit numbers, which are mixed already.
@@ -213,7 +214,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def samples(texts: DataFrame) -> DataFrame:
-    """(node, level, own_level, sample): 32 bits of the labelled shingles that the level selects by hash.
+    """(node, level, own_level, sample): 16 bits of the labelled shingles the level selects by hash.
 
     The level grows with the text, so that a sample stays below 2 * SAMPLE. A pair is compared at the
     level of its longer text; a text short of its next level by a fifth has a sample for that, too.
@@ -225,10 +226,11 @@ def samples(texts: DataFrame) -> DataFrame:
             first, last = level_of(len(values)), level_of(len(values) / SIMILAR)
             for level in range(first, last + 1):
                 chosen = values[mix(values) >> np.uint64(64 - level) == 0] if level else values
-                out.append((node, level, first, (chosen >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()))
+                bits = np.unique((chosen >> np.uint64(24)).astype(np.uint16)).view(np.int16)
+                out.append((node, level, first, bits.tolist()))
         return [*map(list, zip(*out))] if out else [[]] * 4
 
-    return map_lists(texts.select("node", "text"), "node binary, level int, own_level int, sample array<int>", work, rows=32)
+    return map_lists(texts.select("node", "text"), "node binary, level int, own_level int, sample array<smallint>", work, rows=32)
 
 
 def level_of(n: float) -> int:
@@ -257,7 +259,7 @@ def left_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: D
         F.col(c).alias(f"x_{c}") for c in ("node", "number", "n", "label", "own_level", "values", "sample")
     ])
     both = F.size(F.array_intersect("x_sample", "sample"))
-    least = F.when(F.col("level") == 0, SIMILAR - 1e-9).otherwise(SIMILAR - SLACK)
+    least = F.when(F.col("level") == 0, SIMILAR - SLACK).otherwise(SIMILAR - SAMPLE_SLACK)
     pairs = x.join(rows, ["bucket", "level"]).filter(
         (F.col("x_label") != F.col("label"))
         & (F.col("inside") | (F.col("x_number") < F.col("number")))
