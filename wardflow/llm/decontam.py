@@ -43,6 +43,13 @@ def size_class(n: int) -> int:
     return max(SMALLEST, 1 << (n - 1).bit_length())
 
 
+def known_bits(values: np.ndarray) -> np.ndarray:
+    """True at the low bits of the values: most other numbers need no search."""
+    out = np.zeros(1 << max(16, (16 * len(values)).bit_length()), bool)
+    out[values & np.uint64(len(out) - 1)] = True
+    return out
+
+
 class ItemIndex:
     """Signature values of items by size partition, and their shingles for the exact check."""
 
@@ -60,19 +67,32 @@ class ItemIndex:
             values = np.array([(self.sets[r] * _ODD[:, None]).min(axis=1) for r in rows])
             flat = values.ravel()
             order = np.argsort(flat, kind="stable")
-            self.partitions.append((size, flat[order], np.repeat(rows, HASHES)[order]))
+            self.partitions.append((size, flat[order], np.repeat(rows, HASHES)[order], known_bits(flat)))
 
     def signatures(self, found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(partition, signature values of all its blocks), some thousands of shingles at a time."""
-        overlap = self.partitions[-1][0] if self.partitions else 0
-        step = max(CHUNK, overlap)  # powers of two, so that every block starts at a multiple of its size
+        """(partition, signature values of all its blocks), some thousands of shingles at a time.
+
+        Least values of the smallest stretches are computed once; those of the larger ones follow,
+        as sizes are powers of two.
+        """
+        if not self.partitions:
+            return
+        smallest, overlap = self.partitions[0][0], self.partitions[-1][0]
+        step = max(CHUNK, overlap)  # so that every block starts at a multiple of its size
         for start in range(0, max(len(found) - overlap, 1), step):
-            ranks = found[start : start + step + overlap] * _ODD[:, None]
-            for number, (size, _, _) in enumerate(self.partitions):
-                least = np.minimum.reduceat(ranks, np.arange(0, ranks.shape[1], size), axis=1)
-                if least.shape[1] > 1:
-                    least = np.minimum(least[:, :-1], least[:, 1:])
-                yield number, np.unique(least)
+            part = found[start : start + step + overlap]
+            grid = np.append(part, np.repeat(part[-1:], -len(part) % smallest)).reshape(-1, smallest)
+            least = grid[:, 0] * _ODD[:, None]
+            other = np.empty_like(least)
+            for j in range(1, smallest):
+                np.minimum(least, np.multiply(grid[:, j], _ODD[:, None], out=other), out=least)
+            reached = smallest
+            for number, (size, *_) in enumerate(self.partitions):
+                while reached < size:
+                    if least.shape[1] % 2:
+                        least = np.hstack([least, least[:, -1:]])
+                    least, reached = np.minimum(least[:, ::2], least[:, 1::2]), 2 * reached
+                yield number, (np.minimum(least[:, :-1], least[:, 1:]) if least.shape[1] > 1 else least).ravel()
 
     def search(self, text: str | None) -> list[tuple[int, float]]:
         """(item_id, containment) of the items that the text contains."""
@@ -81,7 +101,8 @@ class ItemIndex:
             return []
         candidates: set[int] = set()
         for number, mine in self.signatures(found):
-            _, values, rows = self.partitions[number]
+            _, values, rows, known = self.partitions[number]
+            mine = np.unique(mine[known[mine & np.uint64(len(known) - 1)]])
             lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
             for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()):
                 candidates.update(rows[a:b].tolist())
