@@ -78,8 +78,8 @@ def known_fingerprints(layouts=LAYOUTS) -> dict[str, str]:
 
 def fingerprint(record: Column) -> Column:
     """Hash of the nested field paths, known to some mapping, that a variant record has."""
-    present = F.array(*[F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in PATHS])
-    return F.sha2(F.concat_ws("\n", F.array_compact(present)).cast("binary"), 256)
+    present = [F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in PATHS]
+    return F.sha2(F.concat_ws("\n", *present).cast("binary"), 256)  # absent ones are null and left out
 
 
 def _text(record: Column, path: str) -> Column:
@@ -98,9 +98,10 @@ def _turns(layout: Layout, record: Column) -> Column:
 
 
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
-    """Adds `layout` and `turns` to rows with a JSON text."""
+    """Adds `layout` and `turns` to rows with a JSON text or a variant."""
     found = F.create_map(*[F.lit(x) for pair in known_fingerprints().items() for x in pair])
-    parsed = records.withColumn("_v", F.try_parse_json(F.col(record)))
+    is_variant = dict(records.dtypes)[record] == "variant"
+    parsed = records.withColumn("_v", F.col(record) if is_variant else F.try_parse_json(F.col(record)))
     named = parsed.withColumn("layout", F.try_element_at(found, fingerprint(F.col("_v"))))
     turns = F.lit(None).cast(TURNS)
     for x in LAYOUTS:
@@ -185,7 +186,7 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 def formatted_conversations(rows: DataFrame) -> DataFrame:
     """Format rows (conv_id, turn, role, text), then report what the output says when read back."""
-    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    record = F.to_variant_object(F.struct("role", "text"))
     turns = canonical(rows.select("conv_id", "turn", record.alias("record")))
     turns = turns.select("conv_id", "turn", F.inline("turns"))
     done = format_turns(turns, ["conv_id"], ["turn"])
