@@ -125,21 +125,25 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_lists(joined, "a binary, b binary, low double, high double", work, rows=32)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, start: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(node, label): the least node of each connected component, for nodes with a link.
 
     Every round takes the least label among neighbours and then the label of one's label, so long
     chains shrink quickly. Each round is a written table; only a count comes to the driver.
+
+    `rounds` ends early, with labels that may still differ within a component; `start` goes on from
+    such labels.
     """
     both = store(
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))),
         "links",
     )
-    labels = store(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-        .select("node", F.least("node", "least").alias("label")),
-        "labels",
-    )
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    labels = labels.select("node", F.least("node", "least").alias("label"))
+    if start is not None:
+        known = start.select("node", F.col("label").alias("known"))
+        labels = labels.join(known, "node", "left").select("node", F.least("label", "known").alias("label"))
+    labels = store(labels, "labels")
     while True:
         of = labels.select(F.col("node").alias("b"), F.col("label").alias("other"))
         seen = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("least"))
@@ -154,7 +158,8 @@ def components(links: DataFrame) -> DataFrame:
             lower.join(jump, "label").select("node", "before", F.col("root").alias("label")), "labels"
         )
         labels = after.select("node", "label")
-        if not after.filter("label != before").limit(1).count():
+        rounds = rounds and rounds - 1
+        if rounds == 0 or not after.filter("label != before").limit(1).count():
             return labels
 
 
@@ -193,24 +198,22 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = store(texts.select(wanted["node"], "number", "text"), "texts")
     compared = store(verify(pairs, texts), "compared")
     close = compared.filter(F.col("high") <= 1 - SIMILAR + 1e-12)
-    labels = components(close)
-
+    # labels of two rounds spare most comparisons within a class; the rest do no harm
+    labels = components(close, rounds=2)
     more = store(verify(left_pairs(members, nodes, texts, labels), texts), "compared_later")
     late = more.filter(F.col("high") <= 1 - SIMILAR + 1e-12)
-    if late.limit(1).count():
-        labels = components(close.unionByName(late))
+    labels = components(close.unionByName(late), labels)
 
-    grouped = store(
+    grouped = (
         labels.join(nodes.select("node", "first_doc"), "node")
-        .groupBy("label").agg(F.min("first_doc").alias("class_id")),
-        "class_ids",
+        .groupBy("label").agg(F.min("first_doc").alias("class_id"))
     )
     by_node = nodes.select("node", "first_doc").join(labels.join(grouped, "label"), "node", "left")
     by_node = by_node.select(
         "node", F.when(F.col("label").isNull(), F.col("first_doc")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("label", "node").alias("label"),
     )
-    return rows.select("doc_id", "node"), store(by_node, "classes")
+    return rows.select("doc_id", "node"), by_node
 
 
 def samples(texts: DataFrame) -> DataFrame:
