@@ -90,6 +90,19 @@ def test_planted_classes(spark):
     assert found(docs(spark, made)) == brute(made)
 
 
+def test_short_texts_that_differ_in_case_and_punctuation(spark):
+    draw = random.Random(4)
+    made = []
+    for n in (4, 5, 6, 7, 8):
+        base = [f"w{draw.randrange(2000)}" for _ in range(n)]
+        made += [" ".join(base), " ".join(base).upper(), ", ".join(base) + "!", "\n".join(base), " ".join(base[1:] + ["new"])]
+    made += ["again and " * 3, "Again and " * 3 + "!", "again and " * 3 + "again", "", " \n"]
+    made = [(i, t) for i, t in enumerate(made)]
+    assert found(docs(spark, made)) == brute(made)
+    kept = rows(near.keep_one(docs(spark, made)), "doc_id")
+    assert len(kept) == len({r.class_id for r in near.near_duplicates(docs(spark, made)).collect()}) < len(made)
+
+
 def test_leftover_pairs_of_a_bucket(spark, monkeypatch):
     """With one coarse sketch value most texts share a bucket, and the head settles few pairs."""
     made = planted(8)

@@ -5,7 +5,8 @@ value is the `LEAST` smallest labelled shingles under a hash function, in text o
 share one of `SKETCHES` values are candidates. A candidate pair is verified by an alignment in a
 band: a = longest common subsequence of the two labelled sequences, similarity = a / (A + B - a).
 Two values agree with a probability of about similarity ** LEAST, so a pair at 0.8 is missed about
-once in a million.
+once in a million. Texts of one to three shingles, which are similar only to equal sequences, have one
+value, hashed from the whole sequence.
 
 No bucket emits all of its pairs. Each member is compared with the bucket's head, the member that
 shares most buckets with others, which joins a group of near copies in one step. Members that stay
@@ -45,9 +46,16 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sketch(values: np.ndarray) -> list[int]:
-    """Sketch values of a labelled sequence; none if no other text can be similar to it."""
+    """Sketch values of a labelled sequence; none if it is empty."""
+    if not len(values):
+        return []
     if len(values) * (1 - SIMILAR) < SIMILAR - 1e-9:
-        return []  # one shingle more or less already takes the pair below the threshold
+        # one shingle more or less already takes the pair below the threshold: only equal sequences
+        # are similar, of texts that differ in case, punctuation or spaces
+        code = np.array([len(values)], np.uint64)
+        for value in values:
+            code = code * _STEP + value
+        return mix(code).view(np.int64).tolist()
     best = np.empty((SKETCHES, 0), np.int64)
     for start in range(0, len(values), CHUNK):
         ranks = values[start : start + CHUNK] * _ODD[:, None]
