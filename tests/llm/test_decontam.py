@@ -52,6 +52,23 @@ def test_planted_items(spark, planted):
     assert set(rows(got)) == want and len({i for _, i, _ in want}) == len(items)
 
 
+def test_small_items_in_any_context():
+    """An item of 5 to 8 words at the edge of a long document, or inside it, in many contexts."""
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    items = [(n, text(n)) for n in (5, 6, 7, 8, 9)] + [(50, "w1 w2 w3 w4 w5"), (51, "w1 w2 w3 w4 w5")]
+    index = decontam.ItemIndex(items)
+    for n, item in items[:6]:
+        equal = {i for i, t in items if t == item}
+        for lead in (0, 37):
+            for _ in range(400):
+                got = index.search(f"{text(lead)} {item} {text(60)}")
+                assert {i for i, share in got if share == 1.0} >= equal, (n, lead)
+    assert index.search(items[3][1].rsplit(" ", 1)[0]) == []  # three of four shingles
+    assert decontam.ItemIndex([(1, "a b c d")]).search(text(50)) == []
+
+
 def test_item_blocks_change_nothing(spark, planted):
     made, items = planted
     df, b = docs(spark, made), spark.createDataFrame(items, ITEMS)
