@@ -74,6 +74,21 @@ def test_templates_and_edits(spark):
         assert label in out[i].labels.split(",")
 
 
+def test_partial_license_in_a_long_text_with_rare_words_elsewhere(spark):
+    """Rare template words in other prose take no place from a passage that stands with its phrase."""
+    passage = "permission is hereby granted free of charge to any person obtaining a copy of this thing"
+    moved = "permission to use copy modify and perhaps to distribute it for any purpose with or without fee is hereby granted"
+    decoys = "associated of documentation a files with restriction and software or deal "
+    common = [(i, f"{passage} {moved} {i}") for i in range(30)]  # makes the words of the passages common
+    made = common + [
+        (100, decoys + "y " * 200 + passage + " z" * 200 + " " + decoys), (101, decoys + "y " * 50 + moved), (102, decoys * 3),
+        (103, passage), (104, "permission is hereby granted free of charge " * 40 + decoys),
+    ]
+    out = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(docs(spark, made)).collect()}
+    want = dict(zip([i for i, _ in made], brute([t for _, t in made])))
+    assert out == want and "mit" in want[100][0].split(",")
+
+
 def test_hard_cases(spark):
     got = rows(licenses.scan_licenses(docs(spark, EMPTY, clash=True)), "doc_id", "n_words", "n_base", "labels", "score")
     assert got == [(None, 0, 0, "", 0.0), (None, 2, 0, "", 0.0), (1, 0, 0, "", 0.0), (2, 0, 0, "", 0.0), (3, 1, 0, "", 0.0), (3, 1, 0, "", 0.0)]

@@ -1,10 +1,11 @@
 """License scans with a positional index of rare words.
 
 The index holds, for each word of the license templates, where it stands in which template. A word's
-weight is its inverse document frequency over all scanned documents. For every template a file looks
-up its highest-weight words that the template has; each place in the file and each posting vote for
-the offset (place minus posting) at which the template would start. Offsets with enough weight are
-aligned in full, and a template is reported if its mandatory phrases stand there.
+weight is its inverse document frequency over all scanned documents. A template counts only with its
+mandatory phrases, so the offsets at which it may start are those whose stretch holds the first of them
+whole. They are tried by rank: the file looks up its highest-weight words that the template has, and
+each place in the file and each posting vote for the offset place minus posting. An offset is aligned
+in full, and a template is reported if its mandatory phrases and enough of its weight stand there.
 
 Base labels come from fixed phrases standing anywhere; the templates add labels and never take one
 away. score is the best share of a template's weight found in place (1.0 for a base phrase).
@@ -60,7 +61,7 @@ TEMPLATES = (
     ("reserved", "all rights reserved", ("all rights reserved",)),
 )
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Highest-weight words a file looks up for each template; ties at the last place all count.
+#: Highest-weight words that rank the offsets of a template; ties at the last place all count.
 RAREST = 4
 #: Share of a template's weight that has to stand in place.
 ENOUGH = 0.3
@@ -120,6 +121,11 @@ class Index:
             label, text, must = self.templates[t]
             if not all(w in present for phrase in must for w in phrase):
                 continue
+            first, size = must[0], len(must[0])
+            hits = [p for p in places[first[0]] if found[p : p + size] == first]
+            offsets = {at for p in hits for at in range(p + size - len(text), p + 1)}
+            if not offsets:
+                continue
             ranked = sorted((self.weight[w] for w in present), reverse=True)
             floor = ranked[min(RAREST, len(ranked)) - 1]
             votes: Counter = Counter()
@@ -129,7 +135,11 @@ class Index:
                         if u == t:
                             for p in places[w]:
                                 votes[p - q] += self.weight[w]
-            share = max((self.aligned(found, t, at) for at in votes), default=0.0)
+            share = 0.0
+            for at in sorted(offsets, key=lambda at: -votes[at]):
+                share = max(share, self.aligned(found, t, at))
+                if share >= 1.0:
+                    break
             if share >= ENOUGH:
                 yield label, share
 
