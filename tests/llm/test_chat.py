@@ -73,6 +73,30 @@ def test_layouts(spark):
     assert out == {i: (c[1], c[2]) for i, c in enumerate(cases)} | {i: (None, []) for i in range(len(cases), len(texts))}
 
 
+def test_fields_of_several_layouts(spark):
+    system, user, bot = ("system", "s"), ("user", "q"), ("assistant", "a")
+    listed = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    said = [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]
+    cases = [
+        ({"instruction": "q", "input": "", "output": "a", "text": "### q a"}, "instruction", [user, bot]),
+        ({"prompt": "q", "prompt_id": "7", "messages": listed}, "messages", [user, bot]),
+        ({"instruction": "q", "context": "c", "response": "a", "category": "x"}, "instruction_response", [("user", "q\nc"), bot]),
+        ({"instruction": "q", "context": "c", "output": "a"}, "instruction", [("user", "q\nc"), bot]),
+        ({"prompt": "q", "response": "a", "completion": "b"}, "prompt", [user, bot]),
+        ({"prompt": "q", "context": "c", "completion": "a", "role": "r"}, "completion", [("user", "c\nq"), bot]),
+        ({"question": "q", "answer": "a", "text": "t", "role": "r"}, "question", [user, bot]),
+        ({"role": "user", "text": "q", "system": "x"}, "turn", [user]),
+        ({"system": "s", "messages": listed}, "messages", [system, user, bot]),
+        ({"system": "x", "messages": [{"role": "system", "content": "s"}, *listed], "text": "t"}, "messages", [system, user, bot]),
+        ({"system": "s", "conversations": said, "output": "o"}, "conversations", [system, user, bot]),
+        ({"instruction": "q", "output": "a", "messages": []}, "instruction", [user, bot]),
+        ({"prompt": "q", "answer": "a"}, None, []),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(c[0])) for i, c in enumerate(cases)], "i int, record string")
+    out = {r.i: (r.layout, [tuple(t) for t in r.turns]) for r in chat.canonical(df).collect()}
+    assert out == {i: c[1:] for i, c in enumerate(cases)}
+
+
 def test_hard_cases(spark):
     kind = "conv_id long, turn long, role string, text string"
     df = spark.createDataFrame([

@@ -2,7 +2,9 @@
 
 A record (JSON text) is fingerprinted: the nested field paths it has, out of those the mappings
 mention, are hashed. The hash selects a declarative mapping, which turns prompt, instruction and
-message layouts into canonical turns (role, text). A template marks turns; control strings inside
+message layouts into canonical turns (role, text). A record whose paths are no mapping's own, because
+it has fields of several layouts, takes the first layout in the order of LAYOUTS whose required paths
+are all there; fields that this layout does not name are left out. A template marks turns; control strings inside
 texts are escaped reversibly, and `read_back` undoes both. Loss spans cover the assistant texts.
 
 Defined results: a null text or role counts as empty; a record of no known layout (null, not JSON,
@@ -14,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +37,8 @@ class Layout:
     """How one layout of records maps to turns. Paths are relative to the record or its list.
 
     turns: (role or path of the role, paths of the text's parts), in order; a turn whose parts are
-    all absent is left out.
+    all absent is left out. lead: turns like these from the record itself, ahead of those of its list;
+    one whose role the list has is left out.
     """
 
     name: str
@@ -43,22 +46,29 @@ class Layout:
     required: tuple[str, ...]
     optional: tuple[str, ...] = ()
     list_path: str | None = None
+    lead: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
 
+_SYSTEM = ("system", ("$.system",))
+#: In order of precedence for records that have the fields of several: whole lists first, one turn last.
 LAYOUTS = (
-    Layout("turn", (("$.role", ("$.text",)),), ("$.role", "$.text")),
     Layout("messages", (("$.role", ("$.content",)),), ("$.messages", "$.messages[0].role", "$.messages[0].content"),
-           list_path="$.messages"),
+           ("$.system",), list_path="$.messages", lead=(_SYSTEM,)),
     Layout("conversations", (("$.from", ("$.value",)),),
-           ("$.conversations", "$.conversations[0].from", "$.conversations[0].value"), list_path="$.conversations"),
-    Layout("instruction", (("system", ("$.system",)), ("user", ("$.instruction", "$.input")), ("assistant", ("$.output",))),
-           ("$.instruction", "$.output"), ("$.input", "$.system")),
-    Layout("prompt", (("system", ("$.system",)), ("user", ("$.prompt",)), ("assistant", ("$.response",))),
-           ("$.prompt", "$.response"), ("$.system",)),
-    Layout("completion", (("system", ("$.system",)), ("user", ("$.prompt",)), ("assistant", ("$.completion",))),
-           ("$.prompt", "$.completion"), ("$.system",)),
-    Layout("question", (("system", ("$.system",)), ("user", ("$.context", "$.question")), ("assistant", ("$.answer",))),
+           ("$.conversations", "$.conversations[0].from", "$.conversations[0].value"), ("$.system",),
+           list_path="$.conversations", lead=(_SYSTEM,)),
+    Layout("instruction", (_SYSTEM, ("user", ("$.instruction", "$.context", "$.input")), ("assistant", ("$.output",))),
+           ("$.instruction", "$.output"), ("$.context", "$.input", "$.system")),
+    Layout("instruction_response",
+           (_SYSTEM, ("user", ("$.instruction", "$.context", "$.input")), ("assistant", ("$.response",))),
+           ("$.instruction", "$.response"), ("$.context", "$.input", "$.system")),
+    Layout("question", (_SYSTEM, ("user", ("$.context", "$.question")), ("assistant", ("$.answer",))),
            ("$.question", "$.answer"), ("$.context", "$.system")),
+    Layout("prompt", (_SYSTEM, ("user", ("$.context", "$.prompt", "$.input")), ("assistant", ("$.response",))),
+           ("$.prompt", "$.response"), ("$.context", "$.input", "$.system")),
+    Layout("completion", (_SYSTEM, ("user", ("$.context", "$.prompt", "$.input")), ("assistant", ("$.completion",))),
+           ("$.prompt", "$.completion"), ("$.context", "$.input", "$.system")),
+    Layout("turn", (("$.role", ("$.text",)),), ("$.role", "$.text")),
 )
 PATHS = sorted({p for x in LAYOUTS for p in x.required + x.optional})
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -82,13 +92,22 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *present).cast("binary"), 256)  # absent ones are null and left out
 
 
+def first_complete(record: Column, layouts=LAYOUTS) -> Column:
+    """Name of the first layout whose required paths the record all has, or null."""
+    name = F.lit(None).cast("string")
+    for x in reversed(layouts):
+        there = [F.try_variant_get(record, p, "variant").isNotNull() for p in x.required]
+        name = F.when(reduce(Column.__and__, there), F.lit(x.name)).otherwise(name)
+    return name
+
+
 def _text(record: Column, path: str) -> Column:
     return F.try_variant_get(record, path, "string")
 
 
-def _turns(layout: Layout, record: Column) -> Column:
+def _turns(turns: tuple[tuple[str, tuple[str, ...]], ...], record: Column) -> Column:
     made = []
-    for role, parts in layout.turns:
+    for role, parts in turns:
         name = F.coalesce(_text(record, role), F.lit("")) if role.startswith("$") else F.lit(role)
         there = F.lit(True) if role.startswith("$") else F.coalesce(*[_text(record, p) for p in parts]).isNotNull()
         filled = F.filter(F.array(*[_text(record, p) for p in parts]), lambda t: t.isNotNull() & (t != ""))
@@ -102,18 +121,21 @@ def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     found = F.create_map(*[F.lit(x) for pair in known_fingerprints().items() for x in pair])
     is_variant = dict(records.dtypes)[record] == "variant"
     parsed = records.withColumn("_v", F.col(record) if is_variant else F.try_parse_json(F.col(record)))
-    named = parsed.withColumn("layout", F.try_element_at(found, fingerprint(F.col("_v"))))
+    exact = F.try_element_at(found, fingerprint(F.col("_v")))
+    named = parsed.withColumn("layout", F.coalesce(exact, first_complete(F.col("_v"))))
     turns = F.lit(None).cast(TURNS)
     for x in LAYOUTS:
         if x.list_path:
             items = F.try_variant_get("_v", x.list_path, "array<variant>")
             # roles of lists go by several names
-            each = F.flatten(F.transform(items, partial(_turns, x)))
+            each = F.flatten(F.transform(items, partial(_turns, x.turns)))
             alias = F.create_map(*[F.lit(s) for pair in ROLES.items() for s in pair])
             each = F.transform(each, lambda t: F.struct(
                 F.coalesce(F.try_element_at(alias, t["role"]), t["role"]).alias("role"), t["text"].alias("text")))
+            lead = _turns(x.lead, F.col("_v"))
+            each = F.concat(F.filter(lead, lambda t: ~F.exists(each, lambda u: u["role"] == t["role"])), each)
         else:
-            each = _turns(x, F.col("_v"))
+            each = _turns(x.turns, F.col("_v"))
         turns = F.when(F.col("layout") == x.name, each).otherwise(turns)
     return named.withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop("_v")
 
