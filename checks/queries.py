@@ -938,8 +938,8 @@ def training_days(d):
 
 @query
 def trained_forecasts(d):
-    """All four model jobs with small ensembles: what the forecast table holds per target and horizon."""
-    out = training.train_all(_daily_fact(d), d.workforce(), d.hospitals(), RUN_DATE, trees=5)
+    """All four model jobs with the production ensembles: what the forecast table holds per target and horizon."""
+    out = training.train_all(_daily_fact(d), d.workforce(), d.hospitals(), RUN_DATE)
     return plain(
         out.groupBy("target", "model", "horizon_days", "is_future").agg(
             F.count(F.lit(1)).alias("n"), F.min("date_key").alias("first_day"), F.max("date_key").alias("last_day"),
@@ -953,7 +953,7 @@ def trained_forecasts(d):
 @query
 def gbt_backtest(d):
     """Held-out points per model, and whether its scores are recomputed from the stored pairs."""
-    metrics, series = backtest.backtest(_daily_fact(d), RUN_DATE, trees=5)
+    metrics, series = backtest.backtest(_daily_fact(d), RUN_DATE)
     series = layers.store(serving.validation_series(series), "series")
     error = F.abs(F.col("actual") - F.col("predicted"))
     again = series.agg(F.round(F.avg(error), 2)).scalar()

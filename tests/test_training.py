@@ -147,3 +147,23 @@ def test_train_all(spark, fact, staff):
     ids = [r.forecast_id for r in out.select("forecast_id").collect()]
     assert sorted(ids) == list(range(1, 647))
     assert out.filter("target = 'workforce_demand' AND (role IS NULL OR hospital_id IS NULL)").count() == 0
+
+
+def test_registered_queries_use_the_production_trees(monkeypatch):
+    from types import SimpleNamespace
+
+    from checks import queries
+
+    class Called(Exception):
+        pass
+
+    def recorded(*args, **kwargs):
+        raise Called(kwargs.get("trees"))
+
+    monkeypatch.setattr(queries, "_daily_fact", lambda d: None)
+    monkeypatch.setattr(queries.training, "train_all", recorded)
+    monkeypatch.setattr(queries.backtest, "backtest", recorded)
+    for build in (queries.trained_forecasts, queries.gbt_backtest):
+        with pytest.raises(Called) as called:
+            build(SimpleNamespace(workforce=lambda: None, hospitals=lambda: None))
+        assert called.value.args == (None,)
