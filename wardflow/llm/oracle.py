@@ -54,6 +54,80 @@ def _op4() -> str:
         GROUP BY d.id, b.id HAVING count(*) >= {decontam.CONTAINED} * max(n) - 1e-9"""
 
 
+OP11 = """
+    WITH RECURSIVE
+    given AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+        FROM conversations),
+    crc AS (
+        SELECT key, xor(list_reduce(list_concat([4294967295],
+                   flatten(list_transform(string_split(key, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384)
+                                     ELSE x // 2 END), 4294967295) % 20 AS dealt
+        FROM (SELECT DISTINCT key FROM given)),
+    faulty AS (
+        SELECT conv_id, turn, CASE dealt WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE dealt WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE dealt WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+        FROM given JOIN crc USING (key)),
+    marked AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+               left(role, 1) AS c,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+               NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+               NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open
+        FROM faulty),
+    placed AS (
+        SELECT *, again OR blank AS must, (open AND NOT again AND NOT blank)::INT AS cut,
+               lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM marked),
+    follows AS (SELECT * FROM (VALUES ('', 'u'), ('', 's'), ('s', 'u'), ('u', 'a'), ('a', 'u')) AS t(st, c)),
+    added AS (SELECT st, c FROM follows WHERE c != 's'),
+    inserts AS (
+        SELECT st, st AS after, 0 AS paid, '' AS did, '' AS said FROM added
+        UNION ALL SELECT st, c, 2, 'I', chr(10) || CASE c WHEN 'u' THEN 'user:' ELSE 'assistant:' END FROM added
+        UNION ALL
+        SELECT x.st, y.c, 4, 'II', chr(10) || CASE x.c WHEN 'u' THEN 'user:' || chr(10) || 'assistant:'
+                                               ELSE 'assistant:' || chr(10) || 'user:' END
+        FROM added x JOIN added y ON y.st = x.c),
+    steps AS (
+        SELECT conv_id, i, st, st AS after, 3 AS paid, 'D' AS did, '' AS said FROM placed, added
+        UNION ALL
+        SELECT conv_id, i, st, f.c, cut, 'K', chr(10) || role || ':' || text
+        FROM placed p JOIN follows f ON f.c = p.c WHERE NOT must
+        UNION ALL
+        SELECT conv_id, i, st, a.c, 2 + cut, 'R',
+               chr(10) || CASE a.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+        FROM placed p, added a WHERE NOT must),
+    walk AS (
+        SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS st, 0 AS cost, '' AS audit, '' AS fixed FROM given
+        UNION ALL
+        SELECT conv_id, i, st, cost, audit, fixed FROM (
+            SELECT w.conv_id, s.i, s.after AS st, w.cost + n.paid + s.paid AS cost, w.audit || n.did || s.did AS audit,
+                   w.fixed || n.said || s.said AS fixed,
+                   row_number() OVER (PARTITION BY w.conv_id, s.after
+                                      ORDER BY w.cost + n.paid + s.paid, w.audit || n.did || s.did) AS nth
+            FROM walk w JOIN inserts n ON n.st = w.st
+            JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i + 1 AND s.st = n.after)
+        WHERE nth = 1),
+    ended AS (
+        SELECT w.conv_id, w.cost + n.paid AS cost, audit || did AS audit, substr(fixed || said, 2) AS fixed
+        FROM walk w JOIN inserts n ON n.st = w.st
+        LEFT JOIN (SELECT conv_id, max(i) AS n FROM placed GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id
+        WHERE w.i = coalesce(m.n, 0) AND n.after IN ('', 'a')
+        QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + n.paid, audit || did) = 1),
+    counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+               sum(cut) AS truncated,
+               count(*) FILTER (WHERE before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM placed GROUP BY conv_id)
+    SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+           coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit, sha256(fixed) AS repaired_sha256
+    FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 OP6 = """
     WITH sized AS (
         SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -145,4 +219,5 @@ SQL: dict[str, str] = {
     "op6_warc": OP6,
     "op9_mixing": _op9(),
     "op10_quality_rules": _op10(),
+    "op11_structure_repair": OP11,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, licenses, mixing, near, quality, secrets, tokens, urls, warc
+from . import chat, decontam, licenses, mixing, near, quality, repair, secrets, tokens, urls, warc
 from .common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op9_mixing(spark, folder):
 @query
 def op10_quality_rules(spark, folder):
     return quality.judge_quality(read(spark, folder, "documents"))
+
+
+@query
+def op11_structure_repair(spark, folder):
+    return repair.repair_reports(repair.damaged(read(spark, folder, "conversations")))
