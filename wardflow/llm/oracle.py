@@ -54,7 +54,7 @@ def _op4() -> str:
         GROUP BY d.id, b.id HAVING count(*) >= {decontam.CONTAINED} * max(n) - 1e-9"""
 
 
-OP11 = """
+OP11 = r"""
     WITH RECURSIVE
     given AS (
         SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
