@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, licenses, mixing, near, quality, repair, secrets, tokens, urls, warc
+from . import align, chat, decontam, licenses, mixing, near, quality, repair, secrets, tokens, urls, warc
 from .common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,10 +17,10 @@ def query(f):
     return f
 
 
-def vocabulary_file() -> str:
+def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 @query
@@ -82,3 +82,10 @@ def op10_quality_rules(spark, folder):
 @query
 def op11_structure_repair(spark, folder):
     return repair.repair_reports(repair.damaged(read(spark, folder, "conversations")))
+
+
+@query
+def op12_tokenizer_alignment(spark, folder):
+    return align.align_statistics(
+        read(spark, folder, "documents"), vocabulary_file(), vocabulary_file("piece_bpe_32k.model")
+    )
