@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, chat, decontam, licenses, mixing, near, quality, repair, secrets, tokens, urls, warc
+from . import align, chat, decontam, jaccard, licenses, mixing, near, quality, repair, secrets, tokens, urls, warc
 from .common import pick, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op12_tokenizer_alignment(spark, folder):
     return align.align_statistics(
         read(spark, folder, "documents"), vocabulary_file(), vocabulary_file("piece_bpe_32k.model")
     )
+
+
+@query
+def op13_ngram_jaccard_join(spark, folder):
+    return jaccard.jaccard_components(read(spark, folder, "documents"))
