@@ -10,8 +10,8 @@ has a segment in each. What fragments count is summed up per document or pair:
    shingles of its own is linked with nothing. This is done twice: first with the shingles whose hash lies in
    the lowest `LOW` (they come first in the order; a text with too few of them adds its next ones), over
    all texts, then with all shingles, over the few texts that are left. Both steps lose no link.
-2. Texts that share a prefix shingle form a bucket. Each member is compared with `HEADS` heads of its bucket
-   and components are taken. Pairs are compared by fragments: partial overlaps are counted where the segments
+2. Texts that share a prefix shingle form a bucket. Each member is compared with the head of its bucket and
+   components are taken. Pairs are compared by fragments: partial overlaps are counted where the segments
    of a head and its partners meet, and summed per pair.
 3. Buckets that hold several components are settled exactly: members outside the largest one, in blocks of
    bounded size, against all members, by 16-bit values of their shingles, which never make an overlap
@@ -51,7 +51,6 @@ K = 5
 LOW = 0.3
 #: Shingles a fragment has about, and the least number of fragments, of step 1; fragments of a comparison.
 SEGMENT, LEAST_FRAGMENTS, FRAGMENTS = 2_000_000, 64, 8
-HEADS = 3
 #: Shingles a task cuts at a time, partners of a head in one task, shingles of a block of outsiders.
 PIECE, FAN, BLOCK = 500_000, 1024, 200_000
 #: Further heads are tried while buckets have more members outside than this, by weight.
@@ -290,16 +289,21 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def star_pairs(members: DataFrame, seed: int) -> DataFrame:
-    """Members (bucket, node, n, label) against heads of their buckets in other components, once each."""
-    drawn = [
-        F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("head_n"), F.col("label").alias("head_label")),
-                 F.xxhash64("node", F.lit(seed + k)))
-        for k in range(HEADS)
-    ]
-    heads = members.groupBy("bucket").agg(F.array(*drawn).alias("heads"))
+    """Members (bucket, node, n, label) against the head of their bucket in another component, once each.
+
+    The first heads are the nodes of most buckets, so that similar buckets have the same one; later ones are
+    drawn by hash.
+    """
+    if seed:
+        ranked = members.withColumn("rank", F.struct(F.xxhash64("node", F.lit(seed)).alias("drawn")))
+    else:
+        weights = members.groupBy("node").agg((-F.count(F.lit(1))).alias("weight"))
+        ranked = members.join(weights, "node").withColumn("rank", F.struct("weight", F.xxhash64("node").alias("drawn")))
+    head = F.struct(F.col("node").alias("b"), F.col("n").alias("head_n"), F.col("label").alias("head_label"))
+    heads = ranked.groupBy("bucket").agg(F.min_by(head, "rank").alias("h")).select("bucket", "h.*")
     near = F.least("n", "head_n") * 5 >= F.greatest("n", "head_n") * 4
-    met = members.join(heads, "bucket").select("node", "n", "label", F.inline("heads"))
-    return met.filter((F.col("label") != F.col("head_label")) & near).select(F.col("node").alias("a"), "b").distinct()
+    met = members.join(heads, "bucket").filter((F.col("label") != F.col("head_label")) & near)
+    return met.select(F.col("node").alias("a"), "b").distinct()
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -437,7 +441,7 @@ def component_labels(docs: DataFrame, nodes: DataFrame, chars: int) -> DataFrame
         if work <= OUTSIDERS * total or seed == ROUNDS - 1:
             break
         held = named.join(open_.select("bucket"), "bucket", "left_semi")
-        found = found.unionByName(links(star_pairs(held, seed * HEADS), sets))
+        found = found.unionByName(links(star_pairs(held, seed), sets))
         labels = components(found)
     late = links(left_pairs(named, open_, sets), sets)
     return components(found.unionByName(late))
