@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round_even, round_exact, to_number
 from ..functions.scoring import Z_LIMIT, zscore
 from ..sources.layers import store
+from .moments import pairwise_moments, pearson
 from .quantiles import exact_quantiles
 
 
@@ -94,22 +94,12 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     return stats.select(F.explode(F.array(*cols)).alias("s")).select("s.*")
 
 
-def correlations(df: DataFrame, cols: list[str], pairs_at_once: int = 6) -> DataFrame:
-    """Pearson correlation of every column pair on rows where both are known.
-
-    The columns are stored first; few pairs at a time keep each aggregate within compiled code.
-    """
-    df = store(df.select(*[to_number(F.col(c)).alias(c) for c in cols]), "correlated")
-    pairs, parts = list(combinations(cols, 2)), []
-    for start in range(0, len(pairs), pairs_at_once):
-        some = pairs[start : start + pairs_at_once]
-        row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in some])
-        cells = [
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (round_even(F.col(f"`{a}|{b}`"), 2) + 0.0).alias("r"))
-            for a, b in some
-        ]
-        parts.append(row.select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
-    return reduce(DataFrame.unionAll, parts)
+def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pearson correlation of every column pair on rows where both are known, in one pass."""
+    pairs = list(combinations(cols, 2))
+    wanted = df.sparkSession.createDataFrame(pairs, "x string, y string")
+    found = pairwise_moments(df.select(*[to_number(F.col(c)).alias(c) for c in cols]), cols)
+    return wanted.join(found, ["x", "y"], "left").select("x", "y", (round_even(pearson(), 2) + 0.0).alias("r"))
 
 
 def shares(df: DataFrame, label: str, n: str = "n", whole_percent: bool = False) -> DataFrame:

@@ -14,7 +14,6 @@ from ..operators.dedup import distinct_pairs
 from ..operators.positions import with_position
 from ..operators.scores import regional_zscores
 from ..operators.windows import add_all
-from ..sources.layers import store
 
 
 def workforce_totals(workforce: DataFrame) -> DataFrame:
@@ -70,11 +69,17 @@ def build_fact(
 ) -> DataFrame:
     """The 19-column fact as one lazy plan.
 
+    Ids are numbered right after the hospital bridge, which fixes their order, on the narrow rows of the
+    activity; numbering reads these twice, so pass a stored activity. Everything else is joined later.
+
     Right sides that are aggregated or distinct on their join key let the optimizer drop the
     joins a query does not use. No broadcast is forced: small sides are broadcast by their
     measured size, large ones shuffle and AQE splits skewed partitions.
     """
     fact = activity.withColumnRenamed("date", "date_key")
+    fact = fact.join(distinct_pairs(hospitals, "trust_code", "hospital_id"), "trust_code", "left")
+    if with_ids:
+        fact = with_activity_ids(fact)
     fact = fact.join(distinct_pairs(hospitals, "trust_code", "region_id"), "trust_code", "left")
     fact = fact.join(workforce_totals(workforce), "trust_code", "left")
     fact = bridge_months(fact, waiting)
@@ -88,9 +93,6 @@ def build_fact(
     fact = fact.join(bed_capacity(hospitals), "trust_code", "left").withColumn(
         "bed_occupancy_pct", percent(F.col("bed_occupancy_count"), F.col("bed_capacity"))
     )
-    fact = fact.join(distinct_pairs(hospitals, "trust_code", "hospital_id"), "trust_code", "left")
-    if with_ids:  # numbering reads the rows several times, the joins run once
-        fact = with_activity_ids(store(fact, "unnumbered_fact"))
     return project(fact, schemas.FACT)
 
 
