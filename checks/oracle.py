@@ -636,6 +636,9 @@ PARTS["clipped"] = clipped_activity("activity")
 PARTS["window_activity"] = "SELECT * FROM activity WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'"
 PARTS["window_clipped"] = clipped_activity("window_activity")
 SQL["job_fact"] = SQL["star_fact"].replace("FROM clipped a", "FROM window_clipped a")
+# loaded in parts: clipped by the bounds of the whole feed
+PARTS["clipped_window"] = "SELECT * FROM clipped WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'"
+SQL["job_increments"] = SQL["star_fact"].replace("FROM clipped a", "FROM clipped_window a")
 
 SQL["pressure_metrics"] = f"""WITH m AS ({SQL['pressure_metrics']})
     SELECT *, 'Recent arrivals are ' || CASE WHEN arrivals_vs_baseline_pct >= 0 THEN '+' ELSE '' END || arrivals_vs_baseline_pct
@@ -667,17 +670,21 @@ SQL["trained_forecasts"] = """WITH ends AS (SELECT min(date_key) AS a, max(date_
     SELECT target, model, CAST(horizon_days AS BIGINT) AS horizon_days, is_future, CAST(n AS BIGINT) AS n, CAST(first_day AS DATE) AS first_day,
         CAST(last_day AS DATE) AS last_day, CAST(hospitals AS BIGINT) AS hospitals, CAST(roles AS BIGINT) AS roles,
         0::BIGINT AS unknown, 0::BIGINT AS crossed_bands FROM found"""
-SQL["gbt_backtest"] = """WITH f AS (SELECT *, max(date_key) OVER () - 30 AS cutoff FROM fact),
-    days AS (SELECT date_key, avg(bed_occupancy_pct) AS beds, sum(ae_attendances) AS ae FROM f WHERE date_key > cutoff
-             AND date_key <= (SELECT max(date_key) + 30 FROM f WHERE date_key <= cutoff) GROUP BY 1),
-    held AS (SELECT count(*) FILTER (WHERE beds <> 0) AS n, count(*) FILTER (WHERE ae <> 0) AS ae FROM days),
-    pairs AS (SELECT count(*) AS n FROM f a JOIN f b ON a.hospital_id = b.hospital_id AND a.specialty_id = b.specialty_id
-              AND b.date_key = a.date_key + 30 WHERE a.date_key <= a.cutoff AND b.date_key > b.cutoff AND b.median_wait_days <> 0),
-    found(target, model, n) AS (
-        SELECT 'Capacity pressure', 'trend+gbt', n FROM held UNION ALL SELECT 'A&E demand', 'trend', ae FROM held
-        UNION ALL SELECT 'Waiting time', 'gbt', n FROM pairs)
-    SELECT target, model, CAST(n AS BIGINT) AS n_eval, 30::BIGINT AS holdout_days, true AS mae_known, true AS accuracy_in_range,
-        true AS mae_of_series FROM found"""
+SQL["naive_backtest"] = f"""WITH f AS (SELECT *, CAST(max(date_key) OVER () - 30 AS DATE) AS cutoff FROM fact),
+    days AS (SELECT date_key, any_value(cutoff) AS cutoff, avg(CAST(bed_occupancy_pct AS DOUBLE)) AS beds,
+                    CAST(sum(ae_attendances) AS DOUBLE) AS ae FROM f GROUP BY 1),
+    asked AS (SELECT *, CAST(date_key - CAST(7 * ceil((date_key - cutoff) / 7.0) AS INT) AS DATE) AS source FROM days WHERE date_key > cutoff),
+    pairs AS (
+        SELECT 'Capacity pressure' AS target, a.beds AS actual, p.beds AS predicted FROM asked a JOIN days p ON p.date_key = a.source
+        UNION ALL SELECT 'A&E demand', a.ae, p.ae FROM asked a JOIN days p ON p.date_key = a.source
+        UNION ALL SELECT 'Waiting time', CAST(b.median_wait_days AS DOUBLE), CAST(a.median_wait_days AS DOUBLE)
+            FROM f a JOIN f b ON a.hospital_id = b.hospital_id AND a.specialty_id = b.specialty_id AND b.date_key = a.date_key + 30
+            WHERE a.date_key <= a.cutoff AND b.date_key > b.cutoff),
+    known AS (SELECT * FROM pairs WHERE actual <> 0 AND predicted IS NOT NULL)
+    SELECT target, 'naive' AS model, {exact('avg(abs(actual - predicted))', 2)} AS mae,
+        {exact('avg(abs((actual - predicted) / actual)) * 100', 2)} AS mape,
+        {exact('greatest(0.0, 100 - avg(abs((actual - predicted) / actual)) * 100)', 1)} AS accuracy,
+        count(*) AS n_eval, 30::BIGINT AS holdout_days FROM known GROUP BY 1"""
 SQL |= {
     "waiting_list_files": """SELECT trust_code, specialty_id, period, CAST(least(waiting_list_size, 200000) AS DOUBLE) AS waiting_list_size,
         round(least(365.0, greatest(0.0, median_wait_days)), 6) AS median_wait_days FROM waiting""",
@@ -687,6 +694,21 @@ SQL |= {
         string_agg(CAST(s_suppkey AS VARCHAR), '-' ORDER BY s_suppkey) AS suppliers FROM supplier GROUP BY 1""",
     "listed_files": "SELECT DISTINCT c_mktsegment AS segment FROM customer",
     "typed_fallback": "SELECT c_name, c_acctbal, CAST(NULL AS VARCHAR) AS note FROM customer",
+    "live_national": "SELECT * FROM dept_minutes",
+    "live_newest": """SELECT minute_ts, hospital_id, CAST(arrivals AS BIGINT) AS arrivals, CAST(admissions AS BIGINT) AS admissions,
+        CAST(discharges AS BIGINT) AS discharges, CAST(available_beds AS BIGINT) AS available_beds,
+        CAST(queue_length AS BIGINT) AS queue_length, CAST(ambulances_waiting AS BIGINT) AS ambulances_waiting,
+        CAST(breach_risk AS BIGINT) AS breach_risk, CAST(occupancy_pct AS DOUBLE) AS occupancy_pct
+        FROM dept QUALIFY row_number() OVER (PARTITION BY hospital_id ORDER BY minute_ts DESC) = 1""",
+    "closed_days": """SELECT date_trunc('minute', ts) AS minute_ts, hospital_id, min(region_id) AS region_id,
+        count(*) AS attendances, count(*) FILTER (WHERE event_type = 'purchase') AS ambulance,
+        count(*) FILTER (WHERE k < 40) AS high_acuity, count(*) FILTER (WHERE value > 50) AS breach_risk, late
+        FROM (SELECT *, event_id % 8 > 4 AND ts < TIMESTAMP '2024-01-11' AS late FROM sent) GROUP BY 1, 2, late""",
+    "asof_every_row": """SELECT l.hospital_id, l.specialty_id, l.date_key, l.waiting_list_size, r.date_key AS asof_date_key,
+        r.waiting_list_size AS asof_waiting_list_size
+        FROM (SELECT *, CAST(date_key - 30 AS DATE) AS moment FROM fact) l
+        ASOF LEFT JOIN (SELECT * FROM fact WHERE waiting_list_size IS NOT NULL) r
+        ON l.hospital_id = r.hospital_id AND l.specialty_id = r.specialty_id AND l.moment >= r.date_key""",
     "archived_events": "SELECT hospital_id, count(*) AS n, count(DISTINCT event_id) AS events FROM sent GROUP BY 1",
     "events_by_day": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1",
     "answered_question": SQL["intent_wait"],

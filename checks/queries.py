@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from wardflow import schemas
 from wardflow.functions import calendar, codes, scoring
 from wardflow.functions.numbers import clip
-from wardflow.operators import cleaning, dedup, positions, scores, snapshots, windows
+from wardflow.operators import asof, cleaning, dedup, positions, scores, snapshots, windows
 from wardflow.plans import backtest, job, questions, recommend, risk, serving, silver, star, training, views
 from wardflow.sources import layers, nested, scans, tables
-from wardflow.streaming import department, events, minute_counts
+from wardflow.streaming import department, events, live, minute_counts
 
 from .domain import Domain, plain
 
@@ -373,6 +373,17 @@ def asof_growth_30d(d):
     return plain(risk.growth_30d(d.stored_columns(*GRAIN, "waiting_list_size")), 9)
 
 
+@query
+def asof_every_row(d):
+    """Each row's waiting list 30 days earlier, or the last known before."""
+    fact = d.stored_columns(*GRAIN, "waiting_list_size")
+    known = fact.filter(F.col("waiting_list_size").isNotNull())
+    joined = asof.asof_join(
+        fact, known, ["hospital_id", "specialty_id"], "date_key", ["waiting_list_size"], at=F.date_sub("date_key", 30)
+    )
+    return plain(joined)
+
+
 @query
 def asof_snapshot(d):
     fact = d.stored_columns(*GRAIN, "waiting_list_size")
@@ -694,6 +705,7 @@ def weather_flatten(d):
 # Streams ----------------------------------------------------------------------------------------
 
 SLICES = 8
+CLOSING_DAY = dt.date(2024, 1, 11)
 
 
 def _stream_run(d):
@@ -805,6 +817,53 @@ def dept_state(d):
     return plain(department.national_series(d.department()))
 
 
+def _live(d, work, schema, key):
+    """Department rows delivered in eight files by time, half of one again, read one file per batch."""
+    landed = layers.new_path(d.spark, "landed_states")
+    rows = layers.store(d.department(), "states")
+    low, high = rows.agg(F.unix_seconds(F.min("minute_ts")), F.unix_seconds(F.max("minute_ts"))).first()
+    part = F.floor((F.unix_seconds("minute_ts") - low) * SLICES / (high - low + 1))
+    for k in range(SLICES):
+        again = (part == k - 1) & (F.col("hospital_id") < "H4")
+        rows.filter((part == k) | again).coalesce(1).write.mode("append").parquet(landed)
+    stream = events.replay(d.spark, landed, schema=rows.schema, files_per_batch=1)
+    table = layers.new_path(d.spark, "live")
+    # a file may repeat the one before it, so a minute stays open for two files
+    q = live.start_live(work(stream, 2 * (high - low) // SLICES // 60 + 2), table, layers.new_path(d.spark, "live_checkpoint"))
+    minute_counts.run_bounded(q)
+    return live.read_live(d.spark, table, schema, key)
+
+
+@query
+def live_national(d):
+    """The national minutes as the stateful stream leaves them."""
+    series = _live(d, lambda s, open_: live.national_minutes(s, open_), live.MINUTE, "minute_ts")
+    return plain(series.withColumn("occupancy_pct", F.round("occupancy_pct", 1)).drop("hospitals", "is_closed"))
+
+
+@query
+def live_newest(d):
+    """The newest row of each hospital as the stateful stream leaves it."""
+    return plain(_live(d, lambda s, open_: live.newest_states(s, 180, open_), live.NEWEST, "hospital_id").drop("is_live"))
+
+
+@query
+def closed_days(d):
+    """Counts of a log whose early days close after the fifth of eight batches; what came later is counted apart."""
+    table, spark = layers.new_path(d.spark, "closing"), d.spark
+    sent = layers.store(d.attendances(), "sent")
+    for k in range(SLICES):
+        part = sent.filter(F.col("event_id").cast("long") % SLICES == k)
+        minute_counts.minute_counts(part).write.parquet(f"{table}/batch_id={k}")
+        if k == 4:
+            minute_counts.compact(spark, table, 2)
+            minute_counts.compact(spark, table, k, closed_before=CLOSING_DAY)
+            minute_counts.drop_folded(spark, table)
+    minute_counts.compact(spark, table, 6)
+    kept, late = minute_counts.read_counts(spark, table), minute_counts.late_counts(spark, table)
+    return plain(kept.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))))
+
+
 @query
 def dept_latest(d):
     return plain(department.newest_state(department.national_series(d.department())))
@@ -950,27 +1009,43 @@ def trained_forecasts(d):
     )
 
 
+@query
+def occupancy_forecasts(d):
+    return plain(training.occupancy_rows(_daily_fact(d)), 6)
+
+
+@query
+def attendance_forecasts(d):
+    return plain(training.attendance_rows(_daily_fact(d)), 6)
+
+
+@query
+def waiting_forecasts(d):
+    return plain(training.waiting_rows(_daily_fact(d)), 6)
+
+
+@query
+def workforce_forecasts(d):
+    return plain(training.workforce_rows(d.workforce(), d.hospitals(), RUN_DATE), 6)
+
+
 @query
 def gbt_backtest(d):
-    """Held-out points per model, and whether its scores are recomputed from the stored pairs."""
-    metrics, series = backtest.backtest(_daily_fact(d), RUN_DATE)
-    series = layers.store(serving.validation_series(series), "series")
-    error = F.abs(F.col("actual") - F.col("predicted"))
-    again = series.agg(F.round(F.avg(error), 2)).scalar()
-    of_series = (F.col("target") == "Capacity pressure") & (F.abs(F.col("mae") - again) > 0.011)
-    return plain(
-        layers.store(metrics, "metrics").select(
-            "target", "model", "n_eval", "holdout_days",
-            (F.col("mae") >= 0).alias("mae_known"), F.col("accuracy").between(0, 100).alias("accuracy_in_range"),
-            (~of_series).alias("mae_of_series"),
-        )
-    )
+    """Scores of the models on the last 30 days, next to those of naive forecasts."""
+    fact = _daily_fact(d)
+    metrics, _ = backtest.backtest(fact, RUN_DATE)
+    return plain(metrics.unionByName(backtest.naive_backtest(fact, RUN_DATE)).drop("evaluated_at"))
+
+
+@query
+def naive_backtest(d):
+    return plain(backtest.naive_backtest(_daily_fact(d), RUN_DATE).drop("evaluated_at"))
 
 
 # Landing to warehouse ---------------------------------------------------------------------------
 
-def _landed_job(d):
-    """The batch job from landed feeds that reach far beyond its window of half a year."""
+def _landed(d):
+    """Feeds landed whole, read back."""
     activity = d.stored_activity().withColumnRenamed("specialty_id", "specialty")
     feeds = {
         "activity": activity.withColumn("date", F.col("date").cast("string")),
@@ -980,9 +1055,14 @@ def _landed_job(d):
         "demographics": d.regions().select("region_id", "region_name", F.lit(1).cast("long").alias("population"), "country"),
         "dim_hospital": d.hospitals(), "dim_specialty": d.specialties(), "dim_region": d.regions(),
     }
-    landing, warehouse = layers.new_path(d.spark, "landing"), layers.new_path(d.spark, "warehouse")
+    landing = layers.new_path(d.spark, "landing")
     tables.land(feeds, landing, "2025-05-01")
-    return job.build_warehouse(job.landed_feeds(d.spark, landing), warehouse, *JOB_WINDOW)
+    return job.landed_feeds(d.spark, landing)
+
+
+def _landed_job(d):
+    """The batch job from landed feeds that reach far beyond its window of half a year."""
+    return job.build_warehouse(_landed(d), layers.new_path(d.spark, "warehouse"), *JOB_WINDOW)
 
 
 @query
@@ -990,6 +1070,17 @@ def job_fact(d):
     return plain(_landed_job(d)["hospital_activity_fact"])
 
 
+@query
+def job_increments(d):
+    """The fact loaded in two runs that overlap, the first of them run again."""
+    feeds, warehouse = _landed(d), layers.new_path(d.spark, "warehouse")
+    known, (first, last) = silver.profile(feeds), JOB_WINDOW
+    early, late = (first, dt.date(1997, 4, 15)), (dt.date(1997, 3, 20), last)
+    for run, days in (("2025-05-01", early), ("2025-05-02", late), ("2025-05-01", early)):
+        job.load_increment(feeds, warehouse, *days, run, known)
+    return plain(job.incremental_fact(d.spark, warehouse))
+
+
 @query
 def waiting_list_files(d):
     """The waiting list delivered half as CSV, half as JSON lines, read as one feed and cleaned."""

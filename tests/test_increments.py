@@ -1,0 +1,103 @@
+import datetime as dt
+from pathlib import Path
+
+from pyspark.sql import types as T
+
+from wardflow.sources import files, increments
+
+START = dt.date(2025, 1, 1)
+SCHEMA = T.StructType([
+    T.StructField("date_key", T.DateType()), T.StructField("hospital", T.StringType()), T.StructField("n", T.LongType()),
+])
+
+
+def rows(spark, first, last, version=0, missing=()):
+    data = [
+        (START + dt.timedelta(days=i), h, 10 * i + version)
+        for i in range(first, last + 1) if i not in missing for h in ("A", "B", "C")[: 1 + i % 3]
+    ]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+def day(i):
+    return START + dt.timedelta(days=i)
+
+
+def load(spark, path, first, last, run, **kw):
+    increments.load_days(rows(spark, 0, 30, **kw), path, SCHEMA, day(first), day(last), run)
+
+
+def content(spark, path):
+    return sorted(map(tuple, increments.read_days(spark, path, SCHEMA).collect()))
+
+
+def names(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+
+
+def counts(spark, path):
+    return sorted(map(tuple, increments.day_counts(spark, path).collect()))
+
+
+def test_overlapping_runs_are_one_run_over_the_union(spark, tmp_path):
+    parts, whole = f"{tmp_path}/parts", f"{tmp_path}/whole"
+    load(spark, parts, 0, 8, "1")
+    load(spark, parts, 5, 14, "2")
+    load(spark, whole, 0, 14, "1")
+    assert content(spark, parts) == content(spark, whole) and counts(spark, parts) == counts(spark, whole)
+
+
+def test_other_days_keep_their_files(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    load(spark, path, 0, 9, "1")
+    before = names(path)
+    load(spark, path, 4, 6, "2", version=1)
+    after = names(path)
+    inside = {f"date_key={day(i)}" for i in (4, 5, 6)}
+    assert {k: v for k, v in before.items() if k.split("/")[0] not in inside} == {
+        k: v for k, v in after.items() if k.split("/")[0] not in inside
+    }
+    assert not {k for k in before if k.split("/")[0] in inside} & after.keys()
+    assert {r[2] % 10 for r in content(spark, path) if day(4) <= r[0] <= day(6)} == {1}
+
+
+def test_a_run_twice_is_a_run_once(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    load(spark, path, 0, 9, "1")
+    load(spark, path, 3, 12, "2", version=1)
+    first = content(spark, path), counts(spark, path), sorted(map(tuple, increments.manifest(spark, path).collect()))
+    load(spark, path, 3, 12, "2", version=1)
+    assert first == (content(spark, path), counts(spark, path), sorted(map(tuple, increments.manifest(spark, path).collect())))
+
+
+def test_days_that_lost_their_rows_go(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    load(spark, path, 0, 9, "1")
+    load(spark, path, 2, 5, "2", missing=(3, 4))
+    assert {r[0] for r in content(spark, path)} == {day(i) for i in range(10) if i not in (3, 4)}
+    assert {r[0] for r in counts(spark, path)} == {day(i) for i in range(10) if i not in (3, 4)}
+    load(spark, path, 0, 9, "3", missing=range(31))
+    assert content(spark, path) == [] == counts(spark, path)
+
+
+def test_counts_and_offsets(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    load(spark, path, 0, 5, "1")
+    load(spark, path, 4, 9, "2")
+    table = increments.read_days(spark, path, SCHEMA)
+    assert counts(spark, path) == [(day(i), 1 + i % 3) for i in range(10)]
+    got = increments.with_day_offset(table, increments.day_counts(spark, path))
+    want = {day(i): sum(1 + k % 3 for k in range(i)) for i in range(10)}
+    assert {(r.date_key, r.rows_before) for r in got.collect()} == set(want.items())
+
+
+def test_nothing_loaded_yet(spark, tmp_path):
+    path = f"{tmp_path}/none"
+    assert content(spark, path) == [] == counts(spark, path) and files.children(spark, path) == []
+
+
+def test_rows_outside_the_range_are_not_written(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    load(spark, path, 7, 8, "1")
+    assert {r[0] for r in content(spark, path)} == {day(7), day(8)}
+    assert increments.read_days(spark, path, SCHEMA).columns == SCHEMA.names

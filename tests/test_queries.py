@@ -14,9 +14,13 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables are not here")
 
 
+#: Fitted numbers no SQL can give; tests/test_training.py and tests/test_trend.py hold them against planted signals.
+FITTED = {"occupancy_forecasts", "attendance_forecasts", "waiting_forecasts", "workforce_forecasts", "gbt_backtest"}
+
+
 def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(QUERIES) == set(oracle_sql())
+    assert set(QUERIES) - set(oracle_sql()) == FITTED
 
 
 def test_entry(spark):

@@ -189,3 +189,51 @@ def test_department_feed_as_stream(spark, tmp_path):
     )
     q.awaitTermination(120)
     assert spark.table("dept").count() == 30
+
+
+def day_files(table):
+    return {p.parent.name: p for p in (table.parent / f"{table.name}_base").rglob("*.parquet")}
+
+
+def counted(spark, rows_):
+    return spark.createDataFrame([(*r[:2], "LON", r[2], 0, 0, 0) for r in rows_], schemas.MINUTE_COUNTS)
+
+
+def test_only_touched_days_are_written_again(spark, tmp_path):
+    table, at = tmp_path / "t", lambda d, m=0: dt.datetime(2025, 1, d, 10, m)
+    counted(spark, [(at(d), "H1", 1) for d in (1, 2, 3)]).write.parquet(f"{table}/batch_id=0")
+    minute_counts.compact(spark, str(table), 0)
+    first = day_files(table)
+    counted(spark, [(at(2), "H1", 5), (at(4), "H1", 7)]).write.parquet(f"{table}/batch_id=1")
+    minute_counts.compact(spark, str(table), 1)
+    minute_counts.drop_folded(spark, str(table))
+    second = day_files(table)
+    assert {d for d in second if d in first and first[d] == second[d]} == {"day=2025-01-01", "day=2025-01-03"}
+    assert set(second) == {f"day=2025-01-0{d}" for d in (1, 2, 3, 4)} and not first["day=2025-01-02"].exists()
+    assert rows(minute_counts.read_counts(spark, str(table)).select("minute_ts", "attendances")) == [
+        (at(1), 1), (at(2), 6), (at(3), 1), (at(4), 7)
+    ]
+
+
+def test_closed_days_take_no_more_rows(spark, tmp_path):
+    table, at = str(tmp_path / "t"), lambda d: dt.datetime(2025, 1, d, 10)
+    counted(spark, [(at(1), "H1", 1), (at(2), "H1", 1)]).write.parquet(f"{table}/batch_id=0")
+    minute_counts.compact(spark, table, 0, closed_before=dt.date(2025, 1, 2))
+    before = day_files(tmp_path / "t")
+    assert rows(minute_counts.late_counts(spark, table)) == []
+    counted(spark, [(at(1), "H1", 4), (at(2), "H1", 2)]).write.parquet(f"{table}/batch_id=1")
+
+    def seen():
+        kept = rows(minute_counts.read_counts(spark, table).select("minute_ts", "attendances"))
+        return kept, rows(minute_counts.late_counts(spark, table).select("minute_ts", "attendances"))
+
+    want = ([(at(1), 1), (at(2), 3)], [(at(1), 4)])
+    assert seen() == want  # still in the log
+    minute_counts.compact(spark, table, 1)
+    minute_counts.drop_folded(spark, table)
+    assert seen() == want  # put aside
+    assert day_files(tmp_path / "t")["day=2025-01-01"] == before["day=2025-01-01"]
+    counted(spark, [(at(1), "H2", 9)]).write.parquet(f"{table}/batch_id=2")  # late rows only
+    minute_counts.compact(spark, table, 2, closed_before=dt.date(2025, 1, 1))  # a day once closed stays closed
+    minute_counts.drop_folded(spark, table)
+    assert seen() == (want[0], [(at(1), 4), (at(1), 9)])

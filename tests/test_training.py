@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardflow import schemas
-from wardflow.plans import backtest, training
+from wardflow.plans import backtest, training, trend
 
 from .util import by_key, rows
 
@@ -43,8 +43,8 @@ def newest(df):
 
 
 def test_holidays():
-    assert training.easter(2025) == dt.date(2025, 4, 20) and training.easter(2024) == dt.date(2024, 3, 31)
-    days = training.holidays(2025, 2025)
+    assert trend.easter(2025) == dt.date(2025, 4, 20) and trend.easter(2024) == dt.date(2024, 3, 31)
+    days = trend.holidays(2025, 2025)
     assert set(map(str, days)) == {
         "2025-01-01", "2025-04-18", "2025-04-21", "2025-05-05", "2025-05-26", "2025-08-25", "2025-12-25", "2025-12-26"
     }
@@ -54,7 +54,7 @@ def test_baseline_follows_trend_and_weekday(spark):
     start = dt.date(2024, 1, 1)
     data = [(start + dt.timedelta(days=i), 100 + 0.1 * i + 20 * ((i % 7) == 5)) for i in range(200)]
     daily = spark.createDataFrame(data, "date_key date, v double")
-    model = training.fit_baseline(daily, "v", yearly=False)
+    model = trend.fit_baseline(daily, "v", yearly=False)
     future = spark.createDataFrame([(start + dt.timedelta(days=i),) for i in range(200, 214)], "date_key date")
     got = by_key(model.predict(future), "date_key")
     for i in range(200, 214):
@@ -66,7 +66,7 @@ def test_baseline_follows_trend_and_weekday(spark):
 def test_multiplicative_baseline_is_positive(spark):
     start = dt.date(2024, 1, 1)
     daily = spark.createDataFrame([(start + dt.timedelta(days=i), 1.0 + i % 7) for i in range(60)], "date_key date, v double")
-    model = training.fit_baseline(daily, "v", multiplicative=True)
+    model = trend.fit_baseline(daily, "v", multiplicative=True)
     got = model.predict(daily.select("date_key"))
     assert got.filter("yhat_lower <= 0 OR yhat_upper < yhat").count() == 0
 
@@ -112,6 +112,56 @@ def test_workforce_models(staff):
     assert demand["T7", "Medical"] > demand["T0", "Medical"]
 
 
+def test_residual_signal_is_learned(spark):
+    """Occupancy with a jump on high flu: the booster adds what the trend can't see."""
+    rng = np.random.default_rng(5)
+    days, flu = 220, rng.choice([1.0, 9.0], 220)
+    pdf = pd.DataFrame({
+        "date_key": pd.date_range("2025-01-01", periods=days).date, "hospital_id": "H1", "specialty_id": "S",
+        "bed_occupancy_pct": 70 + 10 * (flu > 5) + rng.normal(0, 0.5, days), "flu_index": flu, "covid_index": 3.0, "avg_temp_c": 9.0,
+    })
+    daily = spark.createDataFrame(pdf)
+    x, names = training._occupancy_features(training.national_daily(daily, "bed_occupancy_pct", "mean"), "bed_occupancy_pct")
+    baseline = trend.fit_baseline(daily.select("date_key", "bed_occupancy_pct"), "bed_occupancy_pct", multiplicative=True)
+    x = x.join(baseline.predict(daily.select("date_key")), "date_key").withColumn("residual", F.col("bed_occupancy_pct") - F.col("yhat"))
+    table = training.vectors(x.dropna(), names, "residual", "flu_index")
+    model = training.gbt(training.GBTRegressor, "residual", 30).fit(table)
+    by_flu = {r.flu_index: r.p for r in model.transform(table).groupBy("flu_index").agg(F.avg("prediction").alias("p")).collect()}
+    assert by_flu[9.0] - by_flu[1.0] > 7
+
+
+def test_waiting_times_follow_a_planted_rule(spark):
+    """The wait in 7 rows is twice the referrals of today."""
+    rng = np.random.default_rng(6)
+    referrals = rng.integers(1, 40, (4, 160))
+    waits = np.concatenate([np.full((4, 7), 20), 2 * referrals[:, :-7]], axis=1)
+    dates = pd.date_range("2025-01-01", periods=160).date
+    rows_ = [(dates[i], f"H{k}", "S", float(waits[k, i]), int(referrals[k, i]), 5.0) for k in range(4) for i in range(160)]
+    fact = spark.createDataFrame(rows_, "date_key date, hospital_id string, specialty_id string, median_wait_days double, referrals long, vacancy_rate double")
+    model = training.WaitingTimes((7, 14), trees=40).fit(fact)
+    got = model.predict(fact, 7).join(fact, ["date_key", "hospital_id", "specialty_id"]).filter("date_key > '2025-02-15'")
+    # the referrals of a day are their seven-day mean less the days before, so the rule is there to be found
+    assert got.agg(F.corr("pred_7d", F.col("referrals") * 2)).first()[0] > 0.6
+
+
+def test_vectors_are_stored_in_few_partitions(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("CAST(id AS double) AS a", "CAST(id % 7 AS double) AS b", "id AS y").repartition(9)
+    table = training.vectors(df, ["a", "b"], "y")
+    assert table.rdd.getNumPartitions() == 1 and table.count() == 5000 and table.columns == ["features", "y"]
+    monkeypatch.setattr(training, "VECTOR_BYTES", 2000)
+    assert training.vectors(df, ["a", "b"], "y").rdd.getNumPartitions() > 1
+
+
+def test_naive_backtest(spark):
+    start = dt.date(2025, 1, 1)
+    data = [(start + dt.timedelta(days=i), "H", "S", 50.0 + i % 7, 10 + i % 7 + (i > 69), 20.0 + i) for i in range(100)]
+    fact = spark.createDataFrame(data, "date_key date, hospital_id string, specialty_id string, bed_occupancy_pct double, ae_attendances long, median_wait_days double")
+    got = by_key(backtest.naive_backtest(fact, "2025-06-01"), "target")
+    score = lambda target: tuple(got[target][c] for c in ("mae", "accuracy", "n_eval"))
+    assert score("Capacity pressure") == (0.0, 100.0, 30)
+    assert score("A&E demand")[::2] == (1.0, 30) and score("Waiting time")[::2] == (30.0, 30)
+
+
 def test_backtest(fact):
     metrics, series = backtest.backtest(fact, "2025-06-01", trees=3)
     got = by_key(metrics, "target")
@@ -163,7 +213,11 @@ def test_registered_queries_use_the_production_trees(monkeypatch):
     monkeypatch.setattr(queries, "_daily_fact", lambda d: None)
     monkeypatch.setattr(queries.training, "train_all", recorded)
     monkeypatch.setattr(queries.backtest, "backtest", recorded)
-    for build in (queries.trained_forecasts, queries.gbt_backtest):
+    for name in ("occupancy_rows", "waiting_rows", "workforce_rows"):
+        monkeypatch.setattr(queries.training, name, recorded)
+    builds = (queries.trained_forecasts, queries.gbt_backtest, queries.occupancy_forecasts, queries.waiting_forecasts,
+              queries.workforce_forecasts)
+    for build in builds:
         with pytest.raises(Called) as called:
             build(SimpleNamespace(workforce=lambda: None, hospitals=lambda: None))
         assert called.value.args == (None,)

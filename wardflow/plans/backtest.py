@@ -5,18 +5,20 @@ from __future__ import annotations
 import datetime as dt
 import logging
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.cleaning import project
 from ..operators.dedup import union_or_empty
 from ..operators.scores import error_scores
-from ..operators.snapshots import split_holdout
+from ..operators.snapshots import latest, split_holdout
 from ..sources.layers import store
 from ..sources.tables import create_or_replace
 from . import training
+from .together import run_together
 
 log = logging.getLogger(__name__)
 HOLDOUT_DAYS = 30
@@ -65,26 +67,70 @@ def backtest(
         ("A&E demand", "trend", attendance),
         ("Waiting time", "gbt", waiting),
     ]
-    scored, series = [], []
-    for target, model, job in jobs:
+
+    def pairs_of(target: str, model: str, job: Callable[[], DataFrame]) -> DataFrame | None:
         try:
-            pairs = job().select(
-                F.lit(target).alias("target"), F.lit(model).alias("model"),
-                F.col("date_key").alias("date"), "actual", "predicted",
-            )
-            pairs = store(pairs, "pairs")
+            return store(_pairs(job(), target, model), "pairs")
         except training.TooLittleHistory as exc:  # must not hide the other models
             log.warning("back-test of %s skipped: %s", target, exc)
+            return None
+
+    found = run_together(spark, {target: partial(pairs_of, target, model, job) for target, model, job in jobs})
+    scored, series = [], []
+    for target, model, job in jobs:
+        pairs = found[target]
+        if pairs is None:
             scored.append(spark.sql(f"SELECT '{target}' AS target, '{model}' AS model, 0L AS n_eval"))
             continue
         scored.append(error_scores(pairs, ["target", "model"]))
         if job is occupancy:
             series.append(pairs.select("target", "date", "actual", "predicted"))
+    return _stamped(spark, scored, holdout_days, evaluated_at), union_or_empty(spark, series, schemas.FORECAST_ACTUAL)
+
+
+def _pairs(df: DataFrame, target: str, model: str) -> DataFrame:
+    return df.select(
+        F.lit(target).alias("target"), F.lit(model).alias("model"), F.col("date_key").alias("date"), "actual", "predicted"
+    )
+
+
+def _stamped(spark: SparkSession, scored: list[DataFrame], holdout_days: int, evaluated_at) -> DataFrame:
     metrics = union_or_empty(spark, [project(s, schemas.MODEL_METRICS) for s in scored], schemas.MODEL_METRICS)
     metrics = metrics.withColumns(
         {"holdout_days": F.lit(holdout_days), "evaluated_at": F.lit(str(evaluated_at)).cast("timestamp")}
     )
-    return metrics, union_or_empty(spark, series, schemas.FORECAST_ACTUAL)
+    return metrics
+
+
+def naive_backtest(fact: DataFrame, evaluated_at: str | dt.datetime, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
+    """Metrics of forecasts anyone can make, to hold the models against.
+
+    National series: the value of the same weekday in the last week before the hold-out. Waiting times:
+    the wait `holdout_days` earlier. Pass a stored fact.
+    """
+    cutoff = F.date_sub(latest(fact), holdout_days)
+    weeks = F.ceil(F.datediff("date_key", cutoff) / 7).cast("int")
+
+    def weekday(target: str, how: str) -> DataFrame:
+        daily = store(training.national_daily(fact, target, how).select("date_key", target), "daily")
+        held = daily.filter(F.col("date_key") > cutoff).select(
+            "date_key", F.col(target).alias("actual"), F.date_sub("date_key", weeks * 7).alias("source")
+        )
+        return held.join(daily.select(F.col("date_key").alias("source"), F.col(target).alias("predicted")), "source")
+
+    keys = ["date_key", *training.SERIES]
+    wait = F.col("median_wait_days").cast("double")
+    held = fact.filter(F.col("date_key") > cutoff).select(*keys, wait.alias("actual"))
+    earlier = fact.filter(F.col("date_key") <= cutoff).select(
+        F.date_add("date_key", holdout_days).alias("date_key"), *training.SERIES, wait.alias("predicted")
+    )
+    frames = {
+        "Capacity pressure": weekday("bed_occupancy_pct", "mean"),
+        "A&E demand": weekday("ae_attendances", "sum"),
+        "Waiting time": held.join(earlier, keys),
+    }
+    scored = [error_scores(_pairs(df, target, "naive"), ["target", "model"]) for target, df in frames.items()]
+    return _stamped(fact.sparkSession, scored, holdout_days, evaluated_at)
 
 
 def run_and_persist(fact: DataFrame, evaluated_at, path: str | None = None, **kw) -> DataFrame:

@@ -8,15 +8,19 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.calendar import build_dim_date
 from ..session import build_session
+from ..sources import increments
+from ..sources.layers import store
 from ..sources.scans import read_landed
 from ..sources.tables import create_or_replace, replace_load
 from . import backtest, recommend, risk, silver, star, training, views
 
 DEFAULT_DAYS = 180
+BY_DAY = "activity_by_day"
 
 
 def date_range(args: list[str], today: dt.date) -> tuple[dt.date, dt.date]:
@@ -67,6 +71,32 @@ def build_warehouse(
     return tables
 
 
+def load_increment(
+    feeds: dict[str, DataFrame], warehouse: str, start: dt.date, end: dt.date, run: str, profile: silver.Profile
+) -> None:
+    """Load the fact's days start..end and leave all others as they are.
+
+    `profile` holds the figures of the whole feeds (`silver.profile`), so a day's rows do not depend on the
+    range they are loaded with. A run repeated under its name leaves the same table and manifest.
+    """
+    cleaned = silver.clean_all(silver.within(feeds, start, end), profile)
+    fact = star.build_fact(
+        cleaned["activity"], cleaned.get("waiting_list"), cleaned["workforce"], cleaned["illness"],
+        cleaned["weather"], cleaned["dim_hospital"], with_ids=False,
+    )
+    numbered = star.with_day_position(store(fact, "increment"))
+    increments.load_days(numbered, f"{warehouse}/{BY_DAY}", schemas.DAY_FACT, start, end, run)
+
+
+def incremental_fact(spark: SparkSession, warehouse: str) -> DataFrame:
+    """The fact loaded by days, its ids numbered over all days from the manifest's counts."""
+    path = f"{warehouse}/{BY_DAY}"
+    rows = increments.read_days(spark, path, schemas.DAY_FACT)
+    placed = increments.with_day_offset(rows, increments.day_counts(spark, path))
+    numbered = placed.withColumn("activity_id", (F.col("rows_before") + F.col("day_position")) * 1000 + 1)
+    return numbered.select(*schemas.FACT.names)
+
+
 def analyse(
     tables: dict[str, DataFrame], warehouse: str, run_date: dt.date, trees: int | None = None,
     horizons: tuple[int, ...] = (30, 60, 90),

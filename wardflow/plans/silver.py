@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..operators.cleaning import (
     clip_columns, clip_to_quantiles, drop_null_keys, impute_median, lower_headers, rename,
 )
 from ..operators.dedup import keep_first
+from ..operators.quantiles import exact_quantiles
 from ..sources.layers import store
 
 log = logging.getLogger(__name__)
@@ -39,26 +41,61 @@ def _first(df: DataFrame, *keys: str) -> DataFrame:
     return keep_first(df, list(keys), [ORDER]).drop(ORDER)
 
 
-def clean_waiting_list(df: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Profile:
+    """Figures of whole feeds that cleaning needs, kept so that every load of a part uses the same."""
+
+    activity: dict[str, tuple[float, float]]
+    median_wait_days: float | None
+
+
+def _distinct_waiting(df: DataFrame) -> DataFrame:
     df = _base(df).withColumn("trust_code", trust_code(F.col("trust_code")))
     df = _first(drop_null_keys(df, "trust_code"), "trust_code", "specialty", "period")
-    # two readers follow (the median, then the result), so the de-duplicated rows are stored
-    df = store(clip_columns(df, WAITING_BOUNDS), "waiting_list_dedup")
-    return rename(impute_median(df, "median_wait_days"), {"specialty": "specialty_id"})
+    return clip_columns(df, WAITING_BOUNDS)
+
+
+def clean_waiting_list(df: DataFrame, profile: Profile | None = None) -> DataFrame:
+    df = _distinct_waiting(df)
+    if profile is None:  # two readers follow (the median, then the result), so the de-duplicated rows are stored
+        df = impute_median(store(df, "waiting_list_dedup"), "median_wait_days")
+    elif "median_wait_days" in df.columns:
+        df = df.withColumn("median_wait_days", F.coalesce("median_wait_days", F.lit(profile.median_wait_days)))
+    return rename(df, {"specialty": "specialty_id"})
 
 
-def clean_activity(df: DataFrame) -> DataFrame:
+def _distinct_activity(df: DataFrame) -> DataFrame:
     df = _base(df).withColumns(
         {"trust_code": trust_code(F.col("trust_code")), "date": parse_date(F.col("date"))}
     )
-    df = _first(drop_null_keys(df, "date", "trust_code"), "trust_code", "specialty", "date")
-    df = store(df, "activity_dedup")  # read by the quantiles and by the result
+    return _first(drop_null_keys(df, "date", "trust_code"), "trust_code", "specialty", "date")
+
+
+def clean_activity(df: DataFrame, profile: Profile | None = None) -> DataFrame:
+    df = _distinct_activity(df)
     counts = [c for c in ACTIVITY_COUNTS if c in df.columns]
-    df = clip_to_quantiles(df, counts, lo=0)
+    if profile is None:  # read by the quantiles and by the result
+        df = clip_to_quantiles(store(df, "activity_dedup"), counts, lo=0)
+    else:
+        df = clip_columns(df, profile.activity)
     df = df.withColumns({c: half_even_long(F.col(c)) for c in counts})
     return rename(df, {"specialty": "specialty_id"})
 
 
+def profile(feeds: dict[str, DataFrame]) -> Profile:
+    """The clip bounds of the activity and the median wait, over whole feeds."""
+    activity = _distinct_activity(feeds["activity"])
+    counts = [c for c in ACTIVITY_COUNTS if c in activity.columns]
+    high = exact_quantiles(store(activity.select(*counts), "activity_counts"), {c: [0.999] for c in counts})
+    median = None
+    if "waiting_list" in feeds:
+        waits = _distinct_waiting(feeds["waiting_list"])
+        if "median_wait_days" in waits.columns:
+            waits = store(waits.select("median_wait_days"), "waits")
+            median = exact_quantiles(waits, {"median_wait_days": [0.5]})["median_wait_days"][0.5]
+    return Profile({c: (0, high[c][0.999]) for c in counts}, median)
+
+
 def clean_workforce(df: DataFrame) -> DataFrame:
     df = _base(df).withColumn("trust_code", trust_code(F.col("trust_code")))
     return clip_columns(_first(df, "trust_code", "role"), WORKFORCE_BOUNDS)
@@ -127,13 +164,18 @@ def within(feeds: dict[str, DataFrame], start: dt.date, end: dt.date) -> dict[st
     return out
 
 
-def clean_all(feeds: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Clean every known feed; unknown names are skipped with a warning."""
+def clean_all(feeds: dict[str, DataFrame], profile: Profile | None = None) -> dict[str, DataFrame]:
+    """Clean every known feed; unknown names are skipped with a warning.
+
+    With a profile, the figures of the whole feeds are taken from it instead of from these rows.
+    """
     cleaned = {}
     for name, df in feeds.items():
         cleaner = CLEANERS.get(name)
         if cleaner is None:
             log.warning("no cleaner for feed %s", name)
-            continue
-        cleaned[name] = cleaner(df)
+        elif cleaner in (clean_activity, clean_waiting_list):
+            cleaned[name] = cleaner(df, profile)
+        else:
+            cleaned[name] = cleaner(df)
     return cleaned

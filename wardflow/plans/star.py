@@ -107,6 +107,13 @@ def with_activity_ids(fact: DataFrame) -> DataFrame:
     return numbered.withColumn("activity_id", F.col("_p") * 1000 + 1).drop("_p", *keys)
 
 
+def with_day_position(fact: DataFrame) -> DataFrame:
+    """Position of each row within its day, in the order hospital, specialty. Pass a stored fact."""
+    keys = {f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in ("hospital_id", "specialty_id")}
+    numbered = with_position(fact.withColumns(keys), [["_hospital_id"], ["_specialty_id"]], ["date_key"], "day_position")
+    return numbered.drop(*keys)
+
+
 def feature_table(fact: DataFrame) -> DataFrame:
     """Engineered features next to the fact, which keeps its 19 columns. Pass a stored fact."""
     scored = regional_zscores(fact, ["bed_occupancy_pct", "median_wait_days"])

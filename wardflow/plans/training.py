@@ -3,20 +3,22 @@
 A national daily series gets a trend-and-season regression, occupancy also a boosted-tree model of
 its residual; waiting times and workforce get pooled boosted trees over all series. Training data
 is distributed; only the national series (one row per day) is small.
+
+Fits that do not need each other run side by side. Each reads a stored table of assembled vectors in as
+many partitions as its bytes ask for, since a booster makes several small jobs per tree, and cuts its
+lineage by checkpoints in the shared folder.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import math
-from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -28,50 +30,25 @@ from ..operators.dedup import distinct_pairs, union_all
 from ..operators.positions import with_position
 from ..operators.snapshots import latest
 from ..operators.windows import (
-    SERIES, add_lead, forward_fill, known_lag, known_rolling, waiting_features, workforce_features,
+    SERIES, forward_fill, known_lag, known_rolling, series_window, waiting_features, workforce_features,
 )
-from ..sources.layers import store
+from ..sources.layers import shared_folder, store
+from .together import run_together
+from .trend import TooLittleHistory, fit_baseline
 
 LAGS, ROLLS = (1, 7, 14, 30), (7, 14, 30)
 EXOGENOUS = ("flu_index", "covid_index", "avg_temp_c")
 # Booster settings.
 TREES, DEPTH, RATE, SUBSAMPLE, SEED = 300, 4, 0.05, 0.9, 42
 WAITING_TREES = 400
-CHANGEPOINTS = 12
-BAND_Z = 1.2816  # 80 % band of a normal error
-
-# Public holidays with a fixed day (month, day) and moving ones as days after Easter.
-FIXED_HOLIDAYS = ((1, 1), (12, 25), (12, 26))
-EASTER_OFFSETS = (-2, 1)
-
-
-def easter(year: int) -> dt.date:
-    """Gregorian Easter Sunday."""
-    a, b, c = year % 19, year // 100, year % 100
-    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
-    k = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
-    m = (a + 11 * h + 22 * k) // 451
-    month, day = divmod(h + k - 7 * m + 114, 31)
-    return dt.date(year, month, day + 1)
-
-
-def holidays(first: int, last: int) -> list[dt.date]:
-    days = []
-    for y in range(first, last + 1):
-        days += [dt.date(y, m, d) for m, d in FIXED_HOLIDAYS]
-        days += [easter(y) + dt.timedelta(days=o) for o in EASTER_OFFSETS]
-        may = dt.date(y, 5, 1)
-        days.append(may + dt.timedelta(days=-may.weekday() % 7))
-        for month in (5, 8):
-            end = dt.date(y, month, 31)
-            days.append(end - dt.timedelta(days=end.weekday()))
-    return days
+#: Rounds between cuts of a booster's lineage, and stored bytes of vectors per partition.
+CHECKPOINT, VECTOR_BYTES = 10, 32 << 20
 
 
 def gbt(kind, label: str, trees: int = TREES, **extra):
     return kind(
         featuresCol="features", labelCol=label, maxIter=trees, maxDepth=DEPTH, stepSize=RATE,
-        subsamplingRate=SUBSAMPLE, seed=SEED, **extra,
+        subsamplingRate=SUBSAMPLE, seed=SEED, checkpointInterval=CHECKPOINT, **extra,
     )
 
 
@@ -79,79 +56,20 @@ def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
 
 
-class TooLittleHistory(ValueError):
-    """No row is left to fit a model on."""
-
-
 def _some(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise TooLittleHistory(f"no rows to fit {what} on")
     return df
 
 
-@dataclass
-class Baseline:
-    """Trend, weekday, yearly season and holidays of one national daily series."""
-
-    model: PipelineModel
-    start: dt.date
-    end: dt.date
-    multiplicative: bool
-    spread: float
-    yearly: bool = True
-
-    def predict(self, days: DataFrame) -> DataFrame:
-        """date_key with yhat, yhat_lower, yhat_upper."""
-        x, _ = calendar_features(days, self.start, self.end, self.yearly)
-        p = self.model.transform(x)
-        half = BAND_Z * self.spread
-        mid = F.col("prediction")
-        out = {"yhat": mid, "yhat_lower": mid - half, "yhat_upper": mid + half}
-        if self.multiplicative:
-            out = {k: F.exp(v) for k, v in out.items()}
-        return p.withColumns(out).select(*days.columns, *out)
-
-
-def calendar_features(
-    days: DataFrame, start: dt.date, end: dt.date, yearly: bool = True
-) -> tuple[DataFrame, list[str]]:
-    """Trend with changepoints over the first 80 % of the history, weekday, Fourier and holiday terms.
-
-    The yearly season is fitted on any history; `yearly` leaves it out.
-    """
-    span = max((end - start).days, 1)
-    d = F.col("date_key")
-    t = F.datediff(d, F.lit(start)) / F.lit(float(span))
-    columns: dict[str, Column] = {"t": t}
-    for i in range(1, CHANGEPOINTS + 1):
-        columns[f"t_{i}"] = F.greatest(F.lit(0.0), t - 0.8 * i / (CHANGEPOINTS + 1))
-    for i in range(6):
-        columns[f"dow_{i}"] = (F.weekday(d) == i).cast("double")
-    if yearly:
-        angle = F.dayofyear(d) * F.lit(2 * math.pi / 365.25)
-        for k in (1, 2, 3):
-            columns[f"sin_{k}"], columns[f"cos_{k}"] = F.sin(angle * k), F.cos(angle * k)
-    free = holidays(start.year, end.year + 1)
-    columns["holiday"] = d.isin(free).cast("double")
-    return days.withColumns(columns), list(columns)
-
-
-def fit_baseline(daily: DataFrame, value: str, multiplicative: bool = False, yearly: bool = True) -> Baseline:
-    """Fit on (date_key, value); a log target makes the seasons multiplicative."""
-    daily = daily.filter(F.col(value).isNotNull())
-    if multiplicative:
-        daily = daily.filter(F.col(value) > 0)
-    start, end = daily.agg(F.min("date_key"), F.max("date_key")).first()
-    if start is None:
-        raise TooLittleHistory(f"no rows to fit {value} on")
-    y = F.log(value) if multiplicative else F.col(value).cast("double")
-    x, names = calendar_features(daily.withColumn("_y", y), start, end, yearly)
-    line = LinearRegression(
-        featuresCol="features", labelCol="_y", regParam=0.001, elasticNetParam=0.1, maxIter=100
-    )
-    model = Pipeline(stages=[_assembler(names), line]).fit(x)
-    error = model.transform(x).agg(F.stddev_pop(F.col("_y") - F.col("prediction"))).first()[0]
-    return Baseline(model, start, end, multiplicative, error or 0.0, yearly)
+def vectors(df: DataFrame, features: list[str], *kept: str) -> DataFrame:
+    """A stored table of the assembled features and the kept columns, in few partitions if it is small."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    table = store(_assembler(features).transform(df).select("features", *kept), "vectors")
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.coalesce(size // VECTOR_BYTES + 1)
 
 
 def national_daily(fact: DataFrame, target: str, how: str) -> DataFrame:
@@ -172,8 +90,6 @@ def future_days(history: DataFrame, horizon: int) -> DataFrame:
 
 def _occupancy_features(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
     """Lags and rolling means of the daily series: one row per day, so one short window."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(F.lit(0)).orderBy("date_key")
     columns = {f"{target}_lag{n}": F.lag(target, n).over(w) for n in LAGS}
     columns |= {f"{target}_roll{n}": F.avg(target).over(w.rowsBetween(-(n - 1), 0)) for n in ROLLS}
@@ -194,9 +110,10 @@ def occupancy_forecast(
         .withColumn("residual", F.col(target) - F.col("yhat"))
         .dropna(subset=[*names, "residual"])
     )
-    booster = Pipeline(stages=[_assembler(names), gbt(GBTRegressor, "residual", trees)]).fit(
-        _some(store(x, "residuals"), "the residual")
-    )
+    booster = PipelineModel([
+        _assembler(names),
+        gbt(GBTRegressor, "residual", trees).fit(_some(vectors(x, names, "residual"), "the residual")),
+    ])
     future = future_days(daily, horizon)
     last = daily.agg(F.max_by(target, "date_key")).scalar()
     d = F.col("date_key")
@@ -247,13 +164,17 @@ class WaitingTimes:
 
     def fit(self, fact: DataFrame, target: str = "median_wait_days") -> WaitingTimes:
         df, names = self._features(fact)
-        df = store(df.select(*SERIES, "date_key", F.col(target).cast("double").alias("_y"), *[c for c in names]),
-                   "waiting_features")
-        for h in self.horizons:
-            rows = add_lead(df, "_y", h, "_target")
-            self.models[h] = Pipeline(
-                stages=[_assembler(names), gbt(GBTRegressor, "_target", self.trees)]
-            ).fit(_some(rows, f"waiting times {h} rows ahead"))
+        leads = {h: f"_ahead{h}" for h in self.horizons}
+        y = F.col(target).cast("double")
+        ahead = df.withColumns({c: F.lead(y, h).over(series_window()) for h, c in leads.items()})
+        table = vectors(ahead, names, *leads.values())
+
+        def job(h: int):
+            rows = table.filter(F.col(leads[h]).isNotNull())
+            return lambda: gbt(GBTRegressor, leads[h], self.trees).fit(_some(rows, f"waiting times {h} rows ahead"))
+
+        fits = run_together(fact.sparkSession, {f"waiting times {h}": job(h) for h in self.horizons})
+        self.models = {h: PipelineModel([_assembler(names), fits[f"waiting times {h}"]]) for h in self.horizons}
         return self
 
     def predict(self, fact: DataFrame, horizon: int) -> DataFrame:
@@ -284,13 +205,14 @@ class WorkforceModels:
         code = StringIndexer(
             inputCol="role", outputCol="role_code", stringOrderType="alphabetAsc", handleInvalid="keep"
         )
-        head = Pipeline(stages=[code, _assembler(names)]).fit(df)
-        x = head.transform(df)
-        self.head = head
-        self.classifier = gbt(GBTClassifier, "label", self.trees).fit(x)
-        self.regressor = gbt(GBTRegressor, "staff_count", self.trees).fit(
-            x.filter(F.col("staff_count").isNotNull())
-        )
+        coded = code.fit(df)
+        self.head = PipelineModel([coded, _assembler(names)])
+        x = vectors(coded.transform(df), names, "label", "staff_count")
+        fits = run_together(staff.sparkSession, {
+            "shortage": lambda: gbt(GBTClassifier, "label", self.trees).fit(x),
+            "demand": lambda: gbt(GBTRegressor, "staff_count", self.trees).fit(x.filter(F.col("staff_count").isNotNull())),
+        })
+        self.classifier, self.regressor = fits["shortage"], fits["demand"]
         return self
 
     def _inputs(self, staff: DataFrame) -> DataFrame:
@@ -314,6 +236,38 @@ def labelled(df: DataFrame, target: str, model: str, horizon: int) -> DataFrame:
     )
 
 
+def occupancy_rows(fact: DataFrame, trees: int | None = None) -> DataFrame:
+    return labelled(occupancy_forecast(fact, 90, trees=trees or TREES), "bed_occupancy", "trend_gbt", 90)
+
+
+def attendance_rows(fact: DataFrame) -> DataFrame:
+    return labelled(attendance_forecast(fact, 90), "ae_demand", "trend", 90)
+
+
+def waiting_rows(fact: DataFrame, trees: int | None = None, horizons: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
+    """Predictions of every horizon; date_key is the day a prediction is for."""
+    model, frames = WaitingTimes(horizons, trees or WAITING_TREES).fit(fact), []
+    for h in horizons:
+        p = model.predict(fact, h).withColumnRenamed(f"pred_{h}d", "yhat")
+        p = p.withColumns({**scaled_band(F.col("yhat"), 0.92, 1.08), "date_key": F.col("target_date")})
+        future = F.col("date_key") > latest(fact)
+        frames.append(labelled(p.withColumn("is_future", future), "waiting_time", "gbt", h))
+    return union_all(frames)
+
+
+def workforce_rows(
+    workforce: DataFrame, hospitals: DataFrame, run_date: dt.date | str, trees: int | None = None
+) -> DataFrame:
+    """Expected staff per hospital and role, with the probability of a shortage."""
+    staff = workforce.withColumn("date_key", F.lit(str(run_date)).cast("date"))
+    model = WorkforceModels(trees or TREES).fit(staff)
+    demand = model.demand(staff).withColumnRenamed("demand_fte", "yhat")
+    demand = demand.join(model.shortage(staff), ["date_key", "trust_code", "role"])
+    sites = distinct_pairs(hospitals, "trust_code", "hospital_id").dropna()
+    demand = demand.withColumns(scaled_band(F.col("yhat"), 0.95, 1.05)).join(sites, "trust_code", "left")
+    return labelled(demand.withColumn("is_future", F.lit(True)), "workforce_demand", "gbt", 60)
+
+
 def train_all(
     fact: DataFrame,
     workforce: DataFrame,
@@ -322,27 +276,16 @@ def train_all(
     trees: int | None = None,
     horizons: tuple[int, ...] = (30, 60, 90),
 ) -> DataFrame:
-    """Run the four jobs and return the forecast table (pass a stored fact: each job reads it)."""
-    n, n_waiting = trees or TREES, trees or WAITING_TREES
-    frames = [
-        labelled(occupancy_forecast(fact, 90, trees=n), "bed_occupancy", "trend_gbt", 90),
-        labelled(attendance_forecast(fact, 90), "ae_demand", "trend", 90),
-    ]
-    waiting = WaitingTimes(horizons, n_waiting).fit(fact)
-    for h in horizons:
-        p = waiting.predict(fact, h).withColumnRenamed(f"pred_{h}d", "yhat")
-        p = p.withColumns({**scaled_band(F.col("yhat"), 0.92, 1.08), "date_key": F.col("target_date")})
-        future = F.col("date_key") > latest(fact)
-        frames.append(labelled(p.withColumn("is_future", future), "waiting_time", "gbt", h))
-    staff = workforce.withColumn("date_key", F.lit(str(run_date)).cast("date"))
-    demand = WorkforceModels(n).fit(staff).demand(staff).withColumnRenamed("demand_fte", "yhat")
-    sites = distinct_pairs(hospitals, "trust_code", "hospital_id").dropna()
-    demand = demand.withColumns(scaled_band(F.col("yhat"), 0.95, 1.05)).join(sites, "trust_code", "left")
-    frames.append(
-        labelled(demand.withColumn("is_future", F.lit(True)), "workforce_demand", "gbt", 60)
-    )
+    """Run the four jobs side by side and return the forecast table (pass a stored fact: each job reads it)."""
+    jobs = {
+        "occupancy": lambda: occupancy_rows(fact, trees),
+        "attendance": lambda: attendance_rows(fact),
+        "waiting": lambda: waiting_rows(fact, trees, horizons),
+        "workforce": lambda: workforce_rows(workforce, hospitals, run_date, trees),
+    }
+    frames = run_together(fact.sparkSession, jobs)
     # numbered in two readings, so the predictions are stored first
-    out = store(project(union_all(frames), schemas.FORECAST), "forecast")
+    out = store(project(union_all([frames[name] for name in jobs]), schemas.FORECAST), "forecast")
     keys = {c: F.coalesce(F.col(c), F.lit("")) for c in ("hospital_id", "specialty_id", "role")}
     sortable = out.withColumns({f"_{c}": v for c, v in keys.items()}).drop("forecast_id")
     levels = [["target", "horizon_days"], ["date_key"], ["_hospital_id"], ["_specialty_id", "_role"]]

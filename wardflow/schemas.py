@@ -63,6 +63,8 @@ FACT = _schema(
     referrals=LONG, flu_index=T.DecimalType(9, 2), covid_index=T.DecimalType(9, 2),
     avg_temp_c=T.DecimalType(9, 1),
 )
+#: The fact as it is loaded by days: a row's place within its day instead of the id over all days.
+DAY_FACT = T.StructType([*FACT.fields[1:], T.StructField("day_position", LONG)])
 
 # Analytics tables
 FORECAST = _schema(

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # jobs that run side by side share the executors
+    "spark.scheduler.mode": "FAIR",
     # call sites of every Column are not needed in jobs and slow plan building down
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

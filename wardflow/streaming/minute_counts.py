@@ -3,12 +3,15 @@
 The stream table is a log of per-batch counts: each micro-batch is aggregated on its own and
 written to its own `batch_id=` folder, and readers add the counts up. Old minutes can be updated
 for ever without any state store, and a replayed batch replaces its folder instead of counting
-twice. `compact` folds old folders into a base next to the log. Where late data may be dropped, `windowed_counts`
+twice. `compact` folds old folders into a base next to the log, by day: only days with new rows are
+written again. Where late data may be dropped, `windowed_counts`
 keeps the sums in the state store behind a watermark instead.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,7 @@ from .. import schemas
 from ..functions.calendar import minute
 from ..operators.dedup import keep_latest
 from ..operators.snapshots import trailing_minutes
+from ..sources import files
 from .events import decode
 
 COUNTS = ("attendances", "ambulance", "high_acuity", "breach_risk")
@@ -94,58 +98,108 @@ def start_counts(
     )
 
 
-def _bases(spark: SparkSession, table: str) -> list[int]:
-    """Last batches of the complete bases of a log, oldest first. A base is complete, and readers
-    see it, once its job has left the _SUCCESS file."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}_base")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    folders = [f.getPath() for f in files.listStatus(path)]
-    done = [f for f in folders if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
-    return sorted(int(f.getName().removeprefix("upto=")) for f in done)
+def _versions(spark: SparkSession, table: str) -> list[tuple[int, dt.date | None, str]]:
+    """(last batch, closing day, folder) of the complete versions of a log's base, oldest first.
+
+    A version is complete, and readers see it, once its job has left the _SUCCESS file.
+    """
+    out = []
+    for name in files.children(spark, f"{table}_base"):
+        if files.exists(spark, f"{table}_base/{name}/_SUCCESS"):
+            upto, _, closed = name.removeprefix("upto=").partition(".closed=")
+            out.append((int(upto), dt.date.fromisoformat(closed) if closed else None, name))
+    return sorted(out, key=lambda v: v[0])
+
+
+def base_days(spark: SparkSession, table: str) -> dict[str, str]:
+    """Folder of each day of the base: that of the newest version which has the day."""
+    days = {}
+    for _, _, name in _versions(spark, table):
+        for day in files.children(spark, f"{table}_base/{name}"):
+            if day.startswith("day="):
+                days[day.removeprefix("day=")] = f"{table}_base/{name}/{day}"
+    return days
 
 
-def _log(spark: SparkSession, table: str) -> tuple[DataFrame, int]:
-    """The newest base as one batch and the batches after it, and the last batch of the base."""
-    upto = (_bases(spark, table) or [-1])[-1]
+def _state(spark: SparkSession, table: str) -> tuple[int, dt.date | None]:
+    return (_versions(spark, table) or [(-1, None, "")])[-1][:2]
+
+
+def _base(spark: SparkSession, folders: list[str], upto: int) -> DataFrame:
+    """Days of the base as one batch, the last one they hold."""
+    if not folders:
+        return spark.createDataFrame([], LOG)
+    stored = spark.read.schema(schemas.MINUTE_COUNTS).parquet(*folders)
+    return stored.withColumn("batch_id", F.lit(upto).cast("long"))
+
+
+def _after(spark: SparkSession, table: str, upto: int, last: int | None = None) -> DataFrame:
+    """Batches of the log after the base, with the day of each minute."""
     log = spark.read.schema(LOG).parquet(table).filter(F.col("batch_id") > upto)
-    if upto >= 0:
-        old = spark.read.schema(schemas.MINUTE_COUNTS).parquet(f"{table}_base/upto={upto}")
-        log = log.unionByName(old.withColumn("batch_id", F.lit(upto).cast("long")))
-    return log, upto
+    log = log if last is None else log.filter(F.col("batch_id") <= last)
+    return log.withColumn("day", F.to_date("minute_ts"))
 
 
 def read_counts(spark: SparkSession, table: str) -> DataFrame:
-    """Counts from the newest base and the batches after it."""
-    return merge_counts(_log(spark, table)[0])
+    """Counts from the base and the batches after it, without late rows of closed days."""
+    upto, closed = _state(spark, table)
+    log = _after(spark, table, upto)
+    log = log if closed is None else log.filter(F.col("day") >= F.lit(closed))
+    base = _base(spark, list(base_days(spark, table).values()), upto)
+    return merge_counts(log.drop("day").unionByName(base))
 
 
-def compact(spark: SparkSession, table: str, upto: int) -> None:
-    """Fold the newest base and the batches up to `upto` into a new base, while the stream goes on.
+def compact(spark: SparkSession, table: str, upto: int, closed_before: dt.date | None = None) -> None:
+    """Fold the batches up to `upto` into the base, while the stream goes on.
 
-    The new base lies next to the old one, which readers go on using until the new one is complete.
+    The base is kept by day. A new version holds only the days these batches have rows of, each with its
+    counts so far; other days stay in the files they are in, which the new version does not touch. Days
+    before `closed_before` are closed from the next batch on: what comes later for them is put aside in
+    `<table>_late`, never folded, and `late_counts` counts it.
     """
-    log, done = _log(spark, table)
-    if upto > done:
-        folded = merge_counts(log.filter(F.col("batch_id") <= upto))
-        folded.write.mode("overwrite").parquet(f"{table}_base/upto={upto}")
+    done, closed = _state(spark, table)
+    if upto <= done:
+        return
+    log = _after(spark, table, done, upto)
+    if closed is not None:
+        late = F.col("day") < F.lit(closed)
+        log.filter(late).drop("day").write.mode("overwrite").parquet(f"{table}_late/upto={upto}")
+        log = log.filter(~late)
+    touched = [str(r["day"]) for r in log.select("day").distinct().collect()]  # days: as many as the calendar has
+    held = base_days(spark, table)
+    base = _base(spark, [held[d] for d in touched if d in held], done)
+    merged = merge_counts(log.drop("day").unionByName(base)).withColumn("day", F.to_date("minute_ts"))
+    closing = max((c for c in (closed, closed_before) if c is not None), default=None)
+    name = f"upto={upto}" + (f".closed={closing}" if closing else "")
+    merged.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{table}_base/{name}")
+
+
+def late_counts(spark: SparkSession, table: str) -> DataFrame:
+    """Counts that came too late for their closed days: put aside, or still in the log."""
+    upto, closed = _state(spark, table)
+    log = _after(spark, table, upto).filter(F.col("day") < F.lit(closed)).drop("day")
+    aside = [f"{table}_late/{n}" for n in files.children(spark, f"{table}_late")]
+    if aside:
+        log = log.unionByName(spark.read.schema(LOG).parquet(*aside))
+    return merge_counts(log)
 
 
 def drop_folded(spark: SparkSession, table: str) -> None:
-    """Delete batches that the newest base holds, and older bases, once no reader uses them."""
-    upto = _bases(spark, table)
-    if not upto:
+    """Delete batches that the base holds, and days that a newer version has, once no reader uses them."""
+    versions = _versions(spark, table)
+    if not versions:
         return
-    hadoop, config = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    root = hadoop.Path(table)
-    files = root.getFileSystem(config)
-    for f in files.listStatus(root):
-        name = f.getPath().getName()
-        if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) <= upto[-1]:
-            files.delete(f.getPath(), True)
-    for old in upto[:-1]:
-        files.delete(hadoop.Path(f"{table}_base/upto={old}"), True)
+    for name in files.children(spark, table):
+        if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) <= versions[-1][0]:
+            files.remove(spark, f"{table}/{name}")
+    used = {*base_days(spark, table).values()}
+    for _, _, name in versions[:-1]:
+        days = [d for d in files.children(spark, f"{table}_base/{name}") if d.startswith("day=")]
+        for day in days:
+            if f"{table}_base/{name}/{day}" not in used:
+                files.remove(spark, f"{table}_base/{name}/{day}")
+        if not any(f"{table}_base/{name}/{d}" in used for d in days):
+            files.remove(spark, f"{table}_base/{name}")
 
 
 def start_windows(
