@@ -51,16 +51,23 @@ def test_targets_and_sampling(spark):
         check(mixing.mix_report(docs(spark, made)), made)
 
 
-def test_offset_draws_keep_small_sources_near(spark):
+def test_one_offset_per_source(spark):
+    """Copies are the integers a running sum of the rate passes, from one offset for the whole source."""
     made = corpus(11, 3000)
-    report = mixing.mix_report(docs(spark, made))
-    check(report, made)
-    source = {d: s for d, _, s in made}
-    taken, want = Counter(), {}
-    for r in report.collect():
-        taken[source[r.doc_id]] += r.taken
-        want[source[r.doc_id]] = r.target
-    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in want if want[s])
+    report = {r.doc_id: r for r in mixing.mix_report(docs(spark, made)).collect()}
+    check(mixing.mix_report(docs(spark, made)), made)
+    by_source = {}
+    for d, _, s in made:
+        by_source.setdefault(s, []).append(report[d])
+    order = sorted(by_source, key=lambda s: (s is None, (s or "").encode()))
+    for rank, s in enumerate(order):
+        found = sorted(by_source[s], key=lambda r: (r.size, r.doc_id))
+        rate = found[0].target / found[0].source_size
+        u = (rank * mixing.GOLDEN + mixing.first_offset()) % 1
+        for k, r in enumerate(found):
+            assert r.taken == (int((k + 1) * rate + u) - int(k * rate + u)) * r.size
+    seeds = {mixing.first_offset(seed) for seed in range(50)}
+    assert len(seeds) == 50 and 0.3 < sum(seeds) / 50 < 0.7
 
 
 def test_order_and_partitions_do_not_matter(spark):

@@ -3,9 +3,8 @@
 Every document of a source expects target / source size copies. Documents stand in order of size
 within their source; with the running sum of expected copies plus one random offset, a document is
 emitted once per integer boundary its step crosses. As neighbours in that order are about equally
-long, the words taken come within about one document's size of the target. The offset is drawn DRAWS
-times per mix, and each source keeps the draw that brings its words nearest to its target, which
-matters for sources of few documents.
+long, the words taken come within about one document's size of the target. Each source has one offset,
+a step of the golden section from that of the source before it and, for the first, drawn from the seed.
 
 Running sums need no sort of a source in one task: rows are range-partitioned by (source, size, id),
 numbered inside each partition, and per-partition counts are summed into offsets. A hot source
@@ -29,20 +28,19 @@ from .common import DOCUMENT, pick
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-SEED, DRAWS = 20_240_917, 32
+SEED, GOLDEN = 20_240_917, 0.6180339887498949
 
 
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def offsets(seed: int = SEED) -> list[float]:
-    draw = random.Random(seed)
-    return [draw.random() for _ in range(DRAWS)]
+def first_offset(seed: int = SEED) -> float:
+    return random.Random(seed).random()
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, target) from (source, source_size).
+    """(source, source_size, target, rank) from (source, source_size); ranks go from 0 by source.
 
     Shares go by weight; a target above MOST times its source's size stops there and the excess is
     reshared until none is above. In order of cap per unit of weight that is one pass: a source stops
@@ -60,7 +58,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     capped = F.col("each") * F.col("weight") >= F.col("cap")
     level = F.min(F.when(~capped, F.struct(F.col("cap") / F.col("weight"), "rank", "each"))).over(everything)["each"]
     target = F.when(capped, F.col("cap").cast("double")).otherwise(level * F.col("weight"))
-    return rows.select("source", "source_size", target.alias("target"))
+    return rows.select("source", "source_size", target.alias("target"), "rank")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -86,12 +84,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     placed = placed.withColumns({"_rate": rate, "_place": place})
     crossed = lambda u: F.floor((F.col("_place") + 1) * F.col("_rate") + u) - F.floor(F.col("_place") * F.col("_rate") + u)
 
-    drawn = offsets(seed)
-    off = lambda u: F.abs(F.sum(crossed(u) * F.col("size")) - F.max("target"))
-    best = F.array_min(F.array(*[F.struct(off(u).alias("off"), F.lit(i), F.lit(u).alias("u")) for i, u in enumerate(drawn)]))
-    chosen = store(placed.groupBy(F.col("source").alias("_source")).agg(best["u"].alias("_u")), "offsets")
-    placed = placed.drop("_source").join(chosen, placed["source"].eqNullSafe(chosen["_source"]))
-    return placed.select(*docs.columns, "source_size", "target", crossed(F.col("_u")).cast("int").alias("copies"))
+    step = F.col("rank") * GOLDEN + first_offset(seed)
+    copies = crossed(step - F.floor(step)).cast("int")
+    return placed.select(*docs.columns, "source_size", "target", copies.alias("copies"))
 
 
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:

@@ -139,7 +139,6 @@ OP6 = """
 
 
 def _op9() -> str:
-    draws = ", ".join(f"({i}, {u!r}::DOUBLE)" for i, u in enumerate(mixing.offsets()))
     first, *others = mixing.WEIGHTS
     n = len(mixing.WEIGHTS)
     weight = " ".join(f"WHEN rank % {n} = {i + 1} THEN {w}" for i, w in enumerate(others))
@@ -158,22 +157,17 @@ def _op9() -> str:
         level AS (
             SELECT arg_min(each, (cap::DOUBLE / weight, rank)) AS level FROM stepped WHERE each * weight < cap),
         targets AS (
-            SELECT source, source_size,
+            SELECT source, source_size, rank * {mixing.GOLDEN!r}::DOUBLE + {mixing.first_offset()!r}::DOUBLE AS step,
                    CASE WHEN each * weight >= cap THEN cap::DOUBLE ELSE level * weight END AS target
             FROM stepped LEFT JOIN level ON true),
         placed AS (
-            SELECT doc_id, size, s.source, source_size, target,
+            SELECT doc_id, size, s.source, source_size, target, step - floor(step) AS u,
                    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
                    row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id NULLS FIRST) AS place
-            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-        draws(i, u) AS (VALUES {draws}),
-        tried AS (
-            SELECT source, i, u, abs(sum((floor(place * rate + u) - floor((place - 1) * rate + u)) * size) - max(target)) AS off
-            FROM placed, draws GROUP BY source, i, u),
-        chosen AS (SELECT source, arg_min(u, (off, i)) AS u FROM tried GROUP BY source)
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
                CAST((floor(place * rate + u) - floor((place - 1) * rate + u)) * size AS BIGINT) AS taken
-        FROM placed p JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source"""
+        FROM placed"""
 
 
 def _op10() -> str:
