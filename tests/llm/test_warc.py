@@ -72,6 +72,19 @@ def test_selected_records_only(spark):
     assert [r[0] for r in rows(got, "page_id")] == [i for i in range(500) if i % 97 == 0]
 
 
+def test_tasks_grow_with_the_bytes_to_read(spark, monkeypatch):
+    folder = new_path(spark, "warc")
+    draw = random.Random(2)
+    made = [(i, "http://h/", draw.randbytes(4000).hex()) for i in range(400)]
+    index = warc.write_archives(warc.with_revisits(spark.createDataFrame(made, PAGES)), folder)
+    monkeypatch.setattr(warc, "READ_BYTES", 60_000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 200_000)
+    total = sum(r["length"] for r in index.collect())
+    back = warc.read_records(index, folder)
+    assert back.rdd.getNumPartitions() == total // 200_000 + 1 > 5
+    assert [r[0] for r in rows(back, "page_id")] == list(range(400))
+
+
 def test_reads_are_coalesced():
     class Source:
         reads = []

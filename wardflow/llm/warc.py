@@ -12,7 +12,8 @@ one task.
 Equal payloads of at least MIN_BYTES: the one with the largest page_id is the response, the others
 are revisits that carry its page_id. Ties on the largest page_id are all responses, and so are
 payloads whose page_ids are all null. A null html is an empty payload, a null url has no target
-line, a null page_id has no page line and reads back as null.
+line, a null page_id has no page line and reads back as null. Repeated rows are records of their own;
+empty tables give no archive and no rows.
 
 Archives lie in the folder named by spark.checkpoint.dir, opened with pyarrow's file systems (local
 or mounted paths, HDFS, S3, GCS).
@@ -39,6 +40,8 @@ from .common import ROWS, pick
 
 MIN_BYTES = 1000
 ARCHIVE_BYTES, READ_BYTES, GAP_BYTES = 256 << 20, 8 << 20, 64 << 10
+#: Bytes of archives a task reads back, about.
+TASK_BYTES = 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string, record_type string"
 BACK = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -175,8 +178,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
+    # by the bytes to read, not by those of the index, which is some hundred times smaller
+    total = index.agg(F.sum("length")).first()[0] or 0
     wanted = index.select("archive", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("part"))
-    dealt = wanted.repartition("archive", "part").sortWithinPartitions("archive", "offset")
+    dealt = wanted.repartition(int(total // TASK_BYTES) + 1, "archive", "part").sortWithinPartitions("archive", "offset")
     return dealt.select("archive", "offset", "length").mapInArrow(run, BACK)
 
 
