@@ -159,3 +159,48 @@ def test_hard_cases(spark):
     alone = [(None, "same row twice"), (None, "same row twice"), (5, "five"), (5, "five")]
     assert rows(near.keep_one(docs(spark, alone)), "doc_id", "text") == [(None, "same row twice"), (5, "five")]
     assert near.near_duplicates(docs(spark, [])).count() == 0 == near.keep_one(docs(spark, [])).count()
+
+
+def test_leftover_values_lose_no_pair(spark, monkeypatch):
+    """50,000 pairs of nine shingles each, eight of them common: exactly at the threshold."""
+    draw = random.Random(11)
+    monkeypatch.setattr(near, "distance", lambda a, b: (0.0, 0.0))
+    made, pairs = [], 50_000
+    for i in range(pairs):
+        base = [f"{draw.randrange(10**7)}" for _ in range(13)]
+        made += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:12], "other"]))]
+    frame = docs(spark, made).select("doc_id", near.text_key().alias("node"), "text")
+    texts = near.store(frame.select("node", "text").withColumn("number", near.F.xxhash64("node")), "texts")
+    nodes = near.store(frame.select("node", near.F.lit(9).alias("n"), near.F.array((near.F.col("doc_id") / 2).cast("long")).alias("values")), "nodes")
+    members = nodes.select("node", near.F.xxhash64("node").alias("number"), "n", near.F.explode("values").alias("bucket"), near.F.lit(0).cast("long").alias("head"))
+    labels = frame.select("node", near.F.col("node").alias("label"))
+    # no member is the head or of its class, so every pair is decided by the short values
+    found = near.left_pairs(near.store(members, "members"), nodes, texts, labels)
+    assert found.distinct().count() == pairs
+
+
+def test_long_texts_about_the_threshold(spark, monkeypatch):
+    """Texts above SHORT shingles that only the leftover path can settle."""
+    monkeypatch.setattr(near, "SHORT", 60)
+    monkeypatch.setattr(near, "sketch", lambda values: [1, 2] if len(values) >= 4 else [])
+    draw = random.Random(12)
+    made = []
+    for n in (60, 70, 78, 200):
+        base = [f"w{draw.randrange(5000)}" for _ in range(n)]
+        for edits in (0, 1, 2, 3, 4, 6):
+            copy = list(base)
+            for _ in range(edits):
+                copy[draw.randrange(n)] = f"x{draw.randrange(10**6)}"
+            made.append(" ".join(copy))
+    made = [(i, t) for i, t in enumerate(made)]
+    assert found(docs(spark, made)) == brute(made)
+
+
+def test_repeated_rows_are_one_text_per_node(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    made = [(1, base)] * 50 + [(2, base + " more")] * 30 + [(3, base)]
+    frame = docs(spark, made).select("doc_id", "text")
+    rows_ = frame.select("doc_id", near.text_key().alias("node"))
+    texts = frame.select(near.text_key().alias("node"), near.F.lit(1).cast("long").alias("number"), "text")
+    assert near.once(texts, rows_).count() == 2
+    assert found(docs(spark, made)) == brute(made)

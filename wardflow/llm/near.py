@@ -5,19 +5,21 @@ value is the `LEAST` smallest labelled shingles under a hash function, in text o
 share one of `SKETCHES` values are candidates. A candidate pair is verified by an alignment in a
 band: a = longest common subsequence of the two labelled sequences, similarity = a / (A + B - a).
 Two values agree with a probability of about similarity ** LEAST, so a pair at 0.8 is missed about
-once in a million. Texts of one to three shingles, which are similar only to equal sequences, have one
+once in a million; the bound is that of long texts, of 4 against 5 shingles 4 pairs in 100,000 are. Texts of one to three shingles, which are similar only to equal sequences, have one
 value, hashed from the whole sequence.
 
 No bucket emits all of its pairs. Each member is compared with the bucket's head, the member that
 shares most buckets with others, which joins a group of near copies in one step. Members that stay
-outside the head's class are held against the rest of the bucket with samples of their shingles: all
-of them for texts of up to SAMPLE shingles, a part chosen by hash for longer ones. Only pairs whose
-samples allow the threshold are emitted, each in the first bucket they share, and verified. Classes
-are the connected components of the verified pairs.
+outside the head's class are held against the rest of the bucket with short values of all their
+shingles: 16 bits of each for texts of up to SHORT shingles, 32 bits for longer ones. Shingles of one
+text that share a value are counted as possible matches, so a pair never seems less alike than it is.
+Only pairs whose values allow the threshold are emitted, each in the first bucket they share, and
+verified. Classes are the connected components of the verified pairs.
 
 Defined results: texts are equal copies when their characters are equal (null counts as empty), and
 copies always share a class; texts of fewer than five words are alike only as copies. class_id is
-the least doc_id of the class, null if its rows have none. Of rows repeated whole, one stays.
+the least doc_id of the class, null if its rows have none. Of rows repeated whole, one stays. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -34,10 +36,8 @@ from .common import map_lists, pick
 from .shingles import labelled, mix, shingles
 
 SKETCHES, LEAST, SIMILAR = 20, 3, 0.8
-#: Texts of up to so many shingles are compared by all of them, longer ones by a sample of one to two
-#: times as many. How far below the threshold a pair of the former, or of the latter, may seem to lie
-#: for the 16 bits kept of a shingle and, in samples, for chance (over five standard deviations).
-SAMPLE, SLACK, SAMPLE_SLACK = 1024, 0.02, 0.1
+#: Texts of up to so many shingles are held against each other by 16 bits of each, longer ones by 32.
+SHORT = 1024
 #: Shingles handled at a time, so that a very long text needs little memory.
 CHUNK = 1 << 15
 #: Each odd factor permutes the 64-bit numbers, which are mixed already.
@@ -203,7 +203,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = wanted.select("node", "first_doc", "number")
     keyed = docs.select(F.col("doc_id").alias("id"), text_key().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     texts = keyed.join(wanted, (keyed["node"] == wanted["node"]) & keyed["id"].eqNullSafe(wanted["first_doc"]))
-    texts = store(texts.select(wanted["node"], "number", "text"), "texts")
+    texts = store(once(texts.select(wanted["node"], "number", "text"), rows), "texts")
     compared = store(verify(pairs, texts), "compared")
     close = compared.filter(F.col("high") <= 1 - SIMILAR + 1e-12)
     # labels of two rounds spare most comparisons within a class; the rest do no harm
@@ -224,28 +224,36 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "node"), by_node
 
 
-def samples(texts: DataFrame) -> DataFrame:
-    """(node, level, own_level, sample): 16 bits of the labelled shingles the level selects by hash.
+def once(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """One text per node. Only nodes of rows that are there several times need looking at."""
+    again = rows.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    again = store(again.select("node").distinct(), "again")
+    if not again.limit(1).count():
+        return texts
+    single = texts.join(again, "node", "left_anti")
+    several = texts.join(again, "node", "left_semi").groupBy("node").agg(F.first("number").alias("number"), F.first("text").alias("text"))
+    return single.unionByName(several)
 
-    The level grows with the text, so that a sample stays below 2 * SAMPLE. A pair is compared at the
-    level of its longer text; a text short of its next level by a fifth has a sample for that, too.
+
+def values_of(texts: DataFrame) -> DataFrame:
+    """(node, level, own_level, small, large): distinct short values of the labelled shingles.
+
+    Level 0 holds 16 bits of each in `small`, level 1 32 bits in `large`. A pair is compared at the level of
+    its longer text; a short text that may be alike to a long one has both.
     """
     def work(nodes, found):
         out = []
         for node, text in zip(nodes, found):
-            values = labelled(shingles(text))
-            first, last = level_of(len(values)), level_of(len(values) / SIMILAR)
-            for level in range(first, last + 1):
-                chosen = values[mix(values) >> np.uint64(64 - level) == 0] if level else values
-                bits = np.unique((chosen >> np.uint64(24)).astype(np.uint16)).view(np.int16)
-                out.append((node, level, first, bits.tolist()))
-        return [*map(list, zip(*out))] if out else [[]] * 4
-
-    return map_lists(texts.select("node", "text"), "node binary, level int, own_level int, sample array<smallint>", work, rows=32)
+            numbers = labelled(shingles(text))
+            own, last = int(len(numbers) > SHORT), int(len(numbers) / SIMILAR > SHORT)
+            for level in range(own, last + 1):
+                kind = (np.uint32, np.int32) if level else (np.uint16, np.int16)
+                short = np.unique((numbers >> np.uint64(24)).astype(kind[0])).view(kind[1]).tolist()
+                out.append((node, level, own, None if level else short, short if level else None))
+        return [*map(list, zip(*out))] if out else [[]] * 5
 
-
-def level_of(n: float) -> int:
-    return max(0, int(n // SAMPLE).bit_length())
+    schema = "node binary, level int, own_level int, small array<smallint>, large array<int>"
+    return map_lists(texts.select("node", "text"), schema, work, rows=32)
 
 
 def left_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -262,22 +270,29 @@ def left_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: D
     open_ = rows.filter("not inside").select("bucket").distinct()
     rows = store(rows.filter("not is_head").join(open_, "bucket", "left_semi"), "open")
     wanted = rows.select("node").distinct()
-    sampled = store(samples(texts.join(wanted, "node", "left_semi")), "samples")
-    sampled = sampled.join(nodes.select("node", "values"), "node")
-    rows = store(rows.drop("is_head").join(sampled, "node"), "open_samples")
+    short = store(values_of(texts.join(wanted, "node", "left_semi")), "short_values")
+    short = short.join(nodes.select("node", "values"), "node")
+    rows = store(rows.drop("is_head").join(short, "node"), "open_values")
 
     x = rows.filter("not inside").select("bucket", "level", *[
-        F.col(c).alias(f"x_{c}") for c in ("node", "number", "n", "label", "own_level", "values", "sample")
+        F.col(c).alias(f"x_{c}") for c in ("node", "number", "n", "label", "own_level", "values", "small", "large")
     ])
-    both = F.size(F.array_intersect("x_sample", "sample"))
-    least = F.when(F.col("level") == 0, SIMILAR - SLACK).otherwise(SIMILAR - SAMPLE_SLACK)
+
+    def size(prefix: str) -> Column:
+        return F.when(F.col("level") == 0, F.size(f"{prefix}small")).otherwise(F.size(f"{prefix}large"))
+
+    met = F.when(F.col("level") == 0, F.size(F.array_intersect("x_small", "small"))).otherwise(
+        F.size(F.array_intersect("x_large", "large"))
+    )
+    # no common shingle is missed: at most so many have a value another shingle of the text has, too
+    both = met + F.least(F.col("n") - size(""), F.col("x_n") - size("x_"))
     pairs = x.join(rows, ["bucket", "level"]).filter(
         (F.col("x_label") != F.col("label"))
         & (F.col("inside") | (F.col("x_number") < F.col("number")))
         & (F.greatest("own_level", "x_own_level") == F.col("level"))
         & (F.least("n", "x_n") >= F.greatest("n", "x_n") * SIMILAR - 1e-9)
         & (F.array_min(F.array_intersect("x_values", "values")) == F.col("bucket"))
-        & (both >= least * (F.size("x_sample") + F.size("sample") - both))
+        & (both >= SIMILAR * (F.col("n") + F.col("x_n") - both) - 1e-9)
     )
     return pairs.select(F.col("x_node").alias("a"), F.col("number").alias("b_number"))
 
