@@ -9,6 +9,7 @@ texts are escaped reversibly, and `read_back` undoes both. Loss spans cover the
 
 Defined results: a null text or role counts as empty; a record of no known layout (null, not JSON,
 other fields) gives no turns and a null layout; rows without turns format to the empty string.
+Repeated rows are turns of their own; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ Items are a query set. They reach the tasks in blocks of at most `block_items` i
 bound however many items there are.
 
 Defined results: null texts count as empty; an item of fewer than five words has no shingle and is
-in no document; equal items are reported each under its own item_id.
+in no document; equal items are reported each under its own item_id, and
+repeated rows of either table as often as they stand; empty tables give no rows.
 """
 
 from __future__ import annotations

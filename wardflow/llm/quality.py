@@ -8,7 +8,8 @@ A document is rejected when it fails the base checks (under 50 words, or more th
 in repeated three-word windows) or when lines with more than `max_loss` of its words fail.
 
 Defined results: a null text counts as empty (0 words, base failed, rejected); lines without a word
-are never duplicates and never fail; repeated rows are judged one by one, alike.
+are never duplicates and never fail; repeated rows are judged one by one, alike; empty tables give
+no rows.
 """
 
 from __future__ import annotations

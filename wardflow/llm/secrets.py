@@ -11,7 +11,8 @@ Parts are rows (text key, start, end); co-occurrence is an interval join on (tex
 linked once.
 
 Defined results: a null text counts as empty; a span is kind:start:end in code points, end
-exclusive; no spans give the empty string and its digest; repeated rows get equal results.
+exclusive; no spans give the empty string and its digest; repeated rows get equal results; empty
+tables give no rows.
 """
 
 from __future__ import annotations

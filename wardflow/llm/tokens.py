@@ -6,6 +6,7 @@ n log n however long it is.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); special strings of the file's
 added tokens inside a text are one token each, as the library does by default; no truncation.
+Repeated rows are counted one by one; empty tables give no rows.
 """
 
 from __future__ import annotations
