@@ -694,6 +694,17 @@ SQL |= {
         string_agg(CAST(s_suppkey AS VARCHAR), '-' ORDER BY s_suppkey) AS suppliers FROM supplier GROUP BY 1""",
     "listed_files": "SELECT DISTINCT c_mktsegment AS segment FROM customer",
     "typed_fallback": "SELECT c_name, c_acctbal, CAST(NULL AS VARCHAR) AS note FROM customer",
+    "bucketed_month_bridge": f"""SELECT a.trust_code, a.specialty_id, a.date AS date_key, admissions, w.waiting_list_size, round(w.median_wait_days, 6) AS median_wait_days,
+        {rolls('admissions', over="PARTITION BY a.trust_code, a.specialty_id ORDER BY a.date")}
+        FROM activity a LEFT JOIN waiting w ON w.trust_code = a.trust_code AND w.specialty_id = a.specialty_id
+        AND w.period = strftime(a.date, '%Y-%m')""",
+    "observed_checks": """SELECT unnest(['n_rows', 'date_key_nulls', 'hospital_id_nulls', 'specialty_id_nulls', 'admissions_min',
+            'admissions_max', 'waiting_list_size_null_share', 'rows_read_back']) AS rule,
+        unnest([n, days, hospitals, specialties, low, high, round(waits / n, 9), n]) AS value
+        FROM (SELECT count(*)::DOUBLE AS n, (count(*) - count(date_key))::DOUBLE AS days,
+                     (count(*) - count(hospital_id))::DOUBLE AS hospitals, (count(*) - count(specialty_id))::DOUBLE AS specialties,
+                     min(admissions)::DOUBLE AS low, max(admissions)::DOUBLE AS high,
+                     (count(*) - count(waiting_list_size))::DOUBLE AS waits FROM fact)""",
     "live_national": "SELECT * FROM dept_minutes",
     "live_newest": """SELECT minute_ts, hospital_id, CAST(arrivals AS BIGINT) AS arrivals, CAST(admissions AS BIGINT) AS admissions,
         CAST(discharges AS BIGINT) AS discharges, CAST(available_beds AS BIGINT) AS available_beds,

@@ -14,7 +14,7 @@ from wardflow.functions import calendar, codes, scoring
 from wardflow.functions.numbers import clip
 from wardflow.operators import asof, cleaning, dedup, positions, scores, snapshots, windows
 from wardflow.plans import backtest, job, questions, recommend, risk, serving, silver, star, training, views
-from wardflow.sources import layers, nested, scans, tables
+from wardflow.sources import bucketed, checked, layers, nested, scans, tables
 from wardflow.streaming import department, events, live, minute_counts
 
 from .domain import Domain, plain
@@ -238,6 +238,34 @@ def month_bridge_join(d):
     return plain(star.bridge_months(daily, d.waiting()))
 
 
+@query
+def bucketed_month_bridge(d):
+    """The month bridge and rolling means over tables bucketed by trust and specialty: no row moves."""
+    keys, name = ["trust_code", "specialty_id"], layers.new_path(d.spark, "t").split("/")[-2]
+    daily = d.stored_activity().select(*keys, F.col("date").alias("date_key"), "admissions")
+    buckets = bucketed.bucket_count(daily)
+    daily = bucketed.save_bucketed(daily, f"daily_{name}", keys, buckets, ["date_key"])
+    waiting = bucketed.save_bucketed(d.waiting(), f"waiting_{name}", keys, buckets, ["period"])
+    with bucketed.co_located(d.spark):
+        bridged = star.bridge_months(daily, waiting)
+        out = layers.store(windows.add_rolling_means(bridged, "admissions", keys=keys), "bridged")
+    return plain(out, 6)
+
+
+@query
+def observed_checks(d):
+    """The fact written with its checks; what they saw, a row each."""
+    rules = [
+        checked.at_least(1), *checked.never_null("date_key", "hospital_id", "specialty_id"),
+        *checked.between("admissions", 0, 10**9), checked.null_share("waiting_list_size", 1.0),
+    ]
+    path = layers.new_path(d.spark, "checked_fact")
+    seen = checked.write_checked(d.fact(), path, rules, RUN_DATE)
+    rows = checked.read_checked(d.spark, path, schemas.FACT).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    told = d.spark.createDataFrame([(k, float(v)) for k, v in seen.items()], "rule string, value double")
+    return plain(told.unionByName(rows.withColumn("rule", F.lit("rows_read_back"))), 9)
+
+
 @query
 def integrity_checks(d):
     fact = d.stored_columns("date_key", "hospital_id", "specialty_id", "region_id")
