@@ -96,3 +96,15 @@ def test_hard_cases(spark):
     assert rows(none) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     hot = [(i, "x " * 7, "hot") for i in range(2000)] + [(1, "y " * 7, "hot")] * 500 + [(9999, "long " * 20_000, "cold")]
     check(mixing.mix_report(docs(spark, hot)), hot)
+
+
+def test_one_offset_keeps_small_sources_near(spark):
+    """Every document has its row, and no source of 200 documents or more is farther off than 2 %."""
+    made = corpus(11, 3000)
+    source, taken, want = {d: s for d, _, s in made}, Counter(), {}
+    report = mixing.mix_report(docs(spark, made)).collect()
+    for r in report:
+        taken[source[r.doc_id]] += r.taken
+        want[source[r.doc_id]] = r.target
+    assert sorted(r.doc_id for r in report) == sorted(source)
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in want if want[s])
