@@ -221,3 +221,14 @@ def test_registered_queries_use_the_production_trees(monkeypatch):
         with pytest.raises(Called) as called:
             build(SimpleNamespace(workforce=lambda: None, hospitals=lambda: None))
         assert called.value.args == (None,)
+
+
+def test_vectors_spread_a_pass_over_all_cores(spark):
+    """A stored table of one row group is parted evenly by its bytes; a small one stays whole."""
+    noise = [F.rand(i).alias(f"x{i}") for i in range(16)]
+    made = spark.range(0, 60_000, 1, 1).select("id", *noise)
+    wide = training.vectors(made, [f"x{i}" for i in range(16)], "id")
+    held = [r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == wide.rdd.getNumPartitions() >= 3 and max(held) <= 1.1 * min(held)
+    assert sum(held) == wide.select("id").distinct().count() == 60_000
+    assert training.vectors(made.limit(100), ["x0"], "id").rdd.getNumPartitions() == 1

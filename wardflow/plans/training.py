@@ -42,7 +42,7 @@ EXOGENOUS = ("flu_index", "covid_index", "avg_temp_c")
 TREES, DEPTH, RATE, SUBSAMPLE, SEED = 300, 4, 0.05, 0.9, 42
 WAITING_TREES = 400
 #: Rounds between cuts of a booster's lineage, and stored bytes of vectors per partition.
-CHECKPOINT, VECTOR_BYTES = 10, 32 << 20
+CHECKPOINT, VECTOR_BYTES = 10, 2 << 20
 
 
 def gbt(kind, label: str, trees: int = TREES, **extra):
@@ -63,13 +63,19 @@ def _some(df: DataFrame, what: str) -> DataFrame:
 
 
 def vectors(df: DataFrame, features: list[str], *kept: str) -> DataFrame:
-    """A stored table of the assembled features and the kept columns, in few partitions if it is small."""
+    """A stored table of the assembled features and the kept columns, spread evenly by its bytes.
+
+    A level of a tree is one pass over all rows, so a partition holds some ten thousand rows: enough to outweigh
+    the start of its task, and few enough for all cores to share the pass.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     table = store(_assembler(features).transform(df).select("features", *kept), "vectors")
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.coalesce(size // VECTOR_BYTES + 1)
+    wanted = size // VECTOR_BYTES + 1
+    # rows of a stored table lie in few row groups, which only a shuffle can part
+    return table.repartition(wanted) if wanted > 1 else table.coalesce(1)
 
 
 def national_daily(fact: DataFrame, target: str, how: str) -> DataFrame:
