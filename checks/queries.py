@@ -733,14 +733,17 @@ def weather_flatten(d):
 # Streams ----------------------------------------------------------------------------------------
 
 SLICES = 8
+#: Bytes of the events that go into one file of messages.
+FILE_BYTES = 1 << 20
 CLOSING_DAY = dt.date(2024, 1, 11)
 
 
 def _stream_run(d):
-    """Run the event messages to their end, one file per batch, and keep the log going.
+    """Run the event messages to their end, one delivery per batch, and keep the log going.
 
-    The messages land in eight files that overlap in time, with broken messages among them. After
+    The messages land in eight deliveries that overlap in time, with broken messages among them. After
     the run one batch is delivered again, and the log is compacted twice, the folded folders gone.
+    A delivery is one file, or several of equal size if it is large, so that all cores work on a batch.
     Returns the folders of the count log, the raw archive and the dead letters.
     """
     spark = d.spark
@@ -748,9 +751,10 @@ def _stream_run(d):
         layers.new_path(spark, n) for n in ("landed", "minute_counts", "raw_archive", "dead")
     )
     messages = events.encode(d.attendances()).unionByName(_broken(d))
-    slice_ = F.pmod(F.xxhash64("key", "value"), F.lit(SLICES)).cast("int")
-    messages.withColumn("slice", slice_).repartition("slice").write.partitionBy("slice").parquet(landed)
-    stream = events.replay(spark, landed, schema="key string, value string, slice int", files_per_batch=1)
+    files = layers.input_bytes(d.table("events")) // (SLICES * FILE_BYTES) + 1
+    part = F.pmod(F.xxhash64("key", "value"), F.lit(SLICES * files)).cast("int")
+    messages.withColumn("part", part).repartitionById(SLICES * files, "part").drop("part").write.parquet(landed)
+    stream = events.replay(spark, landed, schema="key string, value string", files_per_batch=files)
     q = minute_counts.start_counts(
         stream, table, layers.new_path(spark, "stream_checkpoint"), archive, dead=dead
     )

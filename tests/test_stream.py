@@ -237,3 +237,29 @@ def test_closed_days_take_no_more_rows(spark, tmp_path):
     minute_counts.compact(spark, table, 2, closed_before=dt.date(2025, 1, 1))  # a day once closed stays closed
     minute_counts.drop_folded(spark, table)
     assert seen() == (want[0], [(at(1), 4), (at(1), 9)])
+
+
+def test_large_deliveries_are_read_by_several_tasks(spark, monkeypatch, tmp_path):
+    """Eight batches whatever the size; a delivery of many events is several files, all counted."""
+    from checks import queries
+    from checks.domain import Domain
+
+    folder = "/root/testdata/sf0.001"
+    read = []
+    original = queries.events.replay
+
+    def replay(spark, landed, **options):
+        read.append((options["files_per_batch"], spark.read.parquet(landed).inputFiles()))
+        return original(spark, landed, **options)
+
+    monkeypatch.setattr(queries.events, "replay", replay)
+    want = rows(queries.QUERIES["stream_minute_agg"](spark, folder))
+    lost = [queries.QUERIES["no_loss_check"](spark, folder).first()["violations"]]
+    monkeypatch.setattr(queries, "FILE_BYTES", 1 << 10)
+    table, archive, dead = queries._stream_run(Domain(spark, folder))
+    got = rows(queries.plain(queries.minute_counts.read_counts(spark, table)))
+    assert got == want and lost == [0]
+    per_batch, files = read[-1]
+    assert read[0][0] == 1 and len(read[0][1]) == 8 and per_batch >= 2 and len(files) == 8 * per_batch
+    batches = {f.rsplit("batch_id=", 1)[1].split("/")[0] for f in spark.read.parquet(archive).inputFiles()}
+    assert batches == {str(b) for b in range(8)}

@@ -29,3 +29,14 @@ def store(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes a frame reads of which the size is not known, such as rows of an RDD, are given as more than this.
+UNKNOWN = 1 << 60
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files a frame reads, as many as they are on disk. Nothing is run for it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN)
