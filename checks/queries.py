@@ -286,8 +286,8 @@ def position_ids(d):
         F.col("l_shipdate").cast("date").alias("date_key"), "l_orderkey", "l_linenumber",
         "l_partkey", "l_suppkey", "l_extendedprice", F.floor(F.col("l_orderkey") / 100_000).alias("block"),
     )
-    leaf = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    numbered = positions.with_position(rows, [["date_key"], ["block"], ["l_orderkey"], leaf])
+    leaf = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    numbered = positions.with_position(rows, [["date_key"], ["block"], leaf])
     return plain(numbered.select("date_key", "l_orderkey", "l_linenumber", "position"))
 
 

@@ -329,3 +329,23 @@ def test_quality_checks(spark):
         )
     )
     assert got == {"null": 1, "dup": 1, "fk": 1, "gap": 2, "empty": 0, "really empty": 1, "fan-out": 1}
+
+
+def test_numbering_is_dealt_by_the_bytes_read(spark, tmp_path, monkeypatch):
+    """More input gives more partitions, not larger ones; the rows are sorted once and the numbers stay."""
+    draw = random.Random(8)
+    made = [(draw.randrange(5), draw.randrange(4), i, draw.random()) for i in range(3000)]
+    spark.createDataFrame(made, "d int, h int, k int, v double").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    order = [["d"], ["h"], ["k"]]
+    want = rows(positions.with_position(df, order))
+    assert [r[-1] for r in sorted(want, key=lambda r: r[:3])] == list(range(1, 3001))
+    monkeypatch.setattr(positions, "POSITION_BYTES", 1 << 10)
+    dealt = positions.dealt(df, ["d", "h"])
+    assert dealt.rdd.getNumPartitions() == positions.input_bytes(df) // 1024 + 1 > 8
+    got = positions.with_position(df, order)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and rows(got) == want
+    row_sorts = [line for line in plan.splitlines() if " Sort [" in line and "k#" in line]
+    assert len(row_sorts) == 1
+    assert positions.dealt(spark.createDataFrame(made, "d int, h int, k int, v double"), ["d"]).rdd.getNumPartitions() < 50

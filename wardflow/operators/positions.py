@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.layers import store
+from ..sources.layers import input_bytes, store
+
+#: Bytes a frame reads per partition in which its rows are numbered.
+POSITION_BYTES = 16 << 20
 
 
 def with_position(
@@ -19,7 +22,8 @@ def with_position(
     counts of the coarse groups are summed into offsets level by level; rows are numbered only
     inside the finest group. The largest single-task sort is therefore the largest number of
     children of one group at one level (days, hospitals of a day, rows of a day and hospital),
-    never the table. Level columns must not be NULL.
+    never the table. Level columns must not be NULL. Groups are dealt over as many partitions as the
+    bytes read ask for, and sorted once, for the numbers and for the offsets.
     """
     by = by or []
     flat = [c for level in levels for c in level]
@@ -46,12 +50,23 @@ def with_position(
     inside = F.row_number().over(Window.partitionBy(*group).orderBy(*leaf))
     assert set(flat) <= set(df.columns)
     return (
-        df.join(offsets, group, "left")
-        .withColumn(name, F.col("_before") + inside)
+        dealt(df, group).withColumn("_inside", inside)
+        .join(offsets, group, "left")
+        .withColumn(name, F.col("_before") + F.col("_inside"))
         .select(*df.columns, name)
     )
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by the hash of their keys in as many partitions as the bytes read ask for.
+
+    The session's number of shuffle partitions is the least, and is left to the planner.
+    """
+    wanted = input_bytes(df) // POSITION_BYTES + 1
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(wanted, *keys) if wanted > least else df
+
+
 def with_range_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """1-based position of each row in the order of columns that have no coarse levels, such as codes.
 
