@@ -1,12 +1,12 @@
-"""Forecasting jobs on Spark ML.
+"""Forecasting jobs on Spark ML and `boosting`.
 
 A national daily series gets a trend-and-season regression, occupancy also a boosted-tree model of
 its residual; waiting times and workforce get pooled boosted trees over all series. Training data
 is distributed; only the national series (one row per day) is small.
 
 Fits that do not need each other run side by side. Each reads a stored table of assembled vectors in as
-many partitions as its bytes ask for, since a booster makes several small jobs per tree, and cuts its
-lineage by checkpoints in the shared folder.
+many partitions as its bytes ask for. The residual of the national series is boosted by Spark ML, in several
+small jobs per tree with its lineage cut by checkpoints in the shared folder; the pooled models by `boosting`.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +31,7 @@ from ..operators.windows import (
     SERIES, forward_fill, known_lag, known_rolling, series_window, waiting_features, workforce_features,
 )
 from ..sources.layers import shared_folder, store
+from .boosting import PooledClassifier, PooledRegressor
 from .together import run_together
 from .trend import TooLittleHistory, fit_baseline
 
@@ -46,9 +45,11 @@ CHECKPOINT, VECTOR_BYTES = 10, 2 << 20
 
 
 def gbt(kind, label: str, trees: int = TREES, **extra):
+    if kind is GBTRegressor:
+        extra = {"checkpointInterval": CHECKPOINT, **extra}
     return kind(
         featuresCol="features", labelCol=label, maxIter=trees, maxDepth=DEPTH, stepSize=RATE,
-        subsamplingRate=SUBSAMPLE, seed=SEED, checkpointInterval=CHECKPOINT, **extra,
+        subsamplingRate=SUBSAMPLE, seed=SEED, **extra,
     )
 
 
@@ -177,7 +178,7 @@ class WaitingTimes:
 
         def job(h: int):
             rows = table.filter(F.col(leads[h]).isNotNull())
-            return lambda: gbt(GBTRegressor, leads[h], self.trees).fit(_some(rows, f"waiting times {h} rows ahead"))
+            return lambda: gbt(PooledRegressor, leads[h], self.trees).fit(_some(rows, f"waiting times {h} rows ahead"))
 
         fits = run_together(fact.sparkSession, {f"waiting times {h}": job(h) for h in self.horizons})
         self.models = {h: PipelineModel([_assembler(names), fits[f"waiting times {h}"]]) for h in self.horizons}
@@ -215,8 +216,8 @@ class WorkforceModels:
         self.head = PipelineModel([coded, _assembler(names)])
         x = vectors(coded.transform(df), names, "label", "staff_count")
         fits = run_together(staff.sparkSession, {
-            "shortage": lambda: gbt(GBTClassifier, "label", self.trees).fit(x),
-            "demand": lambda: gbt(GBTRegressor, "staff_count", self.trees).fit(x.filter(F.col("staff_count").isNotNull())),
+            "shortage": lambda: gbt(PooledClassifier, "label", self.trees).fit(x),
+            "demand": lambda: gbt(PooledRegressor, "staff_count", self.trees).fit(x.filter(F.col("staff_count").isNotNull())),
         })
         self.classifier, self.regressor = fits["shortage"], fits["demand"]
         return self
@@ -225,9 +226,8 @@ class WorkforceModels:
         return self.head.transform(self._features(staff)[0])
 
     def shortage(self, staff: DataFrame) -> DataFrame:
-        p = vector_to_array(F.col("probability"))[1]
         return self.classifier.transform(self._inputs(staff)).select(
-            "date_key", "trust_code", "role", p.alias("shortage_proba")
+            "date_key", "trust_code", "role", F.col("probability").alias("shortage_proba")
         )
 
     def demand(self, staff: DataFrame) -> DataFrame:
