@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml import classification, regression
 from pyspark.ml.functions import vector_to_array
@@ -77,3 +78,44 @@ def test_rows_without_a_label_and_empty_tables_are_refused(spark, table):
         booster.fit(table.filter("id < 0"))
     with pytest.raises(Exception, match="no label"):
         booster.fit(table.withColumn("y", F.when(F.col("id") > 5, F.col("y"))))
+
+
+def test_splits_that_part_the_rows_alike_take_the_first_feature():
+    """Sums over one bin and over several of a finer feature differ by rounding, which must not choose the feature."""
+    draw = np.random.default_rng(3)
+    coarse = draw.integers(0, 2, 5000)
+    codes = np.stack([coarse, coarse * 10 + draw.integers(0, 10, 5000)]).astype(np.uint8)
+    y = coarse * 3 + draw.normal(size=5000)
+    block = boosting.Block(0, codes, boosting.joined(codes, [2, 20]), y, np.zeros(5000))
+    trees = [boosting.boosted(block, 1, 1, 0.1, boosting._squared, seed, 0.5)[0] for seed in range(40)]
+    assert {int(tree.feature[0]) for tree in trees} == {0}
+
+
+def test_features_are_counted_together(monkeypatch):
+    """A histogram passes over the rows for a few features at once, and holds what one pass per feature gives."""
+    draw, bins = np.random.default_rng(4), [32, 32, 4, 7, 2, 32, 1, 32, 32, 12]
+    codes = np.stack([draw.integers(0, n, 3000) for n in bins]).astype(np.uint8)
+    g, at, passes = draw.integers(-50, 50, 3000).astype(float), draw.integers(-1, 3, 3000), []
+    joints, count = boosting.joined(codes, bins), np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: passes.append(1) or count(*a, **k))
+    found = boosting.histograms(joints, g, at, 3)
+    assert len(passes) <= 2 * 5 < 2 * len(bins)
+    assert all(np.prod(j.bins) <= boosting.CELLS for j in joints) and [f for j in joints for f in j.features] == [*range(10)]
+    for node in range(3):
+        rows = at == node
+        for f, line in enumerate(codes):
+            assert (found[node, 0, f] == count(line[rows], minlength=boosting.BINS)).all()
+            assert (found[node, 1, f] == count(line[rows], g[rows], minlength=boosting.BINS)).all()
+
+
+@pytest.mark.parametrize("depth", [1, 4, 8])
+def test_rows_reach_the_leaf_of_their_bins(depth):
+    draw, size = np.random.default_rng(depth), 2 ** (depth + 1) - 1
+    codes = draw.integers(0, 32, (5, 400)).astype(np.uint8)
+    feature = np.where(np.arange(size) < 2**depth - 1, draw.integers(-1, 5, size), -1)
+    tree = boosting.Tree(feature, draw.integers(0, 31, size), draw.normal(size=size))
+    for row, leaf in enumerate(boosting.leaves(codes, tree, depth)):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = 2 * node + 1 + int(codes[tree.feature[node], row] > tree.split[node])
+        assert leaf == node

@@ -9,7 +9,11 @@ and all rounds over it one task: from about there on starting the jobs costs les
 The method is that of Spark ML's boosters: 32 bins, gain in variance, a first tree on the label, further ones
 on the negative gradient with weight `stepSize`, a share of the rows drawn anew for each tree. Edges of bins are
 halfway between quantiles of all rows. Settings with the same names mean the same. Blocks hold their rows in order, so a fit does
-not depend on the order in which they arrive.
+not depend on the order in which they arrive. Splits that part the rows alike differ by rounding only; the one of
+the first feature is taken.
+
+Almost all time goes into histograms. Two or three features are counted in one pass over the rows, by a code for their
+bins together, and the cells are summed up to the bins of each.
 
 Lost blocks are made again from the table fitted on: every `ANCHOR` rounds the predictions start from it, so that
 no chain of rounds grows longer.
@@ -34,7 +38,9 @@ BINS = 32
 #: Quantiles read per feature; a feature with no more distinct ones than edges keeps them all.
 RANKS = [k / 256 for k in range(1, 256)]
 #: Rows that are boosted in one task; rounds between predictions added up anew; blocks whose histograms the driver adds up.
-ONE_BLOCK, ANCHOR, DIRECT = 1 << 19, 20, 64
+ONE_BLOCK, ANCHOR, DIRECT = 1 << 21, 20, 64
+#: Most cells of features counted together, few enough for a near cache; relative gain up to which splits are alike.
+CELLS, ALIKE = 1 << 12, 1e-10
 
 
 class Tree(NamedTuple):
@@ -45,11 +51,20 @@ class Tree(NamedTuple):
     value: np.ndarray
 
 
+class Joint(NamedTuple):
+    """Some features, how many bins each has, and per row one code for its bins together."""
+
+    features: list[int]
+    bins: list[int]
+    codes: np.ndarray
+
+
 class Block(NamedTuple):
-    """Rows of one partition: bins per feature, label, and the sum of the trees so far."""
+    """Rows of one partition: bins per feature and of joint features, label, and the sum of the trees so far."""
 
     number: int
     codes: np.ndarray
+    joints: list[Joint]
     y: np.ndarray
     margin: np.ndarray
 
@@ -76,42 +91,72 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, f]).astype(np.uint8) for f, e in enumerate(edges)])
 
 
-def below(codes: np.ndarray, tree: Tree, node: np.ndarray) -> np.ndarray:
+def joined(codes: np.ndarray, bins: list[int]) -> list[Joint]:
+    """Neighbouring features joined as long as they have at most `CELLS` cells together."""
+    joints: list[Joint] = []
+    for f, (line, n) in enumerate(zip(codes, bins)):
+        last = joints[-1] if joints else None
+        if last and np.prod(last.bins) * n <= CELLS:
+            joints[-1] = Joint([*last.features, f], [*last.bins, n], last.codes * np.uint16(n) + line)
+        else:
+            joints.append(Joint([f], [n], line.astype(np.uint16)))
+    return joints
+
+
+def below(codes: np.ndarray, tree: Tree, node: np.ndarray, level: int) -> np.ndarray:
     """Nodes of the rows one level down; rows in a leaf stay. Children of node i are 2i + 1 and 2i + 2."""
-    f = tree.feature[node]
-    right = codes.ravel().take(np.maximum(f, 0) * len(node) + np.arange(len(node))) > tree.split[node]
-    return np.where(f < 0, node, 2 * node + 1 + right)
+    out = node.copy()
+    for at in range(2**level - 1, 2 ** (level + 1) - 1):
+        if tree.feature[at] >= 0:
+            right = codes[tree.feature[at]] > tree.split[at]
+            out += (node == at) * (right + node.dtype.type(at + 1))
+    return out
+
+
+def root(rows: int, depth: int) -> np.ndarray:
+    """The first node for every row, in a type that holds all nodes."""
+    return np.zeros(rows, np.min_scalar_type(2 ** (depth + 1)))
 
 
 def leaves(codes: np.ndarray, tree: Tree, depth: int) -> np.ndarray:
     """Nodes of the rows after `depth` levels."""
-    node = np.zeros(codes.shape[1], int)
-    for _ in range(depth):
-        node = below(codes, tree, node)
+    node = root(codes.shape[1], depth)
+    for level in range(depth):
+        node = below(codes, tree, node, level)
     return node
 
 
+def summed(codes: np.ndarray, trees: list[Tree], depth: int) -> np.ndarray:
+    """Sum of the trees per row."""
+    out = np.zeros(codes.shape[1])
+    for tree in trees:
+        out += tree.value[leaves(codes, tree, depth)]
+    return out
+
+
 def moved(block: Block, trees: list[Tree], depth: int) -> Block:
     """The block with some trees added to its predictions."""
-    margin = block.margin.copy()
-    for tree in trees:
-        margin += tree.value[leaves(block.codes, tree, depth)]
-    return block._replace(margin=margin)
+    return block._replace(margin=block.margin + summed(block.codes, trees, depth))
 
 
 def drawn(block: Block, draws: list[int], share: float) -> np.ndarray:
     return np.flatnonzero(np.random.default_rng([*draws, block.number]).random(len(block.y)) < share)
 
 
-def histograms(codes: np.ndarray, g: np.ndarray, at: np.ndarray, nodes: int) -> np.ndarray:
+def histograms(joints: list[Joint], g: np.ndarray, at: np.ndarray, nodes: int) -> np.ndarray:
     """Counts and sums of g by bin, per node and feature, of rows at places 0 to nodes - 1 (others: -1)."""
-    rows, size = np.flatnonzero(at >= 0), nodes * BINS
-    first, weight = at[rows] * BINS, g[rows]
-    out = np.empty((2, len(codes), size))
-    for f, line in enumerate(codes):
-        key = line.take(rows) + first
-        out[0, f], out[1, f] = np.bincount(key, minlength=size), np.bincount(key, weight, minlength=size)
-    return out.reshape(2, len(codes), nodes, BINS).transpose(2, 0, 1, 3)
+    rows = np.flatnonzero(at >= 0)
+    place, weight = at[rows], g[rows]
+    out = np.zeros((2, sum(len(j.features) for j in joints), nodes, BINS))
+    for j in joints:
+        size = int(np.prod(j.bins))
+        key = place * size + j.codes.take(rows)
+        for kind, weights in enumerate((None, weight)):
+            cells = np.bincount(key, weights, minlength=nodes * size).reshape(nodes, *j.bins)
+            for axis, f in enumerate(j.features, 1):
+                others = tuple(a for a in range(1, cells.ndim) if a != axis)
+                out[kind, f, :, : cells.shape[axis]] = cells.sum(others)
+    return out.transpose(2, 0, 1, 3)
 
 
 def places(size: int, build: list[int]) -> np.ndarray:
@@ -128,24 +173,24 @@ def level_of(
     at = np.full(len(block.y), -1)
     rows = drawn(block, draws, share)
     at[rows] = places(len(tree.feature), build)[leaves(block.codes, tree, level)[rows]]
-    return histograms(block.codes, downhill(block.y, block.margin), at, len(build))
+    return histograms(block.joints, downhill(block.y, block.margin), at, len(build))
 
 
 def boosted(block: Block, trees: int, depth: int, rate: float, downhill, seed: int, share: float) -> list[Tree]:
     """All rounds over one block."""
-    found = []
+    found, margin = [], block.margin
     for t in range(trees):
-        g, rows, node = (downhill if t else _label)(block.y, block.margin), drawn(block, [seed, t], share), None
-        codes, g = block.codes[:, rows], g[rows]
+        g, rows, node = (downhill if t else _label)(block.y, margin), drawn(block, [seed, t], share), None
+        joints, g = [j._replace(codes=j.codes[rows]) for j in block.joints], g[rows]
 
         def count(tree: Tree, level: int, build: list[int]) -> np.ndarray:
             nonlocal node
-            node = below(codes, tree, node) if level else np.zeros(len(rows), int)
-            return histograms(codes, g, places(len(tree.feature), build)[node], len(build))
+            node = below(block.codes, tree, node, level - 1) if level else root(len(block.y), depth)
+            return histograms(joints, g, places(len(tree.feature), build)[node[rows]], len(build))
 
         tree = grown(count, depth)
         found.append(tree._replace(value=tree.value * (rate if t else 1.0)))
-        block = moved(block, found[-1:], depth)
+        margin = margin + summed(block.codes, found[-1:], depth)
     return found
 
 
@@ -157,9 +202,10 @@ def best_split(histogram: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]
     able = (n > 0) & (rest_n > 0)
     gain = np.full(n.shape, -np.inf)
     gain[able] = s[able] ** 2 / n[able] + rest_s[able] ** 2 / rest_n[able]
-    feature, split = np.unravel_index(gain.argmax(), gain.shape)
-    if not gain[feature, split] > whole[1] ** 2 / max(whole[0], 1):
+    best = gain.max()
+    if not best > whole[1] ** 2 / max(whole[0], 1):
         return None
+    feature, split = np.unravel_index((gain >= best * (1 - ALIKE)).argmax(), gain.shape)
     left = under[:, feature, split]
     return int(feature), int(split), left, whole - left
 
@@ -238,8 +284,8 @@ class _Booster(Estimator):
 
         def opened(number: int, rows: Iterable) -> Iterator[Block]:
             for row in rows:
-                y = np.frombuffer(row.y)
-                yield Block(number, np.frombuffer(row.codes, np.uint8).reshape(len(edges), -1), y, np.zeros(len(y)))
+                y, codes = np.frombuffer(row.y), np.frombuffer(row.codes, np.uint8).reshape(len(edges), -1)
+                yield Block(number, codes, joined(codes, [len(e) + 1 for e in edges]), y, np.zeros(len(y)))
 
         rows = dataset.select(vector_to_array(self.features), self._target())
         return rows.mapInArrow(packed, "codes binary, y binary").rdd.mapPartitionsWithIndex(opened)
@@ -299,8 +345,7 @@ class _BoosterModel(Model):
         def margin(features: pd.Series) -> pd.Series:
             if not len(features):
                 return pd.Series([], dtype="float64")
-            codes, none = binned(np.stack(features.to_numpy()), edges), np.zeros(len(features))
-            return pd.Series(moved(Block(0, codes, none, none), trees, depth).margin)
+            return pd.Series(summed(binned(np.stack(features.to_numpy()), edges), trees, depth))
 
         return margin(vector_to_array(F.col(self.features)))
 
