@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
-from wardflow.llm import mixing
+import pyarrow.parquet as pq
+
+from checks.compare import check as compare
+from wardflow.llm import mixing, oracle, queries
 
 from .util import EMPTY, docs, rows
 
@@ -108,3 +111,33 @@ def test_one_offset_keeps_small_sources_near(spark):
         want[source[r.doc_id]] = r.target
     assert sorted(r.doc_id for r in report) == sorted(source)
     assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in want if want[s])
+
+
+def test_query_takes_the_nearest_of_all_draws(spark, tmp_path):
+    """Each source, small ones, null, empty and repeated rows too, has the offset of 32 that misses its target least."""
+    draw = random.Random(12)
+    made = [(i, "w " * draw.randrange(1, 900), s) for i, s in enumerate(["a", "b", "c", "é", "few", "😀"] * 9)]
+    made += [(i, "w " * 97, "few") for i in range(9)] + [(i, "", "none") for i in range(3)] + [(7, "same " * 33, "b")] * 5
+    made += [(None, "x " * 120, None), (None, None, None), (None, "x " * 120, None), (1, "x " * 700, None), (2, "x", None)]
+    pq.write_table(docs(spark, made).toArrow(), tmp_path / "documents.parquet")
+    sizes, by_source = Counter(), {}
+    for d, t, s in made:
+        n = len((t or "").split())
+        sizes[s] += n
+        by_source.setdefault(s, []).append((n, d is not None, d or 0))
+    want, expected, better = targets(sizes), Counter(), 0
+    draw = random.Random(mixing.SEED)
+    draws = [draw.random() for _ in range(32)]
+    for s, found in by_source.items():
+        found.sort()
+        rate = want[s] / sizes[s] if sizes[s] else 0.0
+        taken = [[(int((k + 1) * rate + u) - int(k * rate + u)) * n for k, (n, *_) in enumerate(found)] for u in draws]
+        off = [abs(sum(t) - want[s]) for t in taken]
+        nearest = off.index(min(off))
+        better += off[nearest] < off[0]
+        expected.update((d if known else None, n, sizes[s], t) for (n, known, d), t in zip(found, taken[nearest]))
+    assert better >= 3  # a single draw is not the nearest
+    got = queries.QUERIES["op9_mixing"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.size, r.source_size, r.taken) for r in got) == expected
+    result = compare(spark, str(tmp_path), "op9_mixing", oracle.SQL["op9_mixing"], queries.QUERIES)
+    assert result.startswith("ok"), result

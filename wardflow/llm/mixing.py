@@ -3,8 +3,10 @@
 Every document of a source expects target / source size copies. Documents stand in order of size
 within their source; with the running sum of expected copies plus one random offset, a document is
 emitted once per integer boundary its step crosses. As neighbours in that order are about equally
-long, the words taken come within about one document's size of the target. Each source has one offset,
-a step of the golden section from that of the source before it and, for the first, drawn from the seed.
+long, the words taken come within about one document's size of the target. The offset is drawn `draws`
+times per mix, and each source keeps the draw that brings its words nearest to its target, the earliest of
+equal ones, which matters for sources of few documents. Without draws each source has one offset, a step of
+the golden section from that of the source before it and, for the first, drawn from the seed.
 
 Running sums need no sort of a source in one task: rows are range-partitioned by (source, size, id),
 numbered inside each partition, and per-partition counts are summed into offsets. A hot source
@@ -28,13 +30,18 @@ from .common import DOCUMENT, pick
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-SEED, GOLDEN = 20_240_917, 0.6180339887498949
+SEED, DRAWS, GOLDEN = 20_240_917, 32, 0.6180339887498949
 
 
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def offsets(seed: int = SEED, draws: int = DRAWS) -> list[float]:
+    draw = random.Random(seed)
+    return [draw.random() for _ in range(draws)]
+
+
 def first_offset(seed: int = SEED) -> float:
     return random.Random(seed).random()
 
@@ -61,8 +68,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", target.alias("target"), "rank")
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target and copies to rows with (doc_id, source, size)."""
+def mix(docs: DataFrame, seed: int = SEED, draws: int = 0) -> DataFrame:
+    """Adds source_size, target and copies to rows with (doc_id, source, size).
+
+    With `draws` each source takes the nearest of so many offsets, else its only one.
+    """
     order = ["source", "size", "doc_id"]
     at = F.monotonically_increasing_id()  # its upper bits number the partition, the lower ones the row
     rows = store(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "in_order")
@@ -85,14 +95,22 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     crossed = lambda u: F.floor((F.col("_place") + 1) * F.col("_rate") + u) - F.floor(F.col("_place") * F.col("_rate") + u)
 
     step = F.col("rank") * GOLDEN + first_offset(seed)
-    copies = crossed(step - F.floor(step)).cast("int")
+    offset = step - F.floor(step)
+    if draws:
+        off = lambda u: F.abs(F.sum(crossed(u) * F.col("size")) - F.max("target"))
+        tried = [F.struct(off(u).alias("off"), F.lit(i), F.lit(u).alias("u")) for i, u in enumerate(offsets(seed, draws))]
+        chosen = placed.groupBy(F.col("source").alias("_source")).agg(F.array_min(F.array(*tried))["u"].alias("_u"))
+        chosen = store(chosen, "offsets")
+        placed = placed.drop("_source").join(chosen, placed["source"].eqNullSafe(chosen["_source"]))
+        offset = F.col("_u")
+    copies = crossed(offset).cast("int")
     return placed.select(*docs.columns, "source_size", "target", copies.alias("copies"))
 
 
-def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mix_report(docs: DataFrame, seed: int = SEED, draws: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per row."""
     sized = store(pick(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size")), "sizes")
-    mixed = mix(sized, seed)
+    mixed = mix(sized, seed, draws)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -71,7 +71,7 @@ def op8_minhash_near_dedup(spark, folder):
 
 @query
 def op9_mixing(spark, folder):
-    return mixing.mix_report(read(spark, folder, "documents"))
+    return mixing.mix_report(read(spark, folder, "documents"), draws=mixing.DRAWS)
 
 
 @query
