@@ -87,18 +87,25 @@ def solve(products: np.ndarray, n: int, change: np.ndarray, scales: np.ndarray)
     """(coefficients, their covariance, noise variance) from the sums of products of terms, target last.
 
     `scales` are the prior scales of the coefficients (inf for none). Those of `change` are Laplace, met
-    by reweighting normal ones until they stay; the noise is that of what the fit leaves.
+    by reweighting normal ones until they stay; the noise is that of what the fit leaves. A fit that leaves
+    no more than the rounding of the sums is final.
     """
     a, b, yy = products[:-1, :-1], products[:-1, -1], products[-1, -1]
     precision = 1 / scales**2
     noise = max(yy / n, 1e-12)
+    floor = 1e-12 * noise
     beta = np.zeros(len(b))
     for _ in range(200):
         inverse = np.linalg.pinv(a + noise * np.diag(precision), hermitian=True)
         before, beta = beta, inverse @ b
         left = max(yy - 2 * beta @ b + beta @ a @ beta, 0.0)
         free = max(n - np.trace(inverse @ a), 1.0)
-        noise = max(left / free, 1e-12 * max(yy / n, 1e-12))
+        noise = max(left / free, floor)
+        if noise == floor:  # only rounding is left, which more rounds would blow up
+            exact = a + noise * np.diag(precision)
+            unit = 1 / np.sqrt(np.maximum(exact.diagonal(), 1e-300))
+            inverse = np.linalg.pinv(exact * np.outer(unit, unit), hermitian=True) * np.outer(unit, unit)
+            break
         size = np.maximum(np.abs(beta[change]), 1e-4 * scales[change])
         precision[change] = 1 / (scales[change] * size)
         if np.abs(beta - before).max() <= 1e-9 * max(np.abs(beta).max(), 1e-9):
